@@ -148,7 +148,8 @@ def encode_columns(df: DataFrame, vectors_by_col: dict[str, DataFrame], dim: int
 
 
 def similar_words(probes: DataFrame, vectors: DataFrame, k: int = 3, probe_col: str = "word",
-                  probe_vec: str = "vector", id_col: str = "word", vec_col: str = "vector") -> DataFrame:
+                  probe_vec: str = "vector", id_col: str = "word", vec_col: str = "vector",
+                  exclude_self: bool = True) -> DataFrame:
     """Top-``k`` entries of ``vectors`` by cosine similarity to each probe (self excluded).
 
     The probe set is small by construction (a handful of query words); its size is
@@ -183,7 +184,7 @@ def similar_words(probes: DataFrame, vectors: DataFrame, k: int = 3, probe_col:
                 sim = (P @ X.T) / (pn[:, None] * xn[None, :])
             for i, name in enumerate(names):
                 s = sim[i]
-                keep = ~np.isnan(s) & (ids != name)
+                keep = ~np.isnan(s) & ((ids != name) if exclude_self else True)
                 cand = pd.DataFrame({"neighbour": ids[keep], "similarity": s[keep]})
                 best[i].append(cand.sort_values(["similarity", "neighbour"], ascending=[False, True]).head(k))
         for i, name in enumerate(names):

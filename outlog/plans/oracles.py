@@ -326,4 +326,41 @@ SELECT doc_id, line_no,
                                 / 4294967296.0 * 100) >= 90
                  THEN 1 ELSE 0 END AS INTEGER) AS label
 FROM sp"""
+    unit = ("CAST('0x' || substr(md5('42:{tag}:' || CAST(doc_id AS VARCHAR) || ':' || CAST(line_no AS VARCHAR)"
+            " || ':' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT) / 4294967296.0")
+    q["validation_set"] = _w(LINES, r"""
+sp AS (SELECT doc_id, line_no, message,
+              row_number() OVER (PARTITION BY source ORDER BY doc_id, line_no) AS position,
+              count(*) OVER (PARTITION BY source) AS n FROM tl),
+vs AS (SELECT doc_id, line_no, regexp_replace(message, '^\s+|\s+$', '', 'g') AS message,
+              CAST(CASE WHEN position > round(n * 0.8)
+                         AND 1 + floor(CAST('0x' || substr(md5('42:gate:' || CAST(doc_id AS VARCHAR) || ':' || CAST(line_no AS VARCHAR)), 1, 8) AS BIGINT)
+                                       / 4294967296.0 * 100) >= 90
+                        THEN 1 ELSE 0 END AS INTEGER) AS label
+       FROM sp),
+cor AS (SELECT doc_id, line_no, message, length(message) AS L FROM vs WHERE label = 1),
+steps AS (SELECT doc_id, line_no, L, unnest(generate_series(0, L - 1)) AS i FROM cor WHERE L > 0),
+st2 AS (SELECT doc_id, line_no, i, CAST(floor(""" + unit.format(tag="pos") + r""" * L) AS INTEGER) AS p,
+               chr(CAST(65 + floor(""" + unit.format(tag="chr") + r""" * 59) AS INTEGER)) AS c FROM steps),
+lastw AS (SELECT doc_id, line_no, p, arg_max(c, i) AS c FROM st2 GROUP BY doc_id, line_no, p),
+chars AS (SELECT doc_id, line_no, message, unnest(generate_series(0, L - 1)) AS p FROM cor WHERE L > 0),
+rebuilt AS (SELECT ch.doc_id, ch.line_no,
+                   string_agg(coalesce(lw.c, substr(ch.message, CAST(ch.p + 1 AS INTEGER), 1)), '' ORDER BY ch.p) AS message
+            FROM chars ch LEFT JOIN lastw lw ON ch.doc_id = lw.doc_id AND ch.line_no = lw.line_no AND ch.p = lw.p
+            GROUP BY ch.doc_id, ch.line_no)""") + """
+SELECT vs.doc_id, vs.line_no, CASE WHEN vs.label = 1 THEN coalesce(r.message, vs.message) ELSE vs.message END AS message,
+       vs.label
+FROM vs LEFT JOIN rebuilt r ON vs.doc_id = r.doc_id AND vs.line_no = r.line_no"""
+    pairs = """
+e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+pd AS (SELECT a.vec_id AS p, b.vec_id AS o, list_distance(a.v, b.v) AS dist FROM e a, e b WHERE a.vec_id <> b.vec_id),
+nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY dist, o) AS rn FROM pd) t WHERE rn <= {k})"""
+    q["knn"] = _w(pairs.format(k=5)) + """
+SELECT p AS vec_id, o AS neighbour, CAST(rn AS INTEGER) AS rank, round(dist, 6) AS dist FROM nn"""
+    q["lof"] = _w(pairs.format(k=20), """
+kd AS (SELECT p, max(dist) AS kd FROM nn GROUP BY p),
+lrd AS (SELECT nn.p, 1.0 / (avg(greatest(kd.kd, nn.dist)) + 1e-10) AS lrd FROM nn JOIN kd ON nn.o = kd.p GROUP BY nn.p),
+lf AS (SELECT nn.p, avg(l2.lrd) / any_value(l1.lrd) AS lof
+       FROM nn JOIN lrd l2 ON nn.o = l2.p JOIN lrd l1 ON nn.p = l1.p GROUP BY nn.p)""") + """
+SELECT p AS vec_id, round(lof, 6) AS lof, CAST(CASE WHEN lof > 1.5 THEN -1 ELSE 1 END AS INTEGER) AS label FROM lf"""
     return q

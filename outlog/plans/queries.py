@@ -418,5 +418,24 @@ def q_validation_labels(spark, d):
     return s.select("doc_id", "line_no", label.alias("label"))
 
 
+def q_validation_set(spark, d):
+    from ..operators.evaluate import validation_set
+    return validation_set(lines_df(spark, d), "source", ["doc_id", "line_no"])
+
+
+# ---- 8. other detectors ----------------------------------------------------------------------
+
+def q_knn(spark, d):
+    from ..operators.outliers import knn
+    out = knn(emb_df(spark, d), "vec_id", "v", 5, block_rows=256)
+    return out.select(F.col("id").alias("vec_id"), F.col("nbr").alias("neighbour"), "rank", _r(F.col("dist"), "dist"))
+
+
+def q_lof(spark, d):
+    from ..operators.outliers import lof
+    out = lof(emb_df(spark, d), "vec_id", "v", 20, block_rows=256)
+    return out.select("vec_id", _r(F.col("lof"), "lof"), "label")
+
+
 def registry() -> dict:
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}

@@ -259,7 +259,7 @@ def q_reject_counts(spark, d):
 
 # ---- 6. predictions (hash encoder + frequent-template map; every step expressible in SQL) ----
 
-def hash_model(spark, d):
+def hash_model(spark, d, with_codebook=False):
     """Distinct templates with counts and seeded vectors, and a 4 x 4 map of the 16 most
     frequent templates' vectors."""
     lines = lines_df(spark, d)
@@ -268,7 +268,7 @@ def hash_model(spark, d):
     cb = som.init_frequent(enc_t, "vector", "template", "n", MAP_ROWS, MAP_COLS)
     scored = som.bmu_search(enc_t, "vector", cb, keep_vector=False)
     stats = detect.score_stats(scored, "dist", "n")
-    return lines, scored, stats
+    return (lines, scored, stats, cb) if with_codebook else (lines, scored, stats)
 
 
 def hash_predictions(spark, d, with_fp=True):

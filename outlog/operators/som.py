@@ -316,18 +316,21 @@ def sigma_schedule(codebook: Codebook, epochs: int, start: float | None = None,
 
 
 def fit_som(df: DataFrame, vec_col: str, codebook: Codebook, epochs: int,
-            kernel: str = "gaussian", weight_col: str | None = None, cache: bool = True):
+            kernel: str = "gaussian", weight_col: str | None = None, cache: bool = True,
+            sigma_start: float | None = None, sigma_end: float = 0.5):
     """Run ``epochs`` batch-SOM epochs from ``codebook`` (warm start = pass a fitted map).
 
     The training rows are checkpointed once in the shared folder so each epoch re-reads
     them instead of recomputing their lineage.  ``kernel='exp'`` uses the fixed
-    ``exp(-d/2)`` neighbourhood, ``'gaussian'`` a shrinking radius.
+    ``exp(-d/2)`` neighbourhood, ``'gaussian'`` a radius shrinking from ``sigma_start``
+    (half the larger map side) to ``sigma_end``.
     """
     cols = [vec_col] + ([weight_col] if weight_col else [])
     data = df.select(*cols)
     if cache:
         data = cut_lineage(data)
-    sigmas = sigma_schedule(codebook, epochs) if kernel == "gaussian" else [None] * epochs
+    sigmas = (sigma_schedule(codebook, epochs, sigma_start, sigma_end) if kernel == "gaussian"
+              else [None] * epochs)
     history = []
     for s in sigmas:
         codebook, qe = som_epoch(data, vec_col, codebook, s, weight_col)

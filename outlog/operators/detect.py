@@ -80,7 +80,9 @@ def false_positive_marks(df: DataFrame, fp_messages: DataFrame | None, match_col
     """
     if fp_messages is None:
         return df.withColumn("__fp", F.lit(False))
-    fp = fp_messages.select(F.col("message").alias("__fpm")).distinct().withColumn("__fp", F.lit(True))
+    from ..session import cut_lineage
+
+    fp = cut_lineage(fp_messages.select(F.col("message").alias("__fpm")).distinct().withColumn("__fp", F.lit(True)))
     if fp.count() <= broadcast_max_rows:
         fp = F.broadcast(fp)
     j = df.join(fp, df[match_col] == fp["__fpm"], "left").drop("__fpm")

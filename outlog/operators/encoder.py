@@ -72,7 +72,8 @@ def sentence_vocabulary(sentences: DataFrame, min_count: int = C.W2V_MIN_COUNT)
 def fit_word2vec(sentences: DataFrame, vector_length: int = C.W2V_VECTOR_LENGTH,
                  window: int = C.W2V_WINDOW, min_count: int = C.W2V_MIN_COUNT,
                  max_iter: int = C.W2V_ITER, seed: int = C.W2V_SEED, partitions: int = 1,
-                 max_sentence_length: int = 1000, max_model_bytes: int = C.BROADCAST_MAX_BYTES):
+                 max_sentence_length: int = 1000, max_model_bytes: int = C.BROADCAST_MAX_BYTES,
+                 vocab_size: int | None = None):
     """Train skip-gram Word2Vec on template sentences; returns (model, vectors DataFrame).
 
     Spark ML keeps the vocabulary and the two ``vocab x dim`` float matrices on the driver
@@ -82,7 +83,8 @@ def fit_word2vec(sentences: DataFrame, vector_length: int = C.W2V_VECTOR_LENGTH,
     """
     from pyspark.ml.feature import Word2Vec
 
-    vocab_size = sentence_vocabulary(sentences, min_count).count()
+    if vocab_size is None:
+        vocab_size = sentence_vocabulary(sentences, min_count).count()
     if vocab_size == 0:
         raise ValueError("empty vocabulary: nothing to train on")
     model_bytes = vocab_size * vector_length * 4 * 2

@@ -36,12 +36,18 @@ def range_blocks(df: DataFrame, order_col: str, n_blocks: int = 256, rel_error:
 
 
 def running_sum(df: DataFrame, value: Column | str, order_cols: list[str], partition_cols: list[str] = (),
-                out_col: str = "running", block: Column | None = None, n_blocks: int = 256) -> DataFrame:
+                out_col: str = "running", block: Column | None = None, n_blocks: int = 256,
+                materialise: bool = True) -> DataFrame:
     """``out_col`` = running sum of ``value`` along ``order_cols`` within ``partition_cols``.
 
     ``block`` must not decrease along ``order_cols``; by default it is a range block of the
-    first order column.  ``order_cols`` should be unique within a partition.
+    first order column.  ``order_cols`` should be unique within a partition.  The input is
+    read three times (split points, local sums, block totals), so by default it is
+    checkpointed once first.
     """
+    if materialise:
+        from ..session import cut_lineage
+        df = cut_lineage(df)
     partition_cols = list(partition_cols)
     v = F.col(value) if isinstance(value, str) else value
     blk = block if block is not None else range_blocks(df, order_cols[0], n_blocks)

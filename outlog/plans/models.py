@@ -36,7 +36,7 @@ def q_detector_predictions(spark, d):
     lines = document_lines(docs)
     cfg = DetectorConfig(map_rows=4, map_cols=4, epochs=10, som_init="frequent")
     det = SomDetector(cfg=cfg).fit(lines, sentences=enc.document_sentences(docs))
-    p = det.predict(lines, ["doc_id", "line_no"], batch_id="b0")
+    p = det.predict(lines, ["doc_id", "line_no"], batch_id="b0", training=True)
     return p.select("doc_id", "line_no", "predict_id", "bmu", _r(F.col("anomaly_score"), "anomaly_score"), "anomaly")
 
 

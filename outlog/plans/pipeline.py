@@ -61,7 +61,14 @@ class SomDetector:
         return enc.sequence_sentences(lines, ["source"], ["doc_id", "line_no"])
 
     def fit(self, lines: DataFrame, sentences: DataFrame | None = None,
-            noise: DataFrame | None = None, noise_copies: int = 0) -> "SomDetector":
+            noise: DataFrame | None = None, noise_copies: int = 0,
+            sentences_from_lines: bool = True) -> "SomDetector":
+        """Fit encoder, map and baseline on ``lines`` (plus optional false-positive noise).
+
+        ``sentences_from_lines`` says the sentences hold exactly the lines' templates, so
+        the vocabulary size for the encoder's size check comes from the template counts
+        already computed instead of another pass over the corpus.
+        """
         cfg = self.cfg
         train = with_noise(lines.select("template", "message"), noise, noise_copies)
         counts = cut_lineage(template_counts(train))
@@ -71,9 +78,10 @@ class SomDetector:
                 from ..operators.feedback import noise_sentences
                 sents = sents.unionByName(noise_sentences(noise, noise_copies).select("sentence"),
                                           allowMissingColumns=True).select("sentence")
+            vocab = counts.where(F.col("n") >= cfg.min_count).count() if sentences_from_lines else None
             _, vectors = enc.fit_word2vec(sents.select("sentence"), cfg.vector_length, cfg.window,
                                           cfg.min_count, cfg.w2v_iter, cfg.w2v_seed, cfg.w2v_partitions,
-                                          cfg.max_sentence_length)
+                                          cfg.max_sentence_length, vocab_size=vocab)
             self.vectors = cut_lineage(vectors)
         elif self.encoder == "hash":
             self.vectors = enc.hash_vectors(counts.select(F.col("template").alias("word")),
@@ -87,8 +95,9 @@ class SomDetector:
                                  word_col="template", count_col="n", seed=cfg.w2v_seed)
         self.codebook, self.qe_history = som.fit_som(encoded, "vector", init, cfg.epochs,
                                                      self.kernel, weight_col="n", cache=False)
-        scored = som.bmu_search(encoded, "vector", self.codebook, keep_vector=False)
-        self.stats = score_stats(scored, "dist", "n")
+        self.train_scored = cut_lineage(
+            som.bmu_search(encoded, "vector", self.codebook, keep_vector=False).select("template", "n", "bmu", "dist"))
+        self.stats = score_stats(self.train_scored, "dist", "n")
         return self
 
     def score_templates(self, lines: DataFrame) -> DataFrame:
@@ -97,20 +106,25 @@ class SomDetector:
                              self.cfg.oov, self.cfg.w2v_seed)
         return som.bmu_search(encoded, "vector", self.codebook, keep_vector=False)
 
-    def score(self, lines: DataFrame) -> DataFrame:
+    def score(self, lines: DataFrame, training: bool = False) -> DataFrame:
         """Every line with ``bmu`` and ``dist``.
 
-        The scored templates are broadcast when their count is below a checked limit;
-        otherwise the join back is a shuffle join whose hot-template partitions AQE splits.
+        ``training=True`` means ``lines`` are the lines the model was fitted on, whose
+        templates are already scored.  The scored templates are broadcast when their
+        count is below a checked limit; otherwise the join back is a shuffle join whose
+        hot-template partitions AQE splits.
         """
-        scored = cut_lineage(self.score_templates(lines).select("template", "bmu", "dist"))
+        if training:
+            scored = self.train_scored.select("template", "bmu", "dist")
+        else:
+            scored = cut_lineage(self.score_templates(lines).select("template", "bmu", "dist"))
         n = scored.count()
         side = F.broadcast(scored) if n * 200 <= C.BROADCAST_MAX_BYTES else scored
         return lines.join(side, "template", "left")
 
     def predict(self, lines: DataFrame, id_cols: list[str], batch_id: str,
-                fp_messages: DataFrame | None = None) -> DataFrame:
-        return predictions(self.score(lines), self.stats, id_cols, batch_id, fp_messages,
+                fp_messages: DataFrame | None = None, training: bool = False) -> DataFrame:
+        return predictions(self.score(lines, training), self.stats, id_cols, batch_id, fp_messages,
                            factor=self.cfg.threshold_factor, model_version=self.cfg.model_version,
                            elast_alert=self.cfg.elast_alert, namespace=self.cfg.namespace)
 
@@ -135,7 +149,7 @@ def flagship(documents: DataFrame, top: int = 20, cfg: DetectorConfig | None = N
     cfg = cfg or DetectorConfig(map_rows=4, map_cols=4, epochs=5, som_init="frequent")
     lines = document_lines(documents)
     det = SomDetector(cfg=cfg).fit(lines, sentences=document_sentences(documents))
-    preds = det.predict(lines, ["doc_id", "line_no"], batch_id="flagship")
+    preds = det.predict(lines, ["doc_id", "line_no"], batch_id="flagship", training=True)
     return (preds.select("doc_id", "line_no", "source", "message", "template", "bmu",
                          F.round("anomaly_score", 6).alias("anomaly_score"), "anomaly")
                  .orderBy(F.col("anomaly_score").desc(), "doc_id", "line_no").limit(top))

@@ -15,7 +15,7 @@ from ..functions.vectors import as_double_array, hash_vector
 from ..operators import alerts, detect, encoder as enc, feedback as fb, som, timeline
 from ..operators.flatten import flatten_json_column
 from ..operators.prefix import ordered_position, running_sum
-from ..session import read_table
+from ..session import cut_lineage, read_table
 from ..sources.logs import (conversation_lines, document_lines, events_as_common_log,
                             parse_common_log_lines, text_query, window_read, with_date_partition)
 
@@ -266,7 +266,7 @@ def hash_model(spark, d, with_codebook=False):
     counts = lines.groupBy("template").agg(F.count("*").alias("n"))
     enc_t = counts.withColumn("vector", hash_vector("template", HASH_DIM, C.W2V_SEED))
     cb = som.init_frequent(enc_t, "vector", "template", "n", MAP_ROWS, MAP_COLS)
-    scored = som.bmu_search(enc_t, "vector", cb, keep_vector=False)
+    scored = cut_lineage(som.bmu_search(enc_t, "vector", cb, keep_vector=False).select("template", "n", "bmu", "dist"))
     stats = detect.score_stats(scored, "dist", "n")
     return (lines, scored, stats, cb) if with_codebook else (lines, scored, stats)
 

@@ -283,6 +283,31 @@ SELECT tp, fp, fn, tn,
        round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) END, 6) AS recall
 FROM c"""
 
+    q["prediction_metrics"] = _w(PRED, """
+agg AS (
+  SELECT inference_batch_id,
+         CAST(count(*) AS DOUBLE) AS loglines_count,
+         CAST(sum(CASE WHEN anomaly = 0 AND suppressed = 0 THEN 1 ELSE 0 END) AS DOUBLE) AS anomaly_count_0,
+         CAST(sum(anomaly) AS DOUBLE) AS anomaly_count_1,
+         CAST(sum(suppressed) AS DOUBLE) AS false_positive_count,
+         max(anomaly_score) AS max_score,
+         arg_max(anomaly_score, doc_id * 1000000 + line_no) FILTER (WHERE anomaly = 1) AS last_anomaly_score,
+         any_value(thr.thr) AS threshold
+  FROM pr, thr GROUP BY inference_batch_id)""") + """
+SELECT inference_batch_id, metric, round(value, 6) AS value FROM agg
+UNPIVOT INCLUDE NULLS (value FOR metric IN (loglines_count, anomaly_count_0, anomaly_count_1, false_positive_count,
+                                          max_score, last_anomaly_score, threshold))"""
+    q["counter_rate_1m"] = """
+WITH m AS (SELECT event_type, time_bucket(INTERVAL '1 minutes', ts) AS minute, count(*) AS n FROM events GROUP BY 1, 2),
+c AS (SELECT event_type, minute,
+             sum(n) OVER (PARTITION BY event_type ORDER BY minute ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS total
+      FROM m),
+l AS (SELECT *, lag(total) OVER (PARTITION BY event_type ORDER BY minute) AS pv,
+             lag(minute) OVER (PARTITION BY event_type ORDER BY minute) AS pt FROM c)
+SELECT event_type, minute, CAST(total AS BIGINT) AS total,
+       round(CASE WHEN pv IS NOT NULL THEN (CASE WHEN total >= pv THEN total - pv ELSE total END)
+                                            / (epoch(minute) - epoch(pt)) END, 6) AS rate
+FROM l"""
     q["rate_1m"] = _rate(1)
     q["rate_5m"] = _rate(5)
     q["increase_8h"] = """

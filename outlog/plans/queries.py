@@ -346,8 +346,27 @@ def q_confusion_matrix(spark, d):
                       _r(F.try_divide(F.col("tp"), F.col("tp") + F.col("fn")), "recall"))
 
 
+def q_prediction_metrics(spark, d):
+    from ..operators.metrics import batch_metrics
+    p, st = hash_predictions(spark, d)
+    m = batch_metrics(p, st.threshold(HASH_FACTOR), ["doc_id", "line_no"])
+    return m.select("inference_batch_id", "metric", _r(F.col("value"), "value"))
+
+
 # ---- 7. metrics and alerts on events ---------------------------------------------------------
 
+def q_counter_rate_1m(spark, d):
+    """A per-minute event counter per type, read back as a per-second rate between samples."""
+    from ..operators.metrics import counter_rate
+    ev = events_df(spark, d)
+    per_min = ev.groupBy("event_type", F.window("ts", "1 minute").start.alias("minute")).agg(F.count("*").alias("n"))
+    w = Window.partitionBy("event_type").orderBy("minute").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    series = per_min.withColumn("total", F.sum("n").over(w)).drop("n")
+    return counter_rate(series, ["event_type"], "minute", "total").select(
+        "event_type", "minute", "total", _r(F.col("rate"), "rate"))
+
+
+
 def _rate(spark, d, minutes):
     ev = events_df(spark, d)
     w = F.window("ts", f"{minutes} minutes")

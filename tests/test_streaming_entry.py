@@ -50,3 +50,30 @@ def test_every_oracle_query_runs_at_smoke_scale(spark, sf_small):
     cheap = [n for n in os_ if not n.startswith("stream_")][:12]
     for n in cheap:
         assert qs[n](spark, sf_small).count() >= 0
+
+
+def test_pipeline_steps_and_encoder_catalog(spark):
+    import pytest
+    from outlog.plans.steps import get_encoder, run_steps
+
+    df = spark.range(5)
+    out = run_steps(df, [lambda d: d.where("id > 1"), lambda d: d.withColumn("x", d.id * 2)])
+    assert out.count() == 3 and "x" in out.columns
+    with pytest.raises(TypeError):
+        run_steps(df, [lambda d: d, "not a step"])
+    with pytest.raises(TypeError):
+        run_steps(df, [lambda d: 3])
+    assert get_encoder("w2v_encoder") == "word2vec"
+    with pytest.raises(ValueError):
+        get_encoder("doc2vec")
+
+
+def test_counter_rate_handles_resets(spark):
+    import datetime as dt
+    from outlog.operators.metrics import counter_rate
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("a", t0 + dt.timedelta(seconds=60 * i), v) for i, v in enumerate([10, 70, 130, 20])]
+    s = spark.createDataFrame(rows, "k string, ts timestamp, v long")
+    got = [r["rate"] for r in counter_rate(s, ["k"], "ts", "v").orderBy("ts").collect()]
+    assert got == [None, 1.0, 1.0, 20 / 60]

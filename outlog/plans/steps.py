@@ -26,9 +26,10 @@ def check_steps(steps: Iterable) -> list[Step]:
 def run_steps(df: DataFrame, steps: Iterable[Step]) -> DataFrame:
     """Apply every step in order; a step must return a DataFrame."""
     for s in check_steps(steps):
-        df = df.transform(s)
-        if not isinstance(df, DataFrame):
-            raise TypeError(f"pipeline step {s!r} returned {type(df).__name__}, not a DataFrame")
+        out = s(df)
+        if not isinstance(out, DataFrame):
+            raise TypeError(f"pipeline step {s!r} returned {type(out).__name__}, not a DataFrame")
+        df = out
     return df
 
 

@@ -71,20 +71,19 @@ def flag(score: Column | str, threshold: float | Column, strict: bool = True) ->
     return F.when(s > t if strict else s >= t, F.lit(1)).otherwise(F.lit(0))
 
 
-def false_positive_marks(df: DataFrame, fp_messages: DataFrame | None, match_col: str = "message",
-                         broadcast_max_rows: int = 1_000_000) -> DataFrame:
+def false_positive_marks(df: DataFrame, fp_messages: DataFrame | None, match_col: str = "message") -> DataFrame:
     """Add ``__fp`` (true when the row's ``match_col`` is a reported false positive).
 
     The false-positive set is distinct messages; it is broadcast only below a checked
-    row count, otherwise joined by shuffle.
+    size, otherwise joined by shuffle.
     """
     if fp_messages is None:
         return df.withColumn("__fp", F.lit(False))
-    from ..session import cut_lineage
+    from ..session import broadcast_if_small, cut_lineage
 
     fp = cut_lineage(fp_messages.select(F.col("message").alias("__fpm")).distinct().withColumn("__fp", F.lit(True)))
-    if fp.count() <= broadcast_max_rows:
-        fp = F.broadcast(fp)
+    # a stored message is at most 2,000 characters: budget the broadcast for that width
+    fp = broadcast_if_small(fp, row_bytes=C.FEEDBACK_MESSAGE_MAX + 64)
     j = df.join(fp, df[match_col] == fp["__fpm"], "left").drop("__fpm")
     return j.withColumn("__fp", F.coalesce(F.col("__fp"), F.lit(False)))
 

@@ -59,7 +59,9 @@ def running_sum(df: DataFrame, value: Column | str, order_cols: list[str], parti
     prior = (Window.partitionBy(*partition_cols).orderBy("__blk")
              .rowsBetween(Window.unboundedPreceding, -1))
     offsets = totals.withColumn("__off", F.coalesce(F.sum("__tot").over(prior), F.lit(0)))
-    out = with_local.join(F.broadcast(offsets.drop("__tot")), partition_cols + ["__blk"])
+    from ..session import broadcast_if_small, cut_lineage
+    offsets = cut_lineage(offsets.drop("__tot"))        # one row per (key, block)
+    out = with_local.join(broadcast_if_small(offsets, row_bytes=64), partition_cols + ["__blk"])
     return out.withColumn(out_col, F.col("__local") + F.col("__off")).drop("__blk", "__v", "__local", "__off")
 
 

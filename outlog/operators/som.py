@@ -123,13 +123,15 @@ def weighted_moments(df: DataFrame, vec_col: str, weight_col: str | None = None)
     wcol = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
     sums = (df.select(wcol.alias("w"), F.col(vec_col).alias("v"))
               .mapInPandas(_moment_partials, "n double, s array<double>, ss array<double>"))
-    parts = sums.collect()       # one row per task: bounded by the number of partitions
-    if not parts:
+    # reduce the per-task partials in Spark: only 1 + dim + dim^2 numbers reach the driver
+    flat = sums.select(F.concat(F.array("n"), "s", "ss").alias("x")).select(F.posexplode("x").alias("i", "v"))
+    tot = {r["i"]: r["v"] for r in flat.groupBy("i").agg(F.sum("v").alias("v")).collect()}
+    if not tot:
         raise ValueError("no rows to fit")
-    n = sum(r["n"] for r in parts)
-    s = np.sum([np.array(r["s"]) for r in parts], axis=0)
-    dim = len(s)
-    ss = np.sum([np.array(r["ss"]).reshape(dim, dim) for r in parts], axis=0)
+    m = len(tot)
+    dim = int(round((-1 + np.sqrt(1 + 4 * (m - 1))) / 2))
+    vec = np.array([tot[i] for i in range(m)])
+    n, s, ss = vec[0], vec[1:1 + dim], vec[1 + dim:].reshape(dim, dim)
     mean = s / n
     return mean, ss / n - np.outer(mean, mean)
 

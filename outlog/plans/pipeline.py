@@ -19,7 +19,7 @@ from ..config import DetectorConfig
 from ..operators import encoder as enc
 from ..operators import som
 from ..operators.detect import ScoreStats, predictions, score_stats
-from ..session import cut_lineage
+from ..session import broadcast_if_small, cut_lineage
 
 
 class Detector(Protocol):
@@ -118,9 +118,7 @@ class SomDetector:
             scored = self.train_scored.select("template", "bmu", "dist")
         else:
             scored = cut_lineage(self.score_templates(lines).select("template", "bmu", "dist"))
-        n = scored.count()
-        side = F.broadcast(scored) if n * 200 <= C.BROADCAST_MAX_BYTES else scored
-        return lines.join(side, "template", "left")
+        return lines.join(broadcast_if_small(scored), "template", "left")
 
     def predict(self, lines: DataFrame, id_cols: list[str], batch_id: str,
                 fp_messages: DataFrame | None = None, training: bool = False) -> DataFrame:

@@ -15,7 +15,7 @@ from ..functions.vectors import as_double_array, hash_vector
 from ..operators import alerts, detect, encoder as enc, feedback as fb, som, timeline
 from ..operators.flatten import flatten_json_column
 from ..operators.prefix import ordered_position, running_sum
-from ..session import cut_lineage, read_table
+from ..session import broadcast_if_small, cut_lineage, read_table
 from ..sources.logs import (conversation_lines, document_lines, events_as_common_log,
                             parse_common_log_lines, text_query, window_read, with_date_partition)
 
@@ -273,7 +273,7 @@ def hash_model(spark, d, with_codebook=False):
 
 def hash_predictions(spark, d, with_fp=True):
     lines, scored, stats = hash_model(spark, d)
-    scored_lines = lines.join(F.broadcast(scored.select("template", "bmu", "dist")), "template")
+    scored_lines = lines.join(broadcast_if_small(scored.select("template", "bmu", "dist")), "template")
     fp = fb.false_positives(_inserted(spark, d)) if with_fp else None
     return detect.predictions(scored_lines, stats, ["doc_id", "line_no"], BATCH_ID, fp, factor=HASH_FACTOR), stats
 

@@ -72,6 +72,20 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def broadcast_if_small(df: DataFrame, row_bytes: int = 256, max_bytes: int | None = None) -> DataFrame:
+    """Mark ``df`` for broadcast only when its counted size fits the budget.
+
+    The count is an action, so pass a checkpointed or cheap DataFrame.  Above the budget
+    the DataFrame is returned as is and the join stays a shuffle join.
+    """
+    from pyspark.sql import functions as F
+
+    from .config import BROADCAST_MAX_BYTES
+
+    limit = BROADCAST_MAX_BYTES if max_bytes is None else max_bytes
+    return F.broadcast(df) if df.count() * row_bytes <= limit else df
+
+
 def sf_path(sf_dir: str, table: str) -> str:
     return os.path.join(sf_dir, f"{table}.parquet")
 

@@ -161,8 +161,10 @@ class StreamPredictor:
         codebook, stats, dim, seed = self.model
         lines = document_lines(batch)
         counts = lines.groupBy("template").count().withColumn("vector", hash_vector("template", dim, seed))
-        scored = som.bmu_search(counts, "vector", codebook, keep_vector=False).select("template", "bmu", "dist")
-        sl = lines.join(F.broadcast(scored), "template")
+        from ..session import broadcast_if_small, cut_lineage
+        scored = cut_lineage(som.bmu_search(counts, "vector", codebook, keep_vector=False)
+                             .select("template", "bmu", "dist"))
+        sl = lines.join(broadcast_if_small(scored), "template")
         fp = self.feedback() if self.feedback else None
         p = detect.predictions(sl, stats, ["doc_id", "line_no"], f"batch-{batch_id}", fp, factor=self.factor)
         p.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")

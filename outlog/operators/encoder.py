@@ -21,16 +21,22 @@ def document_sentences(documents: DataFrame, text_col: str = "text", keep=("doc_
 
 
 def sequence_sentences(lines: DataFrame, seq_cols: list[str], order_cols: list[str],
-                       word_col: str = "template") -> DataFrame:
+                       word_col: str = "template", max_len: int = 1000) -> DataFrame:
     """Sentences from separate line rows: templates per sequence key, sorted by ``order_cols``.
 
-    The sequence key must bound a group (a file, a conversation, a source and time
-    bucket); a single unbounded key would put the whole log in one task.
+    A sequence is cut into chunks of ``max_len`` consecutive lines (Word2Vec cuts longer
+    sentences at that length anyway), so no group grows with the data even when one
+    sequence key holds a large share of all lines.  Chunks come from each line's position
+    in its sequence, computed with block-wise prefix sums.
     """
+    from .prefix import ordered_position
+
+    pos = ordered_position(lines.select(*seq_cols, *order_cols, word_col), order_cols, seq_cols, "__pos")
+    chunk = F.floor((F.col("__pos") - 1) / F.lit(max_len))
     packed = F.struct(*[F.col(c) for c in order_cols], F.col(word_col).alias("__w"))
-    return (lines.groupBy(*seq_cols)
-                 .agg(F.sort_array(F.collect_list(packed)).alias("__s"))
-                 .select(*seq_cols, F.transform("__s", lambda s: s["__w"]).alias("sentence")))
+    return (pos.groupBy(*seq_cols, chunk.alias("__chunk"))
+               .agg(F.sort_array(F.collect_list(packed)).alias("__s"))
+               .select(*seq_cols, "__chunk", F.transform("__s", lambda s: s["__w"]).alias("sentence")))
 
 
 def cooccurrence_pairs(sentences: DataFrame, window: int = C.W2V_WINDOW,

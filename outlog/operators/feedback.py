@@ -65,13 +65,26 @@ def upsert(existing: DataFrame | None, batch: DataFrame, order_col: str = "creat
     existing id in ``(created_date, predict_id)`` order.  Nothing is collected: the new ids
     come from a window over the inserted rows only.
     """
-    ok = batch.where(F.col("reject_reason").isNull())
+    from ..session import cut_lineage
+
+    fields = [order_col, "message", "reported_anomaly_status", "customer_id"]
+    ok = batch.where(F.col("reject_reason").isNull()).withColumn("__k", F.struct(*fields))
     bad = batch.where(F.col("reject_reason").isNotNull())
-    w = Window.partitionBy("predict_id").orderBy(F.col(order_col), F.col("message"))
-    ranked = ok.withColumn("__rn", F.row_number().over(w))
-    first = ranked.where(F.col("__rn") == 1).drop("__rn")
-    dup_in_batch = ranked.where(F.col("__rn") > 1).drop("__rn").withColumn(
-        "reject_reason", F.lit("duplicate_predict_id"))
+    # The winner per id is an aggregate (partial aggregation, so an id repeated many times
+    # stays cheap): the earliest row, ties by message.  Every other row of the id is
+    # rejected; exact copies of the winner are counted and re-emitted as rejects, so no
+    # group of copies is ever gathered into one task.
+    win = cut_lineage(ok.groupBy("predict_id").agg(F.min("__k").alias("__win")))
+    marked = ok.join(win, "predict_id")
+    is_win = F.col("__k") == F.col("__win")
+    losers = marked.where(~is_win).drop("__k", "__win")
+    copies = marked.where(is_win).groupBy("predict_id", "__win").agg(F.count("*").alias("__n"))
+    unpack = [F.col(f"__win.{c}").alias(c) for c in fields]
+    first = win.select("predict_id", *unpack, F.lit(None).cast("string").alias("reject_reason"))
+    extra = (copies.where(F.col("__n") > 1)
+                   .select("predict_id", *unpack, F.explode(F.sequence(F.lit(2), F.col("__n"))).alias("__c"))
+                   .drop("__c").withColumn("reject_reason", F.lit(None).cast("string")))
+    dup_in_batch = losers.unionByName(extra).withColumn("reject_reason", F.lit("duplicate_predict_id"))
     if existing is not None:
         known = existing.select("predict_id").distinct()
         fresh = first.join(known, "predict_id", "left_anti")

@@ -66,3 +66,11 @@ def test_similar_words_brute_force(spark):
         sim[p] = -np.inf
         best = np.argsort(-sim)[:3]
         assert [got[(f"w{p}", r + 1)] for r in range(3)] == [f"w{i}" for i in best]
+
+
+def test_sequence_sentences_are_chunked_in_order(spark):
+    rows = [("s", 0, i, f"w{i}") for i in range(25)] + [("t", 1, i, f"v{i}") for i in range(3)]
+    lines = spark.createDataFrame(rows, "source string, doc_id long, line_no long, template string")
+    got = enc.sequence_sentences(lines, ["source"], ["doc_id", "line_no"], max_len=10).orderBy("source", "__chunk").collect()
+    assert [len(r["sentence"]) for r in got] == [10, 10, 5, 3]
+    assert got[1]["sentence"][0] == "w10" and got[3]["sentence"] == ["v0", "v1", "v2"]

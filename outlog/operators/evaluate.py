@@ -8,6 +8,9 @@ from seeded hashes of the line id, so a rerun or a retried task yields the same
 
 from __future__ import annotations
 
+import hashlib
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config as C
@@ -16,45 +19,53 @@ from ..functions.text import clean_whitespace
 from .prefix import ordered_position
 
 
+def _seeded(seed: int, tag: str, key: str, i: int) -> float:
+    """Same number as ``functions.ids.seeded_unit(seed, tag, key parts..., i)``."""
+    h = hashlib.md5(f"{seed}:{tag}:{key}:{i}".encode()).hexdigest()
+    return int(h[:8], 16) / 4294967296.0
+
+
+def corrupt_text(message: str | None, key: str, entropy: float, seed: int) -> str | None:
+    """The per-line helper: ``round(len * entropy)`` sequential overwrites of seeded
+    positions with seeded characters (a later write to a position wins)."""
+    if message is None:
+        return None
+    chars = list(message)
+    n = len(chars)
+    span = C.VALIDATION_CHAR_HIGH - C.VALIDATION_CHAR_LOW + 1
+    for i in range(round(n * entropy)):
+        p = int(_seeded(seed, "pos", key, i) * n)
+        chars[p] = chr(C.VALIDATION_CHAR_LOW + int(_seeded(seed, "chr", key, i) * span))
+    return "".join(chars)
+
+
 def corrupt(message: Column, id_cols: list[str], entropy: float = C.VALIDATION_ENTROPY,
             seed: int = C.VALIDATION_SEED) -> Column:
-    """Overwrite ``round(len * entropy)`` seeded positions; a later write to the same
-    position wins, as in a sequential loop.  Entropy above 1 is an error."""
+    """Corrupted message (an Arrow-batched pandas UDF around ``corrupt_text``).
+
+    The overwrite loop is sequential per line and the positions come from seeded hashes,
+    so a small vectorised Python helper is the direct form; it runs only on the rows
+    chosen for corruption (see ``validation_set``).  Entropy above 1 is an error.
+    """
     if entropy > 1:
         raise ValueError("entropy should be a real valued number between 0 and 1")
-    # Lambdas below only read their own parameters and plain columns: an expression used
-    # inside a lambda is evaluated once per element, so the message and its length enter
-    # as the lambdas' inputs, not as references.
-    length = F.length(message)
-    n = F.bround(length * F.lit(float(entropy))).cast("int")
-    ids = [F.col(c) for c in id_cols]
-
-    def step(L, i):
-        # position = randint(0, len - 1), character = chr(randint(65, 123)), both seeded by (ids, i)
-        return F.struct(F.floor(_unit(seed, "pos", ids, i) * L).cast("int").alias("p"), (-i).alias("ni"),
-                        F.chr(seeded_int(seed, C.VALIDATION_CHAR_LOW, C.VALIDATION_CHAR_HIGH,
-                                         F.lit("chr"), *ids, i)).alias("c"))
-
-    # sorted by position, latest step first: the first entry per position is the write that stays
-    steps = F.array_sort(F.transform(F.array_repeat(length, F.greatest(n, F.lit(0))), step))
-    empty = F.array().cast("array<struct<p:int,ni:int,c:string>>")
-    kept = F.aggregate(steps, F.struct(F.lit(-1).alias("lp"), empty.alias("acc")),
-                       lambda st, x: F.when(x["p"] == st["lp"], st).otherwise(
-                           F.struct(x["p"].alias("lp"), F.concat(st["acc"], F.array(x)).alias("acc"))))
-    rebuilt = F.aggregate(kept["acc"], message, lambda s, x: F.overlay(s, x["c"], x["p"] + 1, F.lit(1)))
-    return F.when(n > 0, rebuilt).otherwise(message)
-
-
-def _unit(seed, tag, ids, i):
-    from ..functions.ids import seeded_unit
-    return seeded_unit(seed, F.lit(tag), *ids, i)
+
+    @F.pandas_udf("string")
+    def _corrupt(msg: pd.Series, key: pd.Series) -> pd.Series:
+        return pd.Series([corrupt_text(m, k, entropy, seed) for m, k in zip(msg, key)], dtype=object)
+
+    key = F.concat_ws(":", *[F.col(c).cast("string") for c in id_cols])
+    return _corrupt(message, key)
 
 
 def split_by_position(lines: DataFrame, group_col: str, order_cols: list[str],
                       share: float = C.VALIDATION_TRAIN_SHARE) -> DataFrame:
-    """``position`` in line order per group and ``is_test`` for lines after the first ``share``."""
-    pos = ordered_position(lines, order_cols, [group_col], "position")
-    n = lines.groupBy(group_col).agg(F.count("*").alias("__n"))
+    """``(group, order cols..., position, is_test)``: position in line order per group and
+    ``is_test`` for lines after the first ``share``.  Only the key columns take part (the
+    message text is joined back by the caller when needed)."""
+    keys = lines.select(group_col, *order_cols)
+    pos = ordered_position(keys, order_cols, [group_col], "position")
+    n = pos.groupBy(group_col).agg(F.max("position").alias("__n"))
     return (pos.join(n, group_col)
                .withColumn("is_test", (F.col("position") > F.bround(F.col("__n") * F.lit(share))).cast("int"))
                .drop("__n"))
@@ -63,14 +74,17 @@ def split_by_position(lines: DataFrame, group_col: str, order_cols: list[str],
 def validation_set(lines: DataFrame, group_col: str, id_cols: list[str], seed: int = C.VALIDATION_SEED,
                    gate: int = C.VALIDATION_GATE, entropy: float = C.VALIDATION_ENTROPY) -> DataFrame:
     """``(ids..., message, label)``: stripped messages, the test part partly corrupted."""
-    s = split_by_position(lines, group_col, id_cols)
+    s = split_by_position(lines, group_col, id_cols).join(lines.select(*id_cols, "message"), id_cols)
     draw = seeded_int(seed, 1, 100, F.lit("gate"), *[F.col(c) for c in id_cols])
     label = F.when((F.col("is_test") == 1) & (draw >= gate), 1).otherwise(0)
+    from ..session import cut_lineage
+
     msg = clean_whitespace(F.col("message"))
-    out = s.withColumn("label", label).withColumn("message", msg)
-    return out.withColumn("message", F.when(F.col("label") == 1, corrupt(F.col("message"), id_cols, entropy, seed))
-                                      .otherwise(F.col("message"))) \
-              .select(*id_cols, "message", "label")
+    out = cut_lineage(s.withColumn("label", label).withColumn("message", msg).select(*id_cols, "message", "label"))
+    # a Python UDF would be evaluated for every row even under a CASE, so the corrupted
+    # rows are split off, rewritten, and put back
+    bad = out.where(F.col("label") == 1).withColumn("message", corrupt(F.col("message"), id_cols, entropy, seed))
+    return out.where(F.col("label") == 0).unionByName(bad)
 
 
 def confusion(predicted: DataFrame, actual: DataFrame, key: list[str], pred_col: str = "predicted",

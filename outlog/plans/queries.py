@@ -418,12 +418,8 @@ def q_realert_suppression(spark, d):
 # ---- 9. evaluation data ----------------------------------------------------------------------
 
 def split_80_20(spark, d):
-    lines = lines_df(spark, d)
-    pos = ordered_position(lines, ["doc_id", "line_no"], ["source"], "position")
-    n = lines.groupBy("source").agg(F.count("*").alias("__n"))
-    return (pos.join(n, "source")
-               .withColumn("is_test", (F.col("position") > F.bround(F.col("__n") * F.lit(C.VALIDATION_TRAIN_SHARE))).cast("int"))
-               .drop("__n"))
+    from ..operators.evaluate import split_by_position
+    return split_by_position(lines_df(spark, d), "source", ["doc_id", "line_no"], C.VALIDATION_TRAIN_SHARE)
 
 
 def q_split_80_20(spark, d):

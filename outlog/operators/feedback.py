@@ -62,9 +62,19 @@ def upsert(existing: DataFrame | None, batch: DataFrame, order_col: str = "creat
 
     Duplicates inside the batch keep the earliest (ties by message), ids already in the
     table are rejected with ``duplicate_predict_id``.  ``id`` continues after the largest
-    existing id in ``(created_date, predict_id)`` order.  Nothing is collected: the new ids
-    come from a window over the inserted rows only.
+    existing id in ``(created_date, predict_id)`` order, numbered with block-wise prefix
+    sums (no single-task window, nothing collected).
     """
+    fresh, rejected = accept(existing, batch, order_col)
+    base = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar() if existing is not None else F.lit(0)
+    numbered = _number_rows(fresh, [order_col, "predict_id"]) \
+        .withColumn("id", (base + F.col("__pos")).cast("int")).drop("__pos")
+    return numbered.select(*FEEDBACK_COLUMNS), rejected
+
+
+def accept(existing: DataFrame | None, batch: DataFrame, order_col: str = "created_date"):
+    """``(accepted, rejected)``: the rows an insert keeps (one per new ``predict_id``) and
+    every rejected row with its reason, before ids are assigned."""
     from ..session import cut_lineage
 
     fields = [order_col, "message", "reported_anomaly_status", "customer_id"]
@@ -90,17 +100,12 @@ def upsert(existing: DataFrame | None, batch: DataFrame, order_col: str = "creat
         fresh = first.join(known, "predict_id", "left_anti")
         dup_table = first.join(known, "predict_id", "left_semi").withColumn(
             "reject_reason", F.lit("duplicate_predict_id"))
-        base = existing.agg(F.coalesce(F.max("id"), F.lit(0))).scalar()
     else:
         fresh, dup_table = first, None
-        base = F.lit(0)
-    numbered = _number_rows(fresh, [order_col, "predict_id"]) \
-        .withColumn("id", (base + F.col("__pos")).cast("int")).drop("__pos")
-    inserted = numbered.select(*FEEDBACK_COLUMNS)
     rejected = bad.unionByName(dup_in_batch)
     if dup_table is not None:
         rejected = rejected.unionByName(dup_table)
-    return inserted, rejected
+    return fresh, rejected
 
 
 def _number_rows(df: DataFrame, order_cols: list[str]) -> DataFrame:

@@ -232,25 +232,31 @@ def _inserted(spark, d):
     return ins
 
 
+def _accepted(spark, d):
+    """The feedback rows the insert keeps (the table's content apart from the ``id``)."""
+    acc, _ = fb.accept(None, _validated(spark, d))
+    return acc
+
+
 def q_feedback_upsert(spark, d):
     return _inserted(spark, d).select("id", "predict_id", "reported_anomaly_status", "customer_id",
                                       F.length("message").alias("message_length"))
 
 
 def q_false_positives(spark, d):
-    return fb.false_positives(_inserted(spark, d)).select(F.md5("message").alias("message_md5"),
+    return fb.false_positives(_accepted(spark, d)).select(F.md5("message").alias("message_md5"),
                                                           F.length("message").alias("message_length"))
 
 
 def q_noise_union(spark, d):
-    fp = fb.false_positives(_inserted(spark, d))
+    fp = fb.false_positives(_accepted(spark, d))
     lines = lines_df(spark, d).select("message", "template")
     u = lines.unionByName(fb.noise_rows(fp, 3).select("message", "template"))
     return u.groupBy("template").agg(F.count("*").alias("n"))
 
 
 def q_feedback_counts(spark, d):
-    return fb.feedback_counts(_inserted(spark, d))
+    return fb.feedback_counts(_accepted(spark, d))
 
 
 def q_reject_counts(spark, d):
@@ -274,7 +280,7 @@ def hash_model(spark, d, with_codebook=False):
 def hash_predictions(spark, d, with_fp=True):
     lines, scored, stats = hash_model(spark, d)
     scored_lines = lines.join(broadcast_if_small(scored.select("template", "bmu", "dist")), "template")
-    fp = fb.false_positives(_inserted(spark, d)) if with_fp else None
+    fp = fb.false_positives(_accepted(spark, d)) if with_fp else None
     return detect.predictions(scored_lines, stats, ["doc_id", "line_no"], BATCH_ID, fp, factor=HASH_FACTOR), stats
 
 

@@ -63,13 +63,17 @@ def scratch_path(spark: SparkSession, name: str) -> str:
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder and cut its lineage.
+    """Materialise ``df`` as a Parquet table in the shared work folder and read it back.
 
-    Reliable (not local) checkpoints survive executor loss, which iterative jobs such
-    as the SOM epochs and the pointer-doubling walk rely on.
+    The result depends on nothing but the written files, so it survives executor loss
+    (unlike a local checkpoint) and its plan stays small across iterations (SOM epochs,
+    the pointer-doubling walk).  One write job, versus compute-then-write for
+    ``DataFrame.checkpoint``.
     """
-    work_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = scratch_path(spark, "cut")
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
 
 
 def broadcast_if_small(df: DataFrame, row_bytes: int = 256, max_bytes: int | None = None) -> DataFrame:

@@ -200,7 +200,7 @@ def q_stream_predict(spark, d):
         return cb, stats, Q.HASH_DIM, C.W2V_SEED
 
     def feedback():
-        return fb.false_positives(Q._inserted(spark, d))
+        return fb.false_positives(Q._accepted(spark, d))
 
     sp = StreamPredictor(fit, feedback, retrain_every=C.INFER_LOOPS, factor=Q.HASH_FACTOR)
     out = run_foreach_batch(table_stream(spark, d, "documents"), "stream-predict", sp.handle)

@@ -49,12 +49,15 @@ def score_stats_df(scored: DataFrame, dist_col: str = "dist", weight_col: str |
     """
     w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
     base = scored.select(F.col(dist_col).alias("d"), w.alias("w"))
-    mx = base.agg(F.max("d")).scalar()
-    x = normalised(F.col("d"), mx)
-    mean = base.agg(F.sum(x * F.col("w")) / F.sum("w")).scalar()
-    var = F.sum(F.col("w") * (x - mean) * (x - mean)) / F.sum("w")
-    return base.agg(F.max("d").alias("max_dist"), (F.sum(x * F.col("w")) / F.sum("w")).alias("mean"),
-                    F.sqrt(F.greatest(var, F.lit(0.0))).alias("std"), F.min(x).alias("min"))
+    # one pass: normalising by the maximum scales mean, std and min by the same factor
+    agg = base.agg(F.max("d").alias("max_dist"), F.min("d").alias("__lo"), F.sum("w").alias("__sw"),
+                   F.sum(F.col("w") * F.col("d")).alias("__s1"),
+                   F.sum(F.col("w") * F.col("d") * F.col("d")).alias("__s2"))
+    mean_d = F.col("__s1") / F.col("__sw")
+    std_d = F.sqrt(F.greatest(F.col("__s2") / F.col("__sw") - mean_d * mean_d, F.lit(0.0)))
+    return agg.select("max_dist", normalised(mean_d, F.col("max_dist")).alias("mean"),
+                      normalised(std_d, F.col("max_dist")).alias("std"),
+                      normalised(F.col("__lo"), F.col("max_dist")).alias("min"))
 
 
 def score_stats(scored: DataFrame, dist_col: str = "dist", weight_col: str | None = None) -> ScoreStats:

@@ -126,6 +126,16 @@ class SomDetector:
                            factor=self.cfg.threshold_factor, model_version=self.cfg.model_version,
                            elast_alert=self.cfg.elast_alert, namespace=self.cfg.namespace)
 
+    def infer(self, lines: DataFrame, id_cols: list[str], batch_id: str, train_lines: DataFrame,
+              fp_messages: DataFrame | None = None) -> DataFrame:
+        """Score new lines; when they hold templates the encoder has never seen, refit the
+        detector on the training lines plus the new ones first (``oov='retrain'``)."""
+        unseen = enc.new_words(lines, self.vectors.select("word"))
+        if not unseen.isEmpty():
+            both = train_lines.unionByName(lines, allowMissingColumns=True)
+            self.fit(both, sentences=None if self.encoder == "word2vec" else None)
+        return self.predict(lines, id_cols, batch_id, fp_messages)
+
     def threshold(self) -> float:
         return self.stats.threshold(self.cfg.threshold_factor)
 

@@ -168,6 +168,11 @@ class StreamPredictor:
         fp = self.feedback() if self.feedback else None
         p = detect.predictions(sl, stats, ["doc_id", "line_no"], f"batch-{batch_id}", fp, factor=self.factor)
         p.write.mode("overwrite").parquet(f"{out}/batch_id={batch_id}")
+        # run metrics of this batch (what a scrape would read), rewritten on replay
+        from ..operators.metrics import batch_metrics
+        written = p.sparkSession.read.parquet(f"{out}/batch_id={batch_id}")
+        batch_metrics(written, stats.threshold(self.factor), ["doc_id", "line_no"]) \
+            .write.mode("overwrite").parquet(f"{out}_metrics/batch_id={batch_id}")
 
 
 # ---- registered queries -------------------------------------------------------------------

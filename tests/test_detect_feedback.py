@@ -105,3 +105,18 @@ def test_more_noise_lowers_the_score(spark):
         p = det.predict(lines, ["doc_id", "line_no"], "b").where(F.col("message").startswith("root CMD"))
         scores.append(p.first()["anomaly_score"])
     assert scores[0] > scores[1]
+
+
+def test_infer_retrains_on_unseen_templates(spark):
+    from outlog.functions.text import template
+    train = spark.createDataFrame([(i, 0, "alpha beta", "s") for i in range(20)] + [(99, 0, "gamma", "s")],
+                                  "doc_id long, line_no int, message string, source string") \
+        .withColumn("template", template("message"))
+    new = spark.createDataFrame([(200, 0, "delta epsilon", "s"), (201, 0, "alpha beta", "s")],
+                                "doc_id long, line_no int, message string, source string") \
+        .withColumn("template", template("message"))
+    cfg = DetectorConfig(map_rows=1, map_cols=2, epochs=2, som_init="random", vector_length=4)
+    det = SomDetector(cfg=cfg, encoder="hash").fit(train)
+    before = det.vocab_size
+    p = det.infer(new, ["doc_id", "line_no"], "b", train)
+    assert det.vocab_size == before + 1 and p.count() == 2

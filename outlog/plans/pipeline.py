@@ -133,7 +133,7 @@ class SomDetector:
         unseen = enc.new_words(lines, self.vectors.select("word"))
         if not unseen.isEmpty():
             both = train_lines.unionByName(lines, allowMissingColumns=True)
-            self.fit(both, sentences=None if self.encoder == "word2vec" else None)
+            self.fit(both)
         return self.predict(lines, id_cols, batch_id, fp_messages)
 
     def threshold(self) -> float:

@@ -137,6 +137,42 @@ def stream_flatline(events: DataFrame, key: str = "event_type", timeframe_s: int
         _flatline_fn(int(timeframe_s * 1_000_000)), FLAT_OUT, FLAT_STATE, "append", "NoTimeout")
 
 
+def _silence_timer_fn(gap_us: int):
+    def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            # the watermark passed last_seen + timeframe: the key has gone quiet
+            last = state.get[0]
+            state.remove()
+            yield pd.DataFrame({"event_type": [key[0]], "last_seen": pd.to_datetime([last], unit="us"),
+                                "next_seen": pd.to_datetime([None]), "silent_s": [None]})
+            return
+        pdf = pd.concat(list(pdfs))
+        us = np.sort(pdf["__us"].to_numpy())
+        if state.exists:
+            us = np.concatenate([[state.get[0]], us])
+        prev, nxt = us[:-1], us[1:]
+        hit = (nxt - prev) >= gap_us
+        last = int(us[-1])
+        state.update((last,))
+        state.setTimeoutTimestamp((last + gap_us) // 1000)
+        yield pd.DataFrame({"event_type": [key[0]] * int(hit.sum()),
+                            "last_seen": pd.to_datetime(prev[hit], unit="us"),
+                            "next_seen": pd.to_datetime(nxt[hit], unit="us"),
+                            "silent_s": (nxt[hit] - prev[hit]) / 1e6})
+    return fn
+
+
+def stream_flatline_timer(events: DataFrame, key: str = "event_type", timeframe_s: int = C.FLATLINE_TIMEFRAME_S,
+                          watermark: str = WATERMARK) -> DataFrame:
+    """Flatline with an event-time timer: gaps between events as in ``stream_flatline``, plus
+    one alert (``next_seen`` null) when the watermark passes ``last_seen + timeframe``
+    while the key stays silent."""
+    ev = (events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", watermark)
+                .select(key, "ts", F.unix_micros("ts").alias("__us")))
+    return ev.groupBy(key).applyInPandasWithState(
+        _silence_timer_fn(int(timeframe_s * 1_000_000)), FLAT_OUT, FLAT_STATE, "append", "EventTimeTimeout")
+
+
 # ---- micro-batch prediction -------------------------------------------------------------------
 
 class StreamPredictor:
@@ -196,6 +232,11 @@ def q_stream_flatline(spark, d):
         .select("event_type", "last_seen", "next_seen", F.round("silent_s", 6).alias("silent_s"))
 
 
+def q_stream_flatline_timer(spark, d):
+    return run_to_table(stream_flatline_timer(table_stream(spark, d, "events")), "stream-flat-timer") \
+        .select("event_type", "last_seen", "next_seen", F.round("silent_s", 6).alias("silent_s"))
+
+
 def q_stream_predict(spark, d):
     from ..plans import queries as Q
     from ..operators import feedback as fb
@@ -239,5 +280,13 @@ HAVING count(*) >= 1
 SELECT event_type, ts AS last_seen, nx AS next_seen, round(epoch(nx) - epoch(ts), 6) AS silent_s FROM (
   SELECT event_type, ts, lead(ts) OVER (PARTITION BY event_type ORDER BY ts) AS nx FROM events) t
 WHERE nx IS NOT NULL AND epoch(nx) - epoch(ts) >= 3600""",
+        "stream_flatline_timer": """
+SELECT event_type, ts AS last_seen, nx AS next_seen, round(epoch(nx) - epoch(ts), 6) AS silent_s FROM (
+  SELECT event_type, ts, lead(ts) OVER (PARTITION BY event_type ORDER BY ts) AS nx FROM events) t
+WHERE nx IS NOT NULL AND epoch(nx) - epoch(ts) >= 3600
+UNION ALL
+SELECT event_type, max(ts) AS last_seen, CAST(NULL AS TIMESTAMP) AS next_seen, CAST(NULL AS DOUBLE) AS silent_s
+FROM events GROUP BY event_type
+HAVING epoch_ms(max(ts)) + 3600000 < (SELECT epoch_ms(max(ts)) FROM events) - 1800000""",
         "stream_predict": b["predict_lines"],
     }

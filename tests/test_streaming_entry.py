@@ -25,6 +25,21 @@ def test_stream_rate_is_batch_minus_open_windows(spark, sf_small):
     assert _rows(s, ["event_type", "window_start", "n"]) == _rows(closed, ["event_type", "window_start", "n"])
 
 
+def test_stream_flatline_timer_fires_on_silence(spark, tmp_root):
+    import datetime as dt
+    import pandas as pd
+
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [("a", t0 + dt.timedelta(minutes=10 * i)) for i in range(60)]
+    rows += [("b", t0 + dt.timedelta(minutes=10 * i)) for i in range(6)]
+    d = tmp_root / "silence"
+    d.mkdir()
+    pd.DataFrame(rows, columns=["event_type", "ts"]).to_parquet(d / "ev.parquet", index=False, coerce_timestamps="us")
+    out = jobs.run_to_table(jobs.stream_flatline_timer(jobs.table_stream(spark, str(d), "ev")), "flat-timer")
+    got = [(r["event_type"], r["last_seen"], r["next_seen"]) for r in out.collect()]
+    assert got == [("b", t0 + dt.timedelta(minutes=50), None)]
+
+
 def test_stream_predict_equals_batch_and_replays(spark, sf_small):
     s = jobs.q_stream_predict(spark, sf_small)
     b = Q.q_predict_lines(spark, sf_small)

@@ -345,13 +345,19 @@ def fit_som(df: DataFrame, vec_col: str, codebook: Codebook, epochs: int,
 def umatrix(codebook_df: DataFrame) -> DataFrame:
     """Per node, the summed distance to its (up to 8) grid neighbours; edges are clipped.
 
-    A range self-join on the model-sized codebook table.
+    Each node lists its eight neighbour cells and meets them with an equi-join on the
+    grid coordinates (cells outside the map find no partner), so no pairs are formed
+    beyond the real neighbours.
     """
-    a = codebook_df.select(F.col("node"), F.col("gx"), F.col("gy"), F.col("w"))
-    b = codebook_df.select(F.col("node").alias("node_b"), F.col("gx").alias("gx_b"),
-                           F.col("gy").alias("gy_b"), F.col("w").alias("w_b"))
     from ..functions.vectors import euclidean
-    j = a.join(b, (F.abs(a.gx - b.gx_b) <= 1) & (F.abs(a.gy - b.gy_b) <= 1) & (a.node != b.node_b))
+
+    offsets = F.array(*[F.struct(F.lit(dx).alias("dx"), F.lit(dy).alias("dy"))
+                        for dx in (-1, 0, 1) for dy in (-1, 0, 1) if (dx, dy) != (0, 0)])
+    a = (codebook_df.select("node", "gx", "gy", "w", F.explode(offsets).alias("o"))
+                    .select("node", "gx", "gy", "w", (F.col("gx") + F.col("o.dx")).alias("nx"),
+                            (F.col("gy") + F.col("o.dy")).alias("ny")))
+    b = codebook_df.select(F.col("gx").alias("nx"), F.col("gy").alias("ny"), F.col("w").alias("w_b"))
+    j = a.join(b, ["nx", "ny"])
     return (j.groupBy("node", "gx", "gy")
              .agg(F.sum(euclidean("w", "w_b")).alias("umatrix"), F.count("*").alias("neighbours")))
 

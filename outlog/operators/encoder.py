@@ -77,18 +77,29 @@ def sentence_vocabulary(sentences: DataFrame, min_count: int = C.W2V_MIN_COUNT)
 
 def fit_word2vec(sentences: DataFrame, vector_length: int = C.W2V_VECTOR_LENGTH,
                  window: int = C.W2V_WINDOW, min_count: int = C.W2V_MIN_COUNT,
-                 max_iter: int = C.W2V_ITER, seed: int = C.W2V_SEED, partitions: int = 1,
+                 max_iter: int = C.W2V_ITER, seed: int = C.W2V_SEED, partitions: int | None = None,
                  max_sentence_length: int = 1000, max_model_bytes: int = C.BROADCAST_MAX_BYTES,
-                 vocab_size: int | None = None):
+                 vocab_size: int | None = None, corpus_words: int | None = None):
     """Train skip-gram Word2Vec on template sentences; returns (model, vectors DataFrame).
 
     Spark ML keeps the vocabulary and the two ``vocab x dim`` float matrices on the driver
     and ships them to the executors every iteration, so the vocabulary size is counted
     first (a distributed aggregate) and checked against ``max_model_bytes``.  Sentences
     longer than ``max_sentence_length`` are cut into chunks (no word is dropped).
+
+    ``partitions=None`` sizes the training parallelism from the corpus: one partition
+    (reproducible vectors) up to ``W2V_WORDS_PER_PARTITION`` words, beyond that one
+    partition per that many words, up to the cluster's default parallelism - so a large
+    corpus is never trained inside a single task.
     """
     from pyspark.ml.feature import Word2Vec
 
+    if partitions is None:
+        if corpus_words is None:
+            corpus_words = sentences.select(F.sum(F.size("sentence"))).first()[0] or 0
+        per = C.W2V_WORDS_PER_PARTITION
+        cap = sentences.sparkSession.sparkContext.defaultParallelism
+        partitions = max(1, min(cap, -(-int(corpus_words) // per)))
     if vocab_size is None:
         vocab_size = sentence_vocabulary(sentences, min_count).count()
     if vocab_size == 0:

@@ -78,10 +78,14 @@ class SomDetector:
                 from ..operators.feedback import noise_sentences
                 sents = sents.unionByName(noise_sentences(noise, noise_copies).select("sentence"),
                                           allowMissingColumns=True).select("sentence")
-            vocab = counts.where(F.col("n") >= cfg.min_count).count() if sentences_from_lines else None
+            vocab = words = None
+            if sentences_from_lines:
+                r = counts.agg(F.sum(F.when(F.col("n") >= cfg.min_count, 1).otherwise(0)).alias("v"),
+                               F.sum("n").alias("w")).first()
+                vocab, words = int(r["v"] or 0), int(r["w"] or 0)
             _, vectors = enc.fit_word2vec(sents.select("sentence"), cfg.vector_length, cfg.window,
                                           cfg.min_count, cfg.w2v_iter, cfg.w2v_seed, cfg.w2v_partitions,
-                                          cfg.max_sentence_length, vocab_size=vocab)
+                                          cfg.max_sentence_length, vocab_size=vocab, corpus_words=words)
             self.vectors = cut_lineage(vectors)
         elif self.encoder == "hash":
             self.vectors = enc.hash_vectors(counts.select(F.col("template").alias("word")),

@@ -40,8 +40,10 @@ def _greedy_ref(pdf, gap):
 def test_greedy_gap_brute_force(spark):
     df, pdf = _events(spark, 300, 2)
     for gap in (60, 900, 5000):
-        got = sorted(r["id"] for r in timeline.greedy_gap(df, "ts", ["k"], gap, "id").collect())
-        assert got == _greedy_ref(pdf, gap)
+        ref = _greedy_ref(pdf, gap)
+        local = sorted(r["id"] for r in timeline.greedy_gap(df, "ts", ["k"], gap, "id").collect())
+        doubling = sorted(r["id"] for r in timeline.greedy_gap(df, "ts", ["k"], gap, "id", local_max=0).collect())
+        assert local == ref and doubling == ref
 
 
 def test_frequency_and_flatline(spark):

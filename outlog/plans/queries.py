@@ -270,7 +270,7 @@ def hash_model(spark, d, with_codebook=False):
     frequent templates' vectors."""
     lines = lines_df(spark, d)
     counts = lines.groupBy("template").agg(F.count("*").alias("n"))
-    enc_t = counts.withColumn("vector", hash_vector("template", HASH_DIM, C.W2V_SEED))
+    enc_t = cut_lineage(counts.withColumn("vector", hash_vector("template", HASH_DIM, C.W2V_SEED)))
     cb = som.init_frequent(enc_t, "vector", "template", "n", MAP_ROWS, MAP_COLS)
     scored = cut_lineage(som.bmu_search(enc_t, "vector", cb, keep_vector=False).select("template", "n", "bmu", "dist"))
     stats = detect.score_stats(scored, "dist", "n")

@@ -305,7 +305,8 @@ def q_last_anomaly_per_message(spark, d):
 
 def q_running_anomaly_count(spark, d):
     p, _ = hash_predictions(spark, d)
-    out = running_sum(p, "anomaly", ["doc_id", "line_no"], ["inference_batch_id"], "running_anomalies")
+    keys = p.select("inference_batch_id", "doc_id", "line_no", "anomaly")
+    out = running_sum(keys, "anomaly", ["doc_id", "line_no"], ["inference_batch_id"], "running_anomalies")
     return out.select("doc_id", "line_no", "running_anomalies")
 
 
@@ -331,7 +332,8 @@ HIST_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5,
 def q_anomaly_histogram(spark, d):
     """Cumulative histogram of the running anomaly count observed after every line."""
     p, _ = hash_predictions(spark, d)
-    runs = running_sum(p, "anomaly", ["doc_id", "line_no"], ["inference_batch_id"], "running")
+    keys = p.select("inference_batch_id", "doc_id", "line_no", "anomaly")
+    runs = running_sum(keys, "anomaly", ["doc_id", "line_no"], ["inference_batch_id"], "running")
     bounds = F.array(*[F.lit(b) for b in HIST_BOUNDS] + [F.lit(float("inf"))])
     per = runs.select(F.explode(bounds).alias("le"), "running")
     return per.groupBy("le").agg(F.sum((F.col("running") <= F.col("le")).cast("long")).alias("count"))

@@ -11,10 +11,8 @@ from __future__ import annotations
 from dataclasses import dataclass, field
 from typing import Protocol
 
-import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
-from .. import config as C
 from ..config import DetectorConfig
 from ..operators import encoder as enc
 from ..operators import som

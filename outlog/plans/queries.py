@@ -6,15 +6,15 @@ sums taken in a different order differ in the last bits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import config as C
-from ..functions.ids import seeded_int, seeded_unit, stable_id
-from ..functions.text import percent_encode, strip_prefix, template, to_str, fill_empty
+from ..functions.ids import seeded_int
+from ..functions.text import percent_encode, strip_prefix, to_str, fill_empty
 from ..functions.vectors import as_double_array, hash_vector
 from ..operators import alerts, detect, encoder as enc, feedback as fb, som, timeline
 from ..operators.flatten import flatten_json_column
-from ..operators.prefix import ordered_position, running_sum
+from ..operators.prefix import running_sum
 from ..session import broadcast_if_small, cut_lineage, read_table
 from ..sources.logs import (conversation_lines, document_lines, events_as_common_log,
                             parse_common_log_lines, text_query, window_read, with_date_partition)

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState
 
 from .. import config as C
-from ..session import scratch_path, work_dir
+from ..session import scratch_path
 
 WATERMARK = "30 minutes"
 

@@ -197,6 +197,29 @@ den AS (SELECT h.j, sum(h.h * bs.n) AS den FROM h JOIN bs ON h.bb = bs.bmu GROUP
 SELECT CAST(num.j AS INTEGER) AS node, CAST(num.i AS INTEGER) AS dim, round(num / den, 6) AS w
 FROM num JOIN den USING (j)"""
 
+    def epoch(k: int) -> str:
+        """One batch-SOM epoch: codebook cb{k-1} (node, v) -> cb{k}."""
+        p = k - 1
+        return f"""
+d{k} AS (SELECT e.vec_id, c.node, list_distance(e.v, c.v) AS dist FROM e, cb{p} c),
+b{k} AS (SELECT vec_id, node AS bmu FROM (
+  SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY dist, node) AS rn FROM d{k}) t WHERE rn = 1),
+s{k} AS (SELECT b{k}.bmu, ex.i, sum(ex.x) AS s FROM ex JOIN b{k} USING (vec_id) GROUP BY b{k}.bmu, ex.i),
+n{k} AS (SELECT bmu, count(*) AS n FROM b{k} GROUP BY bmu),
+num{k} AS (SELECT h.j, s{k}.i, sum(h.h * s{k}.s) AS num FROM h JOIN s{k} ON h.bb = s{k}.bmu GROUP BY h.j, s{k}.i),
+den{k} AS (SELECT h.j, sum(h.h * n{k}.n) AS den FROM h JOIN n{k} ON h.bb = n{k}.bmu GROUP BY h.j),
+w{k} AS (SELECT num{k}.j AS node, num{k}.i AS i, num / den AS w FROM num{k} JOIN den{k} USING (j)),
+cb{k} AS (SELECT CAST(node AS INTEGER) AS node, list(w ORDER BY i) AS v FROM w{k} GROUP BY node)"""
+
+    q["som_fit_exp"] = _w(EMB, """
+cb0 AS (SELECT node, v FROM cb),
+ex AS (SELECT vec_id, unnest(generate_series(0, len(v) - 1)) AS i, unnest(v) AS x FROM e),
+nodes AS (SELECT range AS node, range // 4 AS gx, range % 4 AS gy FROM range(16)),
+h AS (SELECT a.node AS j, c.node AS bb,
+             exp(-sqrt(CAST((a.gx - c.gx) * (a.gx - c.gx) + (a.gy - c.gy) * (a.gy - c.gy) AS DOUBLE)) / 2) AS h
+      FROM nodes a, nodes c)""", epoch(1), epoch(2)) + """
+SELECT CAST(node AS INTEGER) AS node, CAST(i AS INTEGER) AS dim, round(w, 6) AS w FROM w2"""
+
     lead = " UNION ALL ".join(
         f"SELECT template AS word, lead(template, {k}) OVER (PARTITION BY doc_id ORDER BY line_no) AS context FROM tl"
         for k in range(1, 6))

@@ -157,6 +157,13 @@ def q_som_epoch(spark, d):
     return df.select("node", F.posexplode("w").alias("dim", "w")).select("node", "dim", _r(F.col("w"), "w"))
 
 
+def q_som_fit_exp(spark, d):
+    """Two batch-SOM epochs with the fixed ``exp(-d/2)`` kernel from the sampled map."""
+    fitted, _ = som.fit_som(emb_df(spark, d), "v", sample_codebook(spark, d), epochs=2, kernel="exp")
+    df = fitted.to_df(spark)
+    return df.select("node", F.posexplode("w").alias("dim", "w")).select("node", "dim", _r(F.col("w"), "w"))
+
+
 def q_som_fit(spark, d):
     emb = emb_df(spark, d)
     cb = som.init_pca(emb, "v", MAP_ROWS, MAP_COLS)

@@ -26,6 +26,15 @@ def test_trailing_count_brute_force(spark):
         assert got[r.id] == len(same)
 
 
+def test_trailing_count_window_ends_are_inclusive(spark):
+    # rows exactly `width` apart, across bucket edges, with equal timestamps
+    secs = [0, 600, 600, 1200, 1799, 1800, 2400]
+    rows = [(i, T0 + dt.timedelta(seconds=s), 1) for i, s in enumerate(secs)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp, k long")
+    got = {r["id"]: r["c"] for r in timeline.trailing_count(df, "ts", ["k"], 600, "id", "c").collect()}
+    assert [got[i] for i in range(len(secs))] == [1, 3, 3, 3, 2, 3, 2]
+
+
 def _greedy_ref(pdf, gap):
     kept = []
     for k, g in pdf.sort_values(["ts", "id"]).groupby("k"):

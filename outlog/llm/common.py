@@ -65,3 +65,45 @@ def slices(batch: pa.RecordBatch, column: str, budget: int = 4 << 20) -> Iterato
         total += int(n)
     if start < batch.num_rows:
         yield batch.slice(start)
+
+
+def contiguous_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """Tables of consecutive rows with equal keys, from batches of a partition sorted by them."""
+    held: list[pa.RecordBatch] = []
+    held_key = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        cols = [b[k].to_pylist() for k in keys]
+        rows = list(zip(*cols, strict=True))
+        start = 0
+        for i in range(1, len(rows) + 1):
+            if i < len(rows) and rows[i] == rows[start]:
+                continue
+            if held and held_key != rows[start]:
+                yield pa.Table.from_batches(held)
+                held = []
+            held.append(b.slice(start, i - start))
+            held_key = rows[start]
+            start = i
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def whole_runs(batches: Iterator[pa.RecordBatch], key: str) -> Iterator[pa.Table]:
+    """Tables that hold every row of each of their keys, from a partition sorted by ``key``.
+
+    Only the rows of the last key met so far are held back.
+    """
+    held: pa.Table | None = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        t = pa.Table.from_batches([b])
+        t = t if held is None else pa.concat_tables([held, t])
+        first = pc.index(t[key], t[key][t.num_rows - 1]).as_py()
+        if first:
+            yield t.slice(0, first).combine_chunks()
+        held = t.slice(first)
+    if held is not None:
+        yield held.combine_chunks()

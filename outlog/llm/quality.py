@@ -90,25 +90,26 @@ def default_rules() -> list[Rule]:
     return [
         Rule("too_short", w < 10, w),
         Rule("repeated_windows", 100 * F.col("n_repeat_words") > 20 * w, window_work),
-        Rule("symbols", 10 * F.col("n_symbols") > 4 * w, char_work),
+        Rule("symbols", 10 * F.col("n_symbols") > 3 * w, char_work),
         Rule("repeated_lines", 10 * F.col("n_dup_lines") > 3 * F.col("n_lines"), line_work),
         Rule("word_length", (c < 2 * w) | (c > 15 * w), char_work),
         Rule("digits", 2 * F.col("n_nondigits") < c, char_work),
     ]
 
 
-def order_rules(measured: DataFrame, rules: list[Rule], id_col: str = "doc_id",
+def order_rules(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col: str = "text",
                 sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """(rule, rejection rate, mean cost) by rejection per cost, highest first; ties by name.
 
     Estimated on the ``sample_rows`` rows with the smallest id hash (a bounded top-k, the same
-    on every run).  On an empty table every estimate is zero and the order is by name.
+    on every run); only those are measured.  On an empty table every estimate is zero and the
+    order is by name.
     """
-    sample = measured.orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(sample_rows)
-    aggs = []
+    sample = docs.select(id_col, text_col).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(sample_rows)
+    measured, aggs = measure(sample, text_col), []
     for r in rules:
         aggs += [F.avg(r.fails.cast("double")).alias(f"f_{r.name}"), F.avg(r.work.cast("double")).alias(f"c_{r.name}")]
-    got = sample.agg(*aggs).first()
+    got = measured.agg(*aggs).first()
     est = [(r, got[f"f_{r.name}"] or 0.0, max(got[f"c_{r.name}"] or 0.0, 1.0)) for r in rules]
     return sorted(est, key=lambda e: (-e[1] / e[2], e[0].name))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import bpe, langid, mixing, quality, sharding, url_rules
+from . import ann, bpe, langid, lm, minhash, mixing, quality, sharding, suffix, url_rules
 from .common import ascii_lower, words
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -34,6 +34,11 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.coalesce(verdict, by_method).alias("verdict"), "mined_rule", "confidence")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest of every 20th vector among all others, by inner product."""
+    return ann.neighbours(read_table(spark, sf_dir, "embeddings"), lambda i: i % 20 == 0, "vec_id", "embedding", 20)
+
+
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that the mixture takes; see ``mixing``."""
     docs = read_table(spark, sf_dir, "documents").select(
@@ -53,12 +58,17 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Components of documents that share 80 of 100 two-word shingles."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash.near_duplicates(docs, width=2, percent=80)
+
+
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measures and verdict of every document; the cascade judges what the base rules pass."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    measured = quality.measure(docs).drop("text")
-    rules = [r for r, _, _ in quality.order_rules(measured, quality.default_rules())]
-    judged = quality.cascade(measured, rules)
+    rules = [r for r, _, _ in quality.order_rules(docs, quality.default_rules())]
+    judged = quality.cascade(quality.measure(docs).drop("text"), rules)
     base_failed = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
                          base_failed.alias("base_failed"),
@@ -84,5 +94,21 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs.select("doc_id", "held_out", "text"), crf).select("doc_id", "held_out", "lang_pred", "score")
 
 
+def op9_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probabilities of every document; one row in ten by id checksum is held out."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 10 == 0
+    scored = lm.score(docs, ~held_out)
+    return scored.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                         "base_score", "score")
+
+
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that no earlier 100-byte string covers."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return suffix.remove_repeats(docs, keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_url_filters, op3_mixing, op4_bpe, op6_quality, op7_sharding, op8_language_id)}
+    return {f.__name__: f for f in (op1_url_filters, op2_ann, op3_mixing, op4_bpe, op5_minhash, op6_quality, op7_sharding, op8_language_id,
+                                        op9_lm_score, op10_suffix_dedup)}

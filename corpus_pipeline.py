@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from outlog.llm import bpe, langid, mixing
-from outlog.session import read_table, scratch_path
+from outlog.llm import bpe, langid, minhash, mixing, suffix
+from outlog.session import broadcast_if_small, cut_lineage, read_table, scratch_path
 
 MIN_SCORE = 0.5  # a document whose best language holds less than half of its words goes
 
@@ -19,6 +19,21 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return scored.where((F.col("_pred") != langid.UNKNOWN) & (F.col("_score") >= MIN_SCORE)).select(*docs.columns)
 
 
+def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group that shares 80 of 100 five-word shingles; the smallest id stays."""
+    judged = minhash.near_duplicates(docs.select("doc_id", "text"))
+    gone = cut_lineage(judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct())
+    return docs.join(broadcast_if_small(gone, row_bytes=16), "doc_id", "left_anti").select(*docs.columns)
+
+
+def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts without the bytes that an earlier 100-byte string covers; emptied texts go."""
+    cut = suffix.remove_repeats(docs)
+    whole = (F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0)
+    return cut.where(whole).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long"))
+                                       .otherwise(F.col("n_chars"))).select(*docs.columns)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: one row per document and epoch that takes words of it, its text those words."""
     placed = mixing.streams(docs)
@@ -32,11 +47,13 @@ def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
     ("language_id", language_id),
+    ("near_dedup", near_dedup),
+    ("suffix_dedup", suffix_dedup),
     ("mix_sources", mix_sources),
     ("encode", encode),
 ]
 
-# Conditional random fields, permutations and merge rounds are beyond SQL: tested against
+# Conditional random fields, suffix order, permutations and merge rounds are beyond SQL: tested against
 # brute force instead.
 ORACLE_SQL = None
 

@@ -4,16 +4,18 @@
    hash minima.  Rows with the same set form a class, represented by its smallest id.
 2. Class representatives that share a band meet in a bucket.  Each member is paired with the
    bucket's smallest member (a star: one pair per member and bucket, never all pairs).
-3. Candidate pairs are confirmed on the full shingle sets, built again from the whole texts.
+3. Candidate pairs whose signatures agree are confirmed on the full shingle sets, built again
+   from the whole texts.
 4. Components of the confirmed links come from alternating large-star and small-star rounds.
-5. A star can miss a link between two members that are not like the smallest one.  So buckets
-   that still hold several components have their members' signatures compared across
-   components; likely pairs are confirmed, until none is left untested.
-
-Bands of 4 of 128 minima miss a pair of similarity 0.8 with probability 5e-8.  The signature
-comparison of step 5 asks for a share of equal minima six standard deviations below the
-threshold.  Buckets, classes and stars are grouped by partial aggregation and skew-split joins;
-large buckets are compared in tiles, so no group has to fit one task.
+5. A star can miss a link between two members that are not like the smallest one.  So members of
+   buckets that still hold several components are compared across components, by signature and
+   by an upper bound of the similarity from 16-bit shingle digests (two sets share at most as
+   many shingles as digests).  Pairs that pass are confirmed; this repeats until no pair is left.
+
+Bands of 4 of 128 minima miss a pair of similarity 0.8 with probability 5e-8.  Signatures must
+agree to six standard deviations below the threshold.  Buckets, classes and stars are grouped by
+partial aggregation and skew-split joins; large buckets are compared in tiles, so no group has
+to fit one task, and only likely links leave a tile.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from .common import contiguous_groups, slices, tasks
 N_HASHES, BAND_ROWS = 128, 4
 SEED = 20240229
 LEFT_TILE, RIGHT_TILE = 2048, 16384
-FIRST_PARTNERS = 8
+FIRST_PARTNERS = 2  # likely links a member may send per component and round; grows while any are left out
 CACHE_WORDS = 500_000
 
 
@@ -92,27 +94,29 @@ def _minima(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """``id``, ``n`` (set size), ``key`` (digest of the set, null if empty) and ``sig`` per row."""
+    """Per row: ``id``, ``n`` (set size), ``key`` (digest of the set, null if empty), ``sig`` (16 bits
+    of each minimum) and ``bag`` (16 bits of each shingle's hash)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _universal()
         known = _WordHash()
         for whole in batches:
             for part in slices(whole, "text"):
-                n, key, sig = [], [], []
+                n, key, sig, bag = [], [], [], []
                 for text in part["text"].to_pylist():
                     if len(known) > CACHE_WORDS:
                         known = _WordHash()
                     x = _shingle_hashes(text_words(text), width, known)
                     n.append(len(x))
                     key.append(hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None)
-                    sig.append(_minima(x, a, b).tobytes() if len(x) else None)
+                    sig.append(_minima(x, a, b).astype(np.uint16).tobytes() if len(x) else None)
+                    bag.append((x >> np.uint64(20)).astype(np.uint16).tobytes() if len(x) else None)
                 yield pa.RecordBatch.from_arrays(
-                    [part["id"], pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())],
-                    ["id", "n", "key", "sig"])
+                    [part["id"], pa.array(n, pa.int64()), *(pa.array(c, pa.binary()) for c in (key, sig, bag))],
+                    ["id", "n", "key", "sig", "bag"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, key binary, sig binary")
+    return rows.mapInArrow(run, "id long, n long, key binary, sig binary, bag binary")
 
 
 def band_rows(sigs: DataFrame) -> DataFrame:
@@ -123,8 +127,8 @@ def band_rows(sigs: DataFrame) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            sig = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint32).reshape(b.num_rows, bands, BAND_ROWS)
-            acc = np.tile(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15 & ((1 << 58) - 1)), (b.num_rows, 1))
+            sig = np.frombuffer(b"".join(b["sig"].to_pylist()), np.uint16).reshape(b.num_rows, bands, BAND_ROWS).astype(np.uint64)
+            acc = np.tile(np.arange(1, bands + 1, dtype=np.uint64) * np.uint64(0x1E3779B97F4A7C15), (b.num_rows, 1))
             with np.errstate(over="ignore"):
                 for r in range(BAND_ROWS):
                     acc = (acc ^ sig[:, :, r]) * np.uint64(0xFF51AFD7ED558CCD)
@@ -135,6 +139,27 @@ def band_rows(sigs: DataFrame) -> DataFrame:
     return sigs.select("id", "sig").mapInArrow(run, "bucket long, id long")
 
 
+def least_equal(percent: int) -> int:
+    """Fewest equal minima of a pair of that similarity, six standard deviations below the mean."""
+    share = percent / 100
+    return max(0, int(N_HASHES * share - 6 * (N_HASHES * share * (1 - share)) ** 0.5))
+
+
+def agreeing(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
+    """The pairs (u, v) whose signatures have enough equal minima."""
+    least = least_equal(percent)
+    both = (pairs.join(sigs.select(F.col("id").alias("u"), F.col("sig").alias("a")), "u")
+            .join(sigs.select(F.col("id").alias("v"), F.col("sig").alias("b")), "v"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if b.num_rows:
+                x, y = (np.frombuffer(b"".join(b[c].to_pylist()), np.uint16).reshape(-1, N_HASHES) for c in ("a", "b"))
+                yield b.select(["u", "v"]).filter(pa.array((x == y).sum(axis=1) >= least))
+
+    return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (smallest node reachable) for every node of the undirected edges u, v.
 
@@ -163,25 +188,23 @@ def connected_components(edges: DataFrame) -> DataFrame:
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
-def _packed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """id and the compressed whole text."""
+def packed_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """id and compressed whole text of the rows whose id is wanted, written out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for whole in batches:
             for b in slices(whole, "text"):
-                body = [z.compress(t.encode("utf-8")) if t else None for t in b["text"].to_pylist()]
+                body = [z.compress(t.encode("utf-8")) for t in b["text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([b["id"], pa.array(body, pa.binary())], ["id", "body"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, body binary")
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text")).where("text is not null")
+    return cut_lineage(rows.mapInArrow(run, "id long, body binary").join(wanted, "id"))
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width: int, percent: int) -> DataFrame:
+def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (u, v) with 100 * intersection >= ``percent`` * union of their full sets."""
-    wanted = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
     # an id that stands on rows with different texts is tried with each of them
-    texts = cut_lineage(_packed(docs, id_col, text_col).join(wanted, "id").where("body is not null"))
     left = texts.select(F.col("id").alias("u"), F.col("body").alias("a"))
     right = texts.select(F.col("id").alias("v"), F.col("body").alias("b"))
     full = pairs.join(left, "u").join(right, "v")
@@ -211,23 +234,23 @@ def confirm(pairs: DataFrame, docs: DataFrame, id_col: str, text_col: str, width
     return full.mapInArrow(run, "u long, v long").distinct()
 
 
-def _likely_pairs(members: DataFrame, sigs: DataFrame, partners: int, percent: int) -> DataFrame:
-    """Likely links between members of a bucket in different components, from signatures.
+def likely_pairs(members: DataFrame, sigs: DataFrame, partners: int, percent: int) -> DataFrame:
+    """Likely links between members of a bucket in different components.
 
-    ``members``: bucket, id, root.  For every member outside its bucket's largest component (by
-    count, ties to the smaller root) the ``partners`` most similar members of each other component
-    are returned as u, v with ``more`` (whether that left likely ones out).
+    ``members``: bucket, id, root.  Every member outside its bucket's largest component (by
+    count, ties to the smaller root) is compared with all members of other components.  The
+    ``partners`` best of each other component are returned as u, v with ``more`` (whether that
+    left likely ones out).
     """
-    share = percent / 100
-    least = int(N_HASHES * share - 6 * (N_HASHES * share * (1 - share)) ** 0.5)
+    least = least_equal(percent)
     sizes = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
-    per = sizes.groupBy("bucket").agg(F.sum("c").alias("n"), F.max(F.struct(F.col("c"), -F.col("root"))).alias("top"))
-    per = per.select("bucket", "n", F.col("top.c").alias("c"), (-F.col("top.col2")).alias("main"))
-    rows = members.join(per, "bucket").join(sigs, "id")
-    n_right = F.ceil(F.col("n") / RIGHT_TILE).cast("int")
-    n_left = F.ceil((F.col("n") - F.col("c")) / LEFT_TILE).cast("int")
+    per = sizes.groupBy("bucket").agg(F.sum("c").alias("all"), F.max(F.struct("c", (-F.col("root")).alias("r"))).alias("top"))
+    per = per.select("bucket", "all", F.col("top.c").alias("c"), (-F.col("top.r")).alias("main"))
+    rows = members.join(per, "bucket").join(sigs.select("id", "sig", "bag"), "id")
+    n_right = F.ceil(F.col("all") / RIGHT_TILE).cast("int")
+    n_left = F.ceil((F.col("all") - F.col("c")) / LEFT_TILE).cast("int")
     spread = F.xxhash64("id")
-    cols = ["bucket", "id", "root", "sig"]
+    cols = ["bucket", "id", "root", "sig", "bag"]
     lefts = rows.where("root <> main").select(
         *cols, F.lit(0).alias("side"), F.pmod(spread, n_left).cast("int").alias("i"),
         F.explode(F.sequence(F.lit(0), n_right - 1)).alias("j"))
@@ -238,23 +261,32 @@ def _likely_pairs(members: DataFrame, sigs: DataFrame, partners: int, percent: i
     tiles = lefts.unionByName(rights).repartition(tasks(members), *keys).sortWithinPartitions(*keys, "side", "id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = np.zeros(1 << 16, bool)
         for t in contiguous_groups(batches, keys):
             side = t["side"].to_numpy()
             ids, roots = t["id"].to_numpy(), t["root"].to_numpy()
-            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint32).reshape(-1, N_HASHES)
+            sig = np.frombuffer(b"".join(t["sig"].to_pylist()), np.uint16).reshape(-1, N_HASHES)
+            bags = [np.frombuffer(x, np.uint16) for x in t["bag"].to_pylist()]
+            size = np.array([len(x) for x in bags])
             right = np.flatnonzero(side == 1)
             out: list[tuple[int, int, bool]] = []
             for i in np.flatnonzero(side == 0):
-                same = np.concatenate([(sig[right[k:k + 4096]] == sig[i]).sum(axis=1) for k in range(0, len(right), 4096)]) if len(right) else np.empty(0)
-                likely = np.flatnonzero((same >= least) & (roots[right] != roots[i]))
-                if not len(likely):
+                near = right[(roots[right] != roots[i]) & (100 * size[right] >= percent * size[i]) & (percent * size[right] <= 100 * size[i])]
+                near = near[(sig[near] == sig[i]).sum(axis=1) >= least]
+                if not len(near):
                     continue
-                best = likely[np.lexsort((ids[right[likely]], -same[likely], roots[right[likely]]))]
-                r = roots[right[best]]
-                first = np.flatnonzero(np.append(True, r[1:] != r[:-1]))
-                place = np.arange(len(best)) - np.repeat(first, np.diff(np.append(first, len(best))))
+                table[bags[i]] = True
+                begin = np.cumsum(size[near]) - size[near]
+                shared = np.add.reduceat(table[np.concatenate([bags[x] for x in near])].astype(np.int64), begin)
+                table[bags[i]] = False
+                likely = 100 * shared >= percent * (size[near] + size[i] - shared)
+                near, shared = near[likely], shared[likely] / size[near][likely]
+                best = np.lexsort((ids[near], -shared, roots[near]))
+                r = roots[near[best]]
+                first = np.flatnonzero(np.append(True, r[1:] != r[:-1])) if len(r) else np.empty(0, np.int64)
+                place = np.arange(len(r)) - np.repeat(first, np.diff(np.append(first, len(r))))
                 more = bool((place >= partners).any())
-                out += [(max(int(ids[i]), int(ids[x])), min(int(ids[i]), int(ids[x])), more) for x in right[best[place < partners]]]
+                out += [(max(int(ids[i]), int(ids[x])), min(int(ids[i]), int(ids[x])), more) for x in near[best[place < partners]]]
             if out:
                 us, vs, ms = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ms)], ["u", "v", "more"])
@@ -275,14 +307,17 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = sigs.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"))
     members = cut_lineage(sigs.select("id", "n", "key").join(classes, "key", "left").select("id", "n", "rep"))
     reps = members.where("id = rep").select("id").distinct()
-    full = sigs.where("key is not null").select("id", "sig")
-    bands = cut_lineage(band_rows(full.join(reps, "id")))
+    full = sigs.where("key is not null").select("id", "sig", "bag")
+    bands = cut_lineage(band_rows(full.select("id", "sig").join(reps, "id")))
     buckets = bands.groupBy("bucket").agg(F.min("id").alias("v"), F.count(F.lit(1)).alias("size")).where("size > 1")
     hits = cut_lineage(bands.join(buckets, "bucket"))
+    texts = packed_texts(docs, hits.select("id").distinct(), id_col, text_col)
+    close = cut_lineage(full.join(hits.select("id").distinct(), "id"))  # signatures of the same rows
+
     tested = cut_lineage(hits.where("id <> v").select(F.col("id").alias("u"), "v").distinct())
     same_id = (members.where("rep is not null and id is not null").groupBy("id")
                .agg(F.max("rep").alias("u"), F.min("rep").alias("v")).where("u <> v").select("u", "v"))
-    links = cut_lineage(confirm(tested, docs, id_col, text_col, width, percent).unionByName(same_id))
+    links = cut_lineage(confirm(agreeing(tested, close, percent), texts, width, percent).unionByName(same_id))
     roots = cut_lineage(connected_components(links))
 
     partners = FIRST_PARTNERS
@@ -290,20 +325,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     while True:
         placed = crowded.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
         mixed = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
-        found = cut_lineage(_likely_pairs(placed.join(mixed, "bucket"), full, partners, percent))
+        found = cut_lineage(likely_pairs(placed.join(mixed, "bucket"), close, partners, percent))
         fresh = cut_lineage(found.select("u", "v").join(tested, ["u", "v"], "left_anti"))
         left_out = bool(found.agg(F.max("more")).first()[0])
-        if fresh.isEmpty():
-            if not left_out:
-                break
-        else:
-            more = cut_lineage(confirm(fresh, docs, id_col, text_col, width, percent))
+        if not fresh.isEmpty():
+            more = cut_lineage(confirm(fresh, texts, width, percent))
             tested = cut_lineage(tested.unionByName(fresh))
             if not more.isEmpty():
                 links = cut_lineage(links.unionByName(more))
                 roots = cut_lineage(connected_components(links))
-            elif not left_out:
-                break
+                continue
+        if not left_out:
+            break
         partners *= 4
 
     component = roots.select(F.col("node").alias("rep"), "root")

@@ -28,7 +28,7 @@ from .common import hex_prefix, null_key, shuffle_key, word_spans, words
 WEIGHTS = (5, 2, 1)  # by code point of the source, null last, repeating
 MAX_EPOCHS = 3  # a target stops at this many times its source's size
 BLOCK_WORDS = 64
-BUCKET_ROWS = 8192
+BUCKET_ROWS = 2048
 SLOTS_PER_TASK = 1 << 20
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from .common import hex_prefix, null_key, shuffle_key
 
-BUCKET_ROWS = 8192
+BUCKET_ROWS = 2048
 
 
 def _bucket_offsets(rows: DataFrame, keys: list[str], bucket: str) -> DataFrame:

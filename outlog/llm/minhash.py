@@ -239,8 +239,8 @@ def likely_pairs(members: DataFrame, sigs: DataFrame, partners: int, percent: in
 
     ``members``: bucket, id, root.  Every member outside its bucket's largest component (by
     count, ties to the smaller root) is compared with all members of other components.  The
-    ``partners`` best of each other component are returned as u, v with ``more`` (whether that
-    left likely ones out).
+    ``partners`` best of each other component are returned as bucket, u, v with ``more`` (whether
+    that left likely ones out).
     """
     least = least_equal(percent)
     sizes = members.groupBy("bucket", "root").agg(F.count(F.lit(1)).alias("c"))
@@ -289,9 +289,10 @@ def likely_pairs(members: DataFrame, sigs: DataFrame, partners: int, percent: in
                 out += [(max(int(ids[i]), int(ids[x])), min(int(ids[i]), int(ids[x])), more) for x in near[best[place < partners]]]
             if out:
                 us, vs, ms = zip(*out, strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(us, pa.int64()), pa.array(vs, pa.int64()), pa.array(ms)], ["u", "v", "more"])
+                yield pa.RecordBatch.from_arrays([pa.array([t["bucket"][0].as_py()] * len(out), pa.int64()), pa.array(us, pa.int64()),
+                                                  pa.array(vs, pa.int64()), pa.array(ms)], ["bucket", "u", "v", "more"])
 
-    return tiles.mapInArrow(run, "u long, v long, more boolean").groupBy("u", "v").agg(F.max("more").alias("more"))
+    return tiles.mapInArrow(run, "bucket long, u long, v long, more boolean")
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5,
@@ -320,24 +321,22 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = cut_lineage(confirm(agreeing(tested, close, percent), texts, width, percent).unionByName(same_id))
     roots = cut_lineage(connected_components(links))
 
-    partners = FIRST_PARTNERS
-    crowded = hits.where("size > 2").select("bucket", "id")
+    partners, crowded = FIRST_PARTNERS, hits.where("size > 2").select("bucket", "id")
     while True:
-        placed = crowded.join(roots.withColumnRenamed("node", "id"), "id", "left").withColumn("root", F.coalesce("root", "id"))
+        placed = cut_lineage(crowded.join(roots.withColumnRenamed("node", "id"), "id", "left")
+                             .select("bucket", "id", F.coalesce("root", "id").alias("root")))
         mixed = placed.groupBy("bucket").agg(F.min("root").alias("a"), F.max("root").alias("b")).where("a <> b").select("bucket")
         found = cut_lineage(likely_pairs(placed.join(mixed, "bucket"), close, partners, percent))
-        fresh = cut_lineage(found.select("u", "v").join(tested, ["u", "v"], "left_anti"))
-        left_out = bool(found.agg(F.max("more")).first()[0])
+        fresh = cut_lineage(found.select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"))
         if not fresh.isEmpty():
-            more = cut_lineage(confirm(fresh, texts, width, percent))
+            links = cut_lineage(links.unionByName(confirm(fresh, texts, width, percent)))
             tested = cut_lineage(tested.unionByName(fresh))
-            if not more.isEmpty():
-                links = cut_lineage(links.unionByName(more))
-                roots = cut_lineage(connected_components(links))
-                continue
-        if not left_out:
+            roots = cut_lineage(connected_components(links))
+        # a bucket that left no likely pair out is settled: all its pairs are refuted or tested
+        open_ = found.where("more").select("bucket").distinct()
+        if open_.isEmpty():
             break
-        partners *= 4
+        crowded, partners = placed.join(open_, "bucket").select("bucket", "id"), 4 * partners
 
     component = roots.select(F.col("node").alias("rep"), "root")
     out = members.join(component, "rep", "left")

@@ -101,12 +101,13 @@ def order_rules(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text
                 sample_rows: int = SAMPLE_ROWS) -> list[tuple[Rule, float, float]]:
     """(rule, rejection rate, mean cost) by rejection per cost, highest first; ties by name.
 
-    Estimated on the ``sample_rows`` rows with the smallest id hash (a bounded top-k, the same
-    on every run); only those are measured.  On an empty table every estimate is zero and the
-    order is by name.
+    Estimated on the rows with the ``sample_rows`` smallest id hashes (the same on every run):
+    a top-k over the ids alone finds the largest of these hashes, then only the rows up to it
+    are measured.  On an empty table every estimate is zero and the order is by name.
     """
-    sample = docs.select(id_col, text_col).orderBy(F.xxhash64(F.col(id_col)), F.col(id_col)).limit(sample_rows)
-    measured, aggs = measure(sample, text_col), []
+    h = F.xxhash64(F.col(id_col))
+    last = docs.select(h.alias("h")).orderBy("h").limit(sample_rows).agg(F.max("h")).first()[0]
+    measured, aggs = measure(docs.where(h <= F.lit(last).cast("long")).select(id_col, text_col), text_col), []
     for r in rules:
         aggs += [F.avg(r.fails.cast("double")).alias(f"f_{r.name}"), F.avg(r.work.cast("double")).alias(f"c_{r.name}")]
     got = measured.agg(*aggs).first()

@@ -11,23 +11,23 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import slices, spread
 
 TOKENIZER = "word_bpe_49k.json"
 # Fixed values of the vocabulary file's normalizer and pre-tokenizer.
 SPACE_CHARS = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
-SPACE = "[" + SPACE_CHARS + "]"
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE_CHARS + r"\p{L}\p{N}]+"
 NO_RANK = np.iinfo(np.int64).max
 CACHE_WORDS = 400_000
-CACHED_LENGTH = 64
 
 
 def default_path() -> str:
@@ -79,7 +79,6 @@ class Bpe:
         for t, i in self.special.items():
             self.tokens[i] = t
         self.split_special = regex.compile("(" + "|".join(map(regex.escape, sorted(self.special, key=len, reverse=True))) + ")") if self.special else None
-        self.space = regex.compile(SPACE + "+")
         self.pretoken = regex.compile(PRETOKEN)
 
     # -- text to words -------------------------------------------------------------------
@@ -99,14 +98,16 @@ class Bpe:
     def plain_pieces(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # lower() is per character
-        return self.pretoken.findall(self.space.sub(" ", text).lower())
+        # no pre-token holds white space, so how much of it stands between them does not matter
+        return self.pretoken.findall(text.lower())
 
     # -- words to ids --------------------------------------------------------------------
 
-    def encode_words(self, batch: list[str]) -> list[np.ndarray]:
-        """Ids of each word: merge rounds over all words of the batch at once."""
+    def encode_words(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words one after the other, number of ids of each): merge rounds over all
+        words of the batch at once."""
         if not batch:
-            return []
+            return np.empty(0, np.int32), np.empty(0, np.int64)
         raw = [w.encode("utf-8") for w in batch]
         size = np.fromiter(map(len, raw), np.int64, len(raw))
         flat = np.frombuffer(b"".join(raw), np.uint8)
@@ -115,16 +116,11 @@ class Bpe:
         symbols[ends - 1] = self.final[flat[ends - 1]]
         owner = np.repeat(np.arange(len(raw)), size)
         done_symbols, done_owner = [], []
+        rank = np.full(len(symbols), NO_RANK)  # of the pair that starts here
+        self._look_up(rank, symbols, owner, np.arange(len(symbols)))
         while len(symbols):
-            same = owner[:-1] == owner[1:]
-            key = symbols[:-1] * self.base + symbols[1:]
-            at = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
-            rank = np.where(same & (self.keys[at] == key), self.rank_of[at], NO_RANK)
-            rank = np.append(rank, NO_RANK)
-            starts = np.flatnonzero(np.append(True, ~same))
-            lowest = np.minimum.reduceat(rank, starts)
-            length = np.diff(np.append(starts, len(symbols)))
-            best = np.repeat(lowest, length)
+            starts = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
+            best = np.repeat(np.minimum.reduceat(rank, starts), np.diff(np.append(starts, len(symbols))))
             active = best != NO_RANK
             if not active.all():
                 done_symbols.append(symbols[~active])
@@ -132,19 +128,30 @@ class Bpe:
                 symbols, owner, rank, best = symbols[active], owner[active], rank[active], best[active]
                 if not len(symbols):
                     break
-            hit = rank == best
-            hit = self._not_overlapping(hit)
+            hit = self._not_overlapping(rank == best)
             self._leftmost_only(hit, rank, owner)
             merged = np.flatnonzero(hit)
             symbols[merged] = self.product[rank[merged]]
             keep = np.ones(len(symbols), bool)
             keep[merged + 1] = False
-            symbols, owner = symbols[keep], owner[keep]
+            symbols, owner, rank = symbols[keep], owner[keep], rank[keep]
+            # only the pairs that a merged symbol takes part in have changed
+            at = merged - np.arange(len(merged))
+            self._look_up(rank, symbols, owner, np.union1d(at, at[at > 0] - 1))
         all_symbols = np.concatenate(done_symbols) if done_symbols else symbols
         all_owner = np.concatenate(done_owner) if done_owner else owner
         order = np.argsort(all_owner, kind="stable")
         counts = np.bincount(all_owner, minlength=len(raw))
-        return np.split(all_symbols[order].astype(np.int32), np.cumsum(counts)[:-1])
+        return all_symbols[order].astype(np.int32), counts
+
+    def _look_up(self, rank: np.ndarray, symbols: np.ndarray, owner: np.ndarray, at: np.ndarray) -> None:
+        """Set the ranks of the pairs that start at the places ``at``."""
+        rank[at] = NO_RANK
+        at = at[at + 1 < len(symbols)]
+        at = at[owner[at] == owner[at + 1]]
+        key = symbols[at] * self.base + symbols[at + 1]
+        place = np.minimum(np.searchsorted(self.keys, key), len(self.keys) - 1)
+        rank[at] = np.where(self.keys[place] == key, self.rank_of[place], NO_RANK)
 
     @staticmethod
     def _not_overlapping(hit: np.ndarray) -> np.ndarray:
@@ -169,32 +176,38 @@ class _Encoder:
     """Words of texts to ids with a bounded memory of encoded words."""
 
     def __init__(self, bpe: Bpe):
-        self.bpe, self.known = bpe, {}
+        self.bpe = bpe
+        self._forget()
+
+    def _forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.ids = np.empty(0, np.int32)
+        self.size = np.empty(0, np.int64)
+
+    def _learn(self, new: list[str]) -> None:
+        special = [w for w in new if w.startswith("\0\0") and w[2:] in self.bpe.special]
+        plain = [w for w in new if not (w.startswith("\0\0") and w[2:] in self.bpe.special)]
+        ids, size = self.bpe.encode_words(plain)
+        for w in [*plain, *special]:
+            self.number[w] = len(self.number)
+        self.ids = np.concatenate([self.ids, ids, np.array([self.bpe.special[w[2:]] for w in special], np.int32)])
+        self.size = np.concatenate([self.size, size, np.ones(len(special), np.int64)])
 
     def encode(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """(all ids, offsets of the texts)."""
         split = [self.bpe.pieces(t) if t else [] for t in texts]
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        known = self.known
-        new = {w for ws in split for w in ws if w not in known}
-        long = {}
-        plain = []
-        for w in new:
-            if w.startswith("\0\0") and w[2:] in self.bpe.special:
-                known[w] = np.array([self.bpe.special[w[2:]]], np.int32)
-            else:
-                plain.append(w)
-        for w, ids in zip(plain, self.bpe.encode_words(plain), strict=True):
-            (known if len(w) <= CACHED_LENGTH else long)[w] = ids
-        look = known.__getitem__ if not long else (lambda w: known[w] if w in known else long[w])
-        parts, sizes = [], []
-        for ws in split:
-            ids = np.concatenate(list(map(look, ws))) if ws else np.empty(0, np.int32)
-            parts.append(ids)
-            sizes.append(len(ids))
-        flat = np.concatenate(parts) if parts else np.empty(0, np.int32)
-        return flat, np.concatenate([[0], np.cumsum(sizes, dtype=np.int64)])
+        if len(self.number) > CACHE_WORDS or len(self.ids) > 8 * CACHE_WORDS:
+            self._forget()
+        known = self.number
+        new = [w for w in set(chain.from_iterable(split)) if w not in known]
+        if new:
+            self._learn(new)
+        words = np.fromiter(map(len, split), np.int64, len(split))
+        used = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(words.sum()))
+        size = self.size[used]
+        flat = self.ids[spread((np.cumsum(self.size) - self.size)[used], size)]
+        ends = np.append(0, np.cumsum(size))[np.cumsum(words)]
+        return flat, np.append(0, ends)
 
 
 def load(spark: SparkSession, path: str | None = None):
@@ -233,19 +246,18 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path:
     df = df.drop(out_col) if out_col in df.columns else df
 
     def run(batches):
-        tokens = Bpe(spec.value).tokens
-        known = range(len(tokens))
+        tokens = np.array([*Bpe(spec.value).tokens, None], object)
         for whole in batches:
             for b in slices(whole, ids_col):
                 col = b[ids_col]
-                flat = col.flatten().to_pylist()
-                names = [tokens[i] if i in known else None for i in flat]
-                lengths = [len(x) if x is not None else 0 for x in col]
-                texts, at = [], 0
-                for n in lengths:
-                    part = names[at:at + n]
-                    texts.append(" ".join(part) if None not in part else " ".join(x for x in part if x is not None))
-                    at += n
+                size = pc.list_value_length(col).fill_null(0).to_numpy(zero_copy_only=False)
+                ids = col.flatten().fill_null(-1).to_numpy(zero_copy_only=False)
+                ids = np.where((ids < 0) | (ids >= len(tokens) - 1), len(tokens) - 1, ids)
+                names, ends, strange = tokens[ids], np.cumsum(size), (ids == len(tokens) - 1).any()
+                texts = []
+                for start, end in zip((ends - size).tolist(), ends.tolist(), strict=True):
+                    part = names[start:end].tolist()
+                    texts.append(" ".join([x for x in part if x is not None] if strange else part))
                 out = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([*b.columns, out], [*b.schema.names, out_col])
 

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage
-from .common import contiguous_groups, slices, tasks, whole_runs
+from .common import contiguous_groups, slices, spread, tasks, whole_runs
 
 WIDTH = 100
 PIECE = 32
@@ -201,12 +201,6 @@ def suffix_repeats(flat: np.ndarray, starts: np.ndarray, ids: np.ndarray, offset
     return out
 
 
-def _spread(starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """starts[i], starts[i] + 1, ... (counts[i] numbers) for every i, one after the other."""
-    before = np.cumsum(counts) - counts
-    return np.repeat(starts - before, counts) + np.arange(int(counts.sum()))
-
-
 def _merge(row: np.ndarray, begin: np.ndarray, finish: np.ndarray):
     """Union of byte ranges per row, as sorted disjoint (not touching) ranges."""
     if not len(row):
@@ -340,7 +334,7 @@ def open_windows(held: DataFrame, judged: DataFrame, width: int) -> DataFrame:
         send = same & several[number] if len(order) else same
         plain, single = order[send & ~hot[number]], order[send & hot[number]]
         # hot anchors: every window by itself, the first of equal windows of the block only
-        start = _spread(lo[single], n[single])
+        start = spread(lo[single], n[single])
         owner = np.repeat(single, n[single])
         body = [raw[row[o]][s:s + width] for o, s in zip(owner.tolist(), start.tolist(), strict=True)]
         best: dict[bytes, tuple[int, int]] = {}
@@ -376,7 +370,7 @@ def compared(opened: DataFrame, width: int) -> DataFrame:
         flat = np.frombuffer(b"".join(body) + bytes(8), np.uint8)
         count = length - width + 1
         base = np.cumsum(length) - length
-        start = _spread(base, count)
+        start = spread(base, count)
         owner = np.repeat(np.arange(len(key)), count)
         offset = begin[owner] + start - base[owner]
         hit = suffix_repeats(flat, start, ids[owner], offset, width)

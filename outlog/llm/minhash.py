@@ -36,8 +36,9 @@ from .common import contiguous_groups, slices, tasks
 
 N_HASHES, BAND_ROWS = 128, 4
 SEED = 20240229
+LOW_BITS = 31  # the bits of a bucket that hold the number of its band
 LEFT_TILE, RIGHT_TILE = 2048, 16384
-FIRST_PARTNERS = 2  # likely links a member may send per component and round; grows while any are left out
+FIRST_PARTNERS = 16  # likely links a member may send per component and round; grows while any are left out
 CACHE_WORDS = 500_000
 
 
@@ -120,7 +121,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 
 
 def band_rows(sigs: DataFrame) -> DataFrame:
-    """``bucket`` (hash of band number and its minima) and ``id``."""
+    """``bucket`` (hash of a band's minima, the band's number in its low bits) and ``id``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = N_HASHES // BAND_ROWS
@@ -133,6 +134,7 @@ def band_rows(sigs: DataFrame) -> DataFrame:
                 for r in range(BAND_ROWS):
                     acc = (acc ^ sig[:, :, r]) * np.uint64(0xFF51AFD7ED558CCD)
                     acc ^= acc >> np.uint64(29)
+            acc = (acc & ~np.uint64(LOW_BITS)) | np.arange(bands, dtype=np.uint64)
             ids = np.repeat(b["id"].to_numpy(zero_copy_only=False), bands)
             yield pa.RecordBatch.from_arrays([pa.array(acc.ravel().view(np.int64)), pa.array(ids)], ["bucket", "id"])
 
@@ -238,7 +240,8 @@ def likely_pairs(members: DataFrame, sigs: DataFrame, partners: int, percent: in
     """Likely links between members of a bucket in different components.
 
     ``members``: bucket, id, root.  Every member outside its bucket's largest component (by
-    count, ties to the smaller root) is compared with all members of other components.  The
+    count, ties to the smaller root) is compared with all members of other components, each pair
+    in the first of the bands that both share.  The
     ``partners`` best of each other component are returned as bucket, u, v with ``more`` (whether
     that left likely ones out).
     """
@@ -269,10 +272,13 @@ def likely_pairs(members: DataFrame, sigs: DataFrame, partners: int, percent: in
             bags = [np.frombuffer(x, np.uint16) for x in t["bag"].to_pylist()]
             size = np.array([len(x) for x in bags])
             right = np.flatnonzero(side == 1)
+            band = t["bucket"][0].as_py() & LOW_BITS
             out: list[tuple[int, int, bool]] = []
             for i in np.flatnonzero(side == 0):
                 near = right[(roots[right] != roots[i]) & (100 * size[right] >= percent * size[i]) & (percent * size[right] <= 100 * size[i])]
-                near = near[(sig[near] == sig[i]).sum(axis=1) >= least]
+                same = sig[near] == sig[i]
+                bands = same[:, : (band + 1) * BAND_ROWS].reshape(len(near), band + 1, BAND_ROWS).all(axis=2)
+                near = near[(same.sum(axis=1) >= least) & (bands.argmax(axis=1) == band) & bands[:, band]]
                 if not len(near):
                     continue
                 table[bags[i]] = True
@@ -336,7 +342,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         open_ = found.where("more").select("bucket").distinct()
         if open_.isEmpty():
             break
-        crowded, partners = placed.join(open_, "bucket").select("bucket", "id"), 4 * partners
+        crowded, partners = placed.join(open_, "bucket").select("bucket", "id"), 16 * partners
 
     component = roots.select(F.col("node").alias("rep"), "root")
     out = members.join(component, "rep", "left")

@@ -162,30 +162,32 @@ def agreeing(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     return both.select("u", "v", "a", "b").mapInArrow(run, "u long, v long")
 
 
+def _is_stars(edges: DataFrame) -> bool:
+    """Whether every u has one edge only and is no v of another edge."""
+    ends = edges.select(F.col("u").alias("x"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("x"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    inner = ends.groupBy("x").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return inner.where("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node`` and ``root`` (smallest node reachable) for every node of the undirected edges u, v.
 
     Large-star joins every larger neighbour to the smallest one, small-star every smaller one;
     both are a minimum by partial aggregation and a join.  Each round is written out; the rounds
-    end when the edges no longer change (then they are stars around the roots).
+    end when the edges are stars around the roots.
     """
     u, v = F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")
     now = cut_lineage(edges.select(u, v).where("u <> v").distinct())
-    mark = F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
-    seen = now.agg(*mark).first()
-    while seen["n"]:
+    while not _is_stars(now):
         both = now.unionByName(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = (both.where("v > u").join(low, "u").where("v <> m")
-                 .select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+                 .select(F.col("v").alias("u"), F.col("m").alias("v")))
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = (large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
                  .unionByName(low.select("u", F.col("m").alias("v"))).distinct())
         now = cut_lineage(small)
-        mark_now = now.agg(*mark).first()
-        if mark_now == seen:
-            break
-        seen = mark_now
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("root"))
     return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
@@ -335,9 +337,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         found = cut_lineage(likely_pairs(placed.join(mixed, "bucket"), close, partners, percent))
         fresh = cut_lineage(found.select("u", "v").distinct().join(tested, ["u", "v"], "left_anti"))
         if not fresh.isEmpty():
-            links = cut_lineage(links.unionByName(confirm(fresh, texts, width, percent)))
-            tested = cut_lineage(tested.unionByName(fresh))
-            roots = cut_lineage(connected_components(links))
+            confirmed = cut_lineage(confirm(fresh, texts, width, percent))
+            tested = tested.unionByName(fresh)
+            if not confirmed.isEmpty():
+                links = links.unionByName(confirmed)
+                roots = cut_lineage(connected_components(links))
         # a bucket that left no likely pair out is settled: all its pairs are refuted or tested
         open_ = found.where("more").select("bucket").distinct()
         if open_.isEmpty():

@@ -44,17 +44,19 @@ def score_stats_df(scored: DataFrame, dist_col: str = "dist", weight_col: str |
     """One row ``(max_dist, mean, std, min)`` of the normalised distances.
 
     With ``weight_col`` each row stands for that many lines (distinct templates carrying
-    their counts), which gives the same numbers as scoring every line.  Two small
-    aggregation passes: the maximum first, then weighted moments of ``d / max``.
+    their counts), which gives the same numbers as scoring every line.  Two
+    aggregation passes: the mean, then extremes and squares around the mean; normalising by
+    the maximum scales mean, std and min by the same factor.
     """
     w = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
     base = scored.select(F.col(dist_col).alias("d"), w.alias("w"))
-    # one pass: normalising by the maximum scales mean, std and min by the same factor
-    agg = base.agg(F.max("d").alias("max_dist"), F.min("d").alias("__lo"), F.sum("w").alias("__sw"),
-                   F.sum(F.col("w") * F.col("d")).alias("__s1"),
-                   F.sum(F.col("w") * F.col("d") * F.col("d")).alias("__s2"))
-    mean_d = F.col("__s1") / F.col("__sw")
-    std_d = F.sqrt(F.greatest(F.col("__s2") / F.col("__sw") - mean_d * mean_d, F.lit(0.0)))
+    mean_d = F.sum(F.col("w") * F.col("d")) / F.sum("w")
+    # squares around the mean (a scalar subquery): close distances do not cancel
+    gap = F.col("d") - base.agg(mean_d.alias("m")).scalar()
+    agg = base.select("d", "w", gap.alias("g")).agg(
+        F.max("d").alias("max_dist"), F.min("d").alias("__lo"), mean_d.alias("__m"),
+        F.sqrt(F.sum(F.col("w") * F.col("g") * F.col("g")) / F.sum("w")).alias("__s"))
+    mean_d, std_d = F.col("__m"), F.col("__s")
     return agg.select("max_dist", normalised(mean_d, F.col("max_dist")).alias("mean"),
                       normalised(std_d, F.col("max_dist")).alias("std"),
                       normalised(F.col("__lo"), F.col("max_dist")).alias("min"))

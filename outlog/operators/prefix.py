@@ -2,8 +2,8 @@
 
 ``sum(x) OVER (PARTITION BY p ORDER BY o ROWS UNBOUNDED PRECEDING)`` puts every row of a
 partition key into one task.  When a key is a whole batch or a whole service that task
-holds a large share of the data.  Here the order is cut into blocks (ranges of the first
-order column): running sums are taken inside each ``(key, block)``, block totals are
+holds a large share of the data.  Here the order is cut into blocks (sampled ranges
+of key and order columns): running sums are taken inside each ``(key, block)``, block totals are
 prefix-summed (a table of one row per block, broadcast back), and the two are added.
 The result is exactly the running sum.
 """
@@ -13,53 +13,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 
-def range_blocks(df: DataFrame, order_col: str, n_blocks: int = 1024) -> Column:
-    """A block number that never decreases along ``order_col``: ``n_blocks`` equal-width
-    ranges between the column's minimum and maximum (two scalar subqueries, computed once;
-    the block itself is plain arithmetic inside generated code)."""
-    dtype = df.schema[order_col].dataType.typeName()
-    if dtype in ("timestamp", "timestamp_ntz", "date"):
-        num = F.unix_micros(F.col(order_col).cast("timestamp")).cast("double")
-    else:
-        num = F.col(order_col).cast("double")
-    probe = df.select(num.alias("__o"))
-    lo = probe.agg(F.min("__o")).scalar()
-    hi = probe.agg(F.max("__o")).scalar()
-    width = F.greatest((hi - lo) / F.lit(float(n_blocks)), F.lit(1e-9))
-    return F.least(F.floor((num - lo) / width), F.lit(n_blocks - 1)).cast("long")
+ROWS_PER_BLOCK = 50_000
 
 
 def running_sum(df: DataFrame, value: Column | str, order_cols: list[str], partition_cols: list[str] = (),
-                out_col: str = "running", block: Column | None = None, n_blocks: int = 256,
-                materialise: bool = True) -> DataFrame:
+                out_col: str = "running", block: Column | None = None, n_blocks: int | None = None) -> DataFrame:
     """``out_col`` = running sum of ``value`` along ``order_cols`` within ``partition_cols``.
 
-    ``block`` must not decrease along ``order_cols``; by default it is a range block of the
-    first order column.  ``order_cols`` should be unique within a partition.  The input is
-    read three times (split points, local sums, block totals), so by default it is
-    checkpointed once first.
+    Blocks are sampled ranges over all partition and order columns, so a constant or skewed
+    first order column does not fill one block; their number follows the row count.  Rows with
+    null keys form a group of their own and null order values come first, as in an ascending
+    sort.  ``block``, if given, must not decrease along ``order_cols``.  ``order_cols`` should
+    be unique within a partition.  The input is written out once with its block numbers.
     """
-    if materialise:
-        from ..session import cut_lineage
-        df = cut_lineage(df)
+    from ..session import broadcast_if_small, cut_lineage
     partition_cols = list(partition_cols)
     v = F.col(value) if isinstance(value, str) else value
-    blk = block if block is not None else range_blocks(df, order_cols[0], n_blocks)
-    base = df.withColumn("__blk", blk).withColumn("__v", v)
+    if block is None:
+        n = n_blocks or max(1, -(-df.count() // ROWS_PER_BLOCK))
+        placed = df.repartitionByRange(n, *partition_cols, *order_cols).withColumn("__blk", F.spark_partition_id())
+    else:
+        placed = df.withColumn("__blk", block)
+    base = cut_lineage(placed.withColumn("__v", v))
     local = (Window.partitionBy(*partition_cols, "__blk").orderBy(*[F.col(c) for c in order_cols])
              .rowsBetween(Window.unboundedPreceding, Window.currentRow))
     with_local = base.withColumn("__local", F.sum("__v").over(local))
     totals = base.groupBy(*partition_cols, "__blk").agg(F.sum("__v").alias("__tot"))
     prior = (Window.partitionBy(*partition_cols).orderBy("__blk")
              .rowsBetween(Window.unboundedPreceding, -1))
-    offsets = totals.withColumn("__off", F.coalesce(F.sum("__tot").over(prior), F.lit(0)))
-    from ..session import broadcast_if_small, cut_lineage
-    offsets = cut_lineage(offsets.drop("__tot"))        # one row per (key, block)
-    out = with_local.join(broadcast_if_small(offsets, row_bytes=64), partition_cols + ["__blk"])
-    return out.withColumn(out_col, F.col("__local") + F.col("__off")).drop("__blk", "__v", "__local", "__off")
+    keys = partition_cols + ["__blk"]
+    offsets = totals.select(*[F.col(c).alias(f"__k_{c}") for c in keys],
+                            F.coalesce(F.sum("__tot").over(prior), F.lit(0)).alias("__off"))
+    offsets = broadcast_if_small(cut_lineage(offsets), row_bytes=64)        # one row per (key, block)
+    same = F.lit(True)
+    for c in keys:
+        same = same & F.col(c).eqNullSafe(F.col(f"__k_{c}"))
+    out = with_local.join(offsets, same)
+    return (out.withColumn(out_col, F.col("__local") + F.col("__off"))
+            .drop("__blk", "__v", "__local", "__off", *[f"__k_{c}" for c in keys]))
 
 
 def ordered_position(df: DataFrame, order_cols: list[str], partition_cols: list[str] = (),
-                     out_col: str = "position", block: Column | None = None, n_blocks: int = 256) -> DataFrame:
+                     out_col: str = "position", block: Column | None = None, n_blocks: int | None = None) -> DataFrame:
     """1-based row position along ``order_cols`` (``row_number``) within ``partition_cols``."""
     return running_sum(df, F.lit(1), order_cols, partition_cols, out_col, block, n_blocks)

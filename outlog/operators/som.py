@@ -82,9 +82,9 @@ def init_sample(df: DataFrame, vec_col: str, id_cols: list[str], rows: int, cols
     pick = (df.select(*id_cols, vec_col, key.alias("__h"))
               .orderBy("__h", *id_cols).limit(rows * cols))
     w = _collect_vectors(pick.orderBy("__h", *id_cols), vec_col)
-    if len(w) < rows * cols:
-        raise ValueError(f"need {rows * cols} rows to initialise the map, found {len(w)}")
-    return Codebook(rows, cols, w)
+    if not len(w):
+        raise ValueError("no rows to initialise the map")
+    return Codebook(rows, cols, np.resize(w, (rows * cols, w.shape[1])))  # fewer rows are repeated in turn
 
 
 def init_frequent(df: DataFrame, vec_col: str, word_col: str, count_col: str,
@@ -93,9 +93,10 @@ def init_frequent(df: DataFrame, vec_col: str, word_col: str, count_col: str,
     pick = df.orderBy(F.col(count_col).desc(), F.col(word_col)).limit(rows * cols)
     got = pick.select(word_col, count_col, vec_col).collect()
     got.sort(key=lambda r: (-r[count_col], r[word_col]))
-    if len(got) < rows * cols:
-        raise ValueError(f"need {rows * cols} distinct words to initialise the map, found {len(got)}")
-    return Codebook(rows, cols, np.array([r[vec_col] for r in got], dtype=np.float64))
+    if not got:
+        raise ValueError("no words to initialise the map")
+    w = np.array([r[vec_col] for r in got], dtype=np.float64)
+    return Codebook(rows, cols, np.resize(w, (rows * cols, w.shape[1])))  # fewer words are repeated in turn
 
 
 def init_pca(df: DataFrame, vec_col: str, rows: int, cols: int, weight_col: str | None = None) -> Codebook:

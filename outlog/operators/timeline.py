@@ -28,29 +28,24 @@ def trailing_count(df: DataFrame, ts_col: str, key_cols: list[str], width_s: flo
     """Add the number of rows with the same key and ``ts - width <= ts' <= ts``.
 
     Equal to ``count(*) OVER (PARTITION BY key ORDER BY ts RANGE BETWEEN width PRECEDING
-    AND CURRENT ROW)``.  ``id_col`` must identify rows.
+    AND CURRENT ROW)``.  Rows are carried through the windows, so null keys form a group of
+    their own and repeated ids stay apart.  ``id_col`` is not needed and kept for callers.
     """
     wm = int(round(width_s * 1_000_000))
     keys = list(key_cols)
-    base = df.withColumn("__t", _micros(ts_col)).withColumn("__b", F.floor(F.col("__t") / F.lit(wm)))
+    base = df.select(F.struct(*df.columns).alias("__row"), *[F.col(k) for k in keys], _micros(ts_col).alias("__t"))
+    base = base.withColumn("__b", F.floor(F.col("__t") / F.lit(wm)))
     # rows of the own bucket up to and including ts (peers included)
     own = Window.partitionBy(*keys, "__b").orderBy("__t").rangeBetween(Window.unboundedPreceding, 0)
-    with_own = base.withColumn("__a", F.count(F.lit(1)).over(own))
-    # rows of the previous bucket at or after ts - width = size(prev) - rows before the probe
-    ev = base.select(*keys, "__b", "__t", F.lit(1).alias("__tag"), F.lit(None).cast(df.schema[id_col].dataType).alias("__pid"))
-    pr = base.select(*keys, (F.col("__b") - 1).alias("__b"), (F.col("__t") - F.lit(wm)).alias("__t"),
-                     F.lit(0).alias("__tag"), F.col(id_col).alias("__pid"))
-    w = (Window.partitionBy(*keys, "__b").orderBy("__t", "__tag")
-         .rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    before = (ev.unionByName(pr).withColumn("__lt", F.sum("__tag").over(w))
-                .where(F.col("__tag") == 0).select(F.col("__pid").alias(id_col), "__lt"))
-    sizes = base.groupBy(*keys, "__b").agg(F.count(F.lit(1)).alias("__n")) \
-                .select(*keys, (F.col("__b") + 1).alias("__b"), "__n")
-    out = (with_own.join(before, id_col, "left")
-                   .join(sizes, keys + ["__b"], "left"))
-    prev = F.coalesce(F.col("__n"), F.lit(0)) - F.coalesce(F.col("__lt"), F.lit(0))
-    return (out.withColumn(out_col, (F.col("__a") + prev).cast("long"))
-               .drop("__t", "__b", "__a", "__lt", "__n"))
+    rows = base.withColumn("__a", F.count(F.lit(1)).over(own))
+    # each row is also a probe of the previous bucket: rows there at or after ts - width
+    events = rows.select(*keys, "__b", "__t", F.lit(1).alias("__tag"), F.lit(None).cast(rows.schema["__row"].dataType).alias("__row"),
+                         F.lit(None).cast("long").alias("__a"))
+    probes = rows.select(*keys, (F.col("__b") - 1).alias("__b"), (F.col("__t") - F.lit(wm)).alias("__t"), F.lit(0).alias("__tag"), "__row", "__a")
+    later = (Window.partitionBy(*keys, "__b").orderBy(F.col("__t").desc(), F.col("__tag").desc())
+             .rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    both = events.unionByName(probes).withColumn("__prev", F.sum("__tag").over(later)).where(F.col("__tag") == 0)
+    return both.select("__row.*", (F.col("__a") + F.col("__prev")).cast("long").alias(out_col))
 
 
 def next_at_or_after(cands: DataFrame, probes: DataFrame, key_cols: list[str], bucket_us: int) -> DataFrame:
@@ -116,7 +111,9 @@ def greedy_gap(df: DataFrame, ts_col: str, key_cols: list[str], gap_s: float, id
     """
     keys = list(key_cols)
     gm = int(round(gap_s * 1_000_000))
-    base = cut_lineage(df.select(*keys, F.col(id_col).alias("__cid"), _micros(ts_col).alias("__ct")))
+    # null keys are a group of their own: joins and groups below see never-null text keys
+    named = [F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("-")).alias(k) for k in keys]
+    base = cut_lineage(df.select(*named, F.col(id_col).alias("__cid"), _micros(ts_col).alias("__ct")))
     id_type = base.schema["__cid"].dataType
     sizes = cut_lineage(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")))
     small = sizes.where(F.col("__n") <= local_max).select(*keys)

@@ -43,12 +43,14 @@ def local_session(cpus: int | str = "*", shuffle_partitions: int = 8, app: str =
 def work_dir(spark: SparkSession) -> str:
     """The shared folder for checkpoints and intermediate tables.
 
-    Read from ``spark.checkpoint.dir``; only when it is unset (tests) a scratch folder
-    is created and registered, so the same code runs unchanged on a cluster.
+    Read from ``spark.checkpoint.dir``.  Only a local session (tests) may leave it unset and gets
+    a scratch folder; a cluster session must name one.
     """
     conf = spark.sparkContext.getConf()
     d = spark.conf.get("spark.checkpoint.dir", None) or conf.get("spark.checkpoint.dir", None)
     if not d:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         d = tempfile.mkdtemp(prefix="outlog-ckpt-")
         spark.conf.set("spark.checkpoint.dir", d)
     if spark.sparkContext._jsc.sc().getCheckpointDir().isEmpty():

@@ -207,12 +207,16 @@ def window_read(df: DataFrame, as_of, span_s: float, max_rows: int | None = None
 
 
 def read_window(df: DataFrame, mode: str, as_of, predicate: Column | None = None,
-                ts_col: str = "ts", tie_cols: tuple = ()) -> DataFrame:
-    """The train / infer read: picks (span, cap) by mode; anything else is an error."""
+                ts_col: str = "ts", tie_cols: tuple = (), max_rows: int | None = None) -> DataFrame:
+    """The train / infer read: picks the span by mode; anything else is an error.
+
+    All rows of the span are read; a cap (``TRAIN_MAX_ENTRIES``, ``INFER_MAX_ENTRIES``) is the
+    caller's choice through ``max_rows``.
+    """
     if mode == "train":
-        span, cap = C.TRAIN_TIME_SPAN, C.TRAIN_MAX_ENTRIES
+        span = C.TRAIN_TIME_SPAN
     elif mode == "infer":
-        span, cap = C.INFER_TIME_SPAN, C.INFER_MAX_ENTRIES
+        span = C.INFER_TIME_SPAN
     else:
         raise ValueError(f"unknown read mode {mode!r}")
-    return window_read(df, as_of, span, cap, predicate, ts_col, tie_cols)
+    return window_read(df, as_of, span, max_rows, predicate, ts_col, tie_cols)

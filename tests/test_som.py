@@ -80,8 +80,10 @@ def test_init_modes(spark):
     assert som.init_codebook(df, "v", 2, 3, "random").weights.shape == (6, 2)
     with pytest.raises(ValueError):
         som.init_codebook(df, "v", 2, 2, "nope")
+    few = som.init_sample(df.limit(2), "v", ["id"], 2, 2).weights  # fewer rows than nodes: repeated in turn
+    assert few.shape == (4, 2) and (few[:2] == few[2:]).all()
     with pytest.raises(ValueError):
-        som.init_sample(df.limit(2), "v", ["id"], 2, 2)
+        som.init_sample(df.limit(0), "v", ["id"], 2, 2)
 
 
 def test_umatrix_clips_edges(spark):

@@ -113,3 +113,26 @@ def test_corruption_matches_sequential_loop(spark):
             c = chr(65 + int(_unit(42, "chr", i, 0, step) * 59))
             s[p] = c
         assert got[i] == "".join(s)
+
+
+def test_null_keys_and_repeated_ids_are_kept(spark):
+    """Null keys are a group of their own in running sums, trailing counts and gap selection."""
+    import datetime as dt
+    from outlog.operators.prefix import running_sum
+    t0 = dt.datetime(2024, 1, 1)
+    rows = [(i, k, t0 + dt.timedelta(seconds=10 * i)) for i, k in enumerate([None, None, "a", "a", None])]
+    df = spark.createDataFrame(rows, "id long, k string, ts timestamp")
+    got = {r["id"]: r["s"] for r in running_sum(df, F.lit(1), ["ts", "id"], ["k"], "s", n_blocks=3).collect()}
+    assert got == {0: 1, 1: 2, 2: 1, 3: 2, 4: 3}
+    same_id = df.withColumn("id", F.lit(7))
+    trail = timeline.trailing_count(same_id, "ts", ["k"], 15, "id", "n").select("k", "n").collect()
+    assert sorted((r["k"] or "", r["n"]) for r in trail) == [("", 1), ("", 1), ("", 2), ("a", 1), ("a", 2)]
+    kept = {r["id"] for r in timeline.greedy_gap(df, "ts", ["k"], 30, "id").collect()}
+    assert kept == {0, 2, 4}
+
+
+def test_spread_of_close_distances_does_not_cancel(spark):
+    from outlog.operators.detect import score_stats
+    d = [1e8, 1e8 + 1, 1e8 + 2]
+    st = score_stats(spark.createDataFrame([(x,) for x in d], "dist double"))
+    assert abs(st.std * max(d) - (2 / 3) ** 0.5) < 1e-6

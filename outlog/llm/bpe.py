@@ -27,7 +27,8 @@ TOKENIZER = "word_bpe_49k.json"
 SPACE_CHARS = r"\x09-\x0D\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000"
 PRETOKEN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^" + SPACE_CHARS + r"\p{L}\p{N}]+"
 NO_RANK = np.iinfo(np.int64).max
-CACHE_WORDS = 400_000
+CACHE_WORDS = 200_000
+SLICE = 1 << 20  # characters or ids worked on at once
 
 
 def default_path() -> str:
@@ -228,7 +229,7 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: st
     def run(batches):
         enc = _Encoder(Bpe(spec.value))
         for whole in batches:
-            for b in slices(whole, text_col):
+            for b in slices(whole, text_col, SLICE):
                 flat, offsets = enc.encode(b[text_col].to_pylist())
                 ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, ids_col])
@@ -248,7 +249,7 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path:
     def run(batches):
         tokens = np.array([*Bpe(spec.value).tokens, None], object)
         for whole in batches:
-            for b in slices(whole, ids_col):
+            for b in slices(whole, ids_col, SLICE):
                 col = b[ids_col]
                 size = pc.list_value_length(col).fill_null(0).to_numpy(zero_copy_only=False)
                 ids = col.flatten().fill_null(-1).to_numpy(zero_copy_only=False)

@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -32,7 +33,8 @@ SEGMENT = 24  # words of a training segment
 EPOCHS = 4
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+SLICE_CHARS = 2 << 20
 
 
 @dataclass(frozen=True)
@@ -69,16 +71,16 @@ class _Words:
 
     def __init__(self):
         self.number: dict[str, int] = {}
-        self.flat: list[int] = []
-        self.ends: list[int] = []
+        self.flat = array("i")
+        self.ends = array("q")
 
     def look(self, words: list[str]) -> np.ndarray:
         out = np.empty(len(words), np.int64)
         for i, w in enumerate(words):
             n = self.number.get(w)
             if n is None:
-                n = self.number[w] = len(self.ends)
-                self.flat += word_features(w)
+                n = self.number[w] = len(self.number)
+                self.flat.extend(word_features(w))
                 self.ends.append(len(self.flat))
             out[i] = n
         return out
@@ -201,13 +203,14 @@ def _label(texts: list[str | None], crf: Crf, words: _Words, scores: list[np.nda
     """(word languages' posteriors, word counts per text) of a list of texts."""
     split = [text_words(t) for t in texts]
     ids = [words.look(s) for s in split]
-    have = sum(len(x) for x in scores)
-    if len(words.ends) > have:
-        starts = np.array([0, *words.ends[have:-1]] if have == 0 else words.ends[have - 1:-1])
-        base = 0 if have == 0 else words.ends[have - 1]
-        flat = np.array(words.flat[base:])
-        sizes = np.array(words.ends[have:]) - starts
-        scores.append(_means(crf.emit, flat, starts - base, sizes))
+    if len(words.ends):  # words met for the first time; their features are not needed again
+        ends = np.array(words.ends)
+        starts = np.append(0, ends[:-1])
+        new = np.concatenate([_means(crf.emit, np.array(words.flat[starts[k]:ends[min(k + 8192, len(ends)) - 1]]),
+                                     starts[k:k + 8192] - starts[k], (ends - starts)[k:k + 8192])
+                              for k in range(0, len(ends), 8192)])
+        scores.append(new.astype(np.float32))
+        words.flat, words.ends = array("i"), array("q")
     table = np.concatenate(scores) if len(scores) > 1 else scores[0] if scores else np.empty((0, len(crf.labels)))
     scores[:] = [table]
     lengths = np.array([len(x) for x in ids], np.int64)
@@ -238,8 +241,8 @@ def predict(df: DataFrame, crf: Crf, text_col: str = "text", pred_col: str = "la
         m = Crf(**model.value)
         words, scores = _Words(), []
         for whole in batches:
-            for b in slices(whole, text_col):
-                if len(words.ends) > CACHE_WORDS:
+            for b in slices(whole, text_col, SLICE_CHARS):
+                if len(words.number) > CACHE_WORDS:
                     words, scores = _Words(), []
                 texts = b[text_col].to_pylist()
                 langs, values, tags = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]

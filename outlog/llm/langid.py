@@ -138,9 +138,11 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
     Learning without a labelled row gives a field without labels, which answers ``und``.
     """
-    rows = (labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars))
-            .select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l"))
-            .orderBy("h", "t", "l").limit(max_docs).collect())
+    fit_rows = (labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars))
+                .select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")))
+    # the top-k runs over hashes alone; only the chosen rows' texts come to the driver
+    last = fit_rows.select("h").orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]
+    rows = sorted(fit_rows.where(F.col("h") <= F.lit(last).cast("long")).limit(2 * max_docs).collect())[:max_docs]
     labels = sorted({r["l"] for r in rows})
     n_labels = max(1, len(labels))
     words, ids, gold, lengths = _Words(), [], [], []

@@ -170,7 +170,8 @@ def search(classes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     if not stats["n"]:
         return empty
     n, longest = stats["n"], float(stats["m"])
-    sample = np.array([r["v"] for r in classes.orderBy("cid").limit(SAMPLE_ROWS).collect()])
+    last = classes.select("cid").orderBy("cid").limit(SAMPLE_ROWS).agg(F.max("cid")).first()[0]
+    sample = np.array([r["v"] for r in sorted(classes.where(F.col("cid") <= last).collect(), key=lambda r: r["cid"])])
     turn = rotation(sample.shape[1] + 1)
     lists = max(1, min(MAX_LISTS, n // LIST_ROWS, len(sample)))
     centres = k_means(lift(sample, longest, turn), lists)

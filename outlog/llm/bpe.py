@@ -20,7 +20,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import slices, spread
+from .common import bounded_batches, slices, spread
 
 TOKENIZER = "word_bpe_49k.json"
 # Fixed values of the vocabulary file's normalizer and pre-tokenizer.
@@ -234,7 +234,7 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: st
                 ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, ids_col])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return bounded_batches(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
 
 
 def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str | None = None) -> DataFrame:
@@ -262,4 +262,4 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path:
                 out = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([*b.columns, out], [*b.schema.names, out_col])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())]))
+    return bounded_batches(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())]))

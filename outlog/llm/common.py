@@ -53,6 +53,23 @@ def hex_prefix(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
 
 
+BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
+
+
+def bounded_batches(df: DataFrame) -> DataFrame:
+    """``df``, after lowering the session's limits for Arrow batches to a few MB of text.
+
+    A batch is held several times at once (by the JVM, by pyarrow, as Python strings), so its size
+    sets the working memory of a task.  Smaller limits of the session stay; results never depend on them.
+    """
+    conf = df.sparkSession.conf
+    for name, limit in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(conf.get(key, "0").rstrip("b")) <= limit:
+            conf.set(key, str(limit))
+    return df
+
+
 def slices(batch: pa.RecordBatch, column: str, budget: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Pieces of a batch holding about ``budget`` characters or values of ``column`` (one row at least)."""
     kind = batch.schema.field(column).type

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import slices
+from .common import bounded_batches, slices
 
 TRAIN_DOCS = 1500  # most labelled rows the fit reads
 TRAIN_CHARS = 20_000  # labelled rows with longer texts are not used to fit
@@ -34,7 +34,7 @@ EPOCHS = 4
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 200_000
-SLICE_CHARS = 2 << 20
+SLICE_CHARS = 1 << 19
 
 
 @dataclass(frozen=True)
@@ -101,7 +101,8 @@ def forward_backward(score: np.ndarray, lengths: np.ndarray, move: np.ndarray, s
     order = np.argsort(-lengths, kind="stable")
     length = lengths[order]
     first = (np.cumsum(lengths) - lengths)[order]
-    like = np.exp(score - score.max(axis=1, keepdims=True))
+    like = score - score.max(axis=1, keepdims=True)
+    np.exp(like, out=like)
     step, begin = np.exp(move - move.max()), np.exp(start - start.max())
     alpha, beta = np.empty_like(like), np.ones_like(like)
     longest = int(length[0]) if len(length) else 0
@@ -128,8 +129,9 @@ def forward_backward(score: np.ndarray, lengths: np.ndarray, move: np.ndarray, s
 def posteriors(score: np.ndarray, lengths: np.ndarray, move: np.ndarray, start: np.ndarray) -> np.ndarray:
     """Probability of each label at each word given the whole sequence."""
     alpha, beta, _, _ = forward_backward(score, lengths, move, start)
-    both = alpha * beta
-    return both / both.sum(axis=1, keepdims=True)
+    alpha *= beta
+    alpha /= alpha.sum(axis=1, keepdims=True)
+    return alpha
 
 
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
@@ -264,4 +266,4 @@ def predict(df: DataFrame, crf: Crf, text_col: str = "text", pred_col: str = "la
                     cols.append(pa.array(tags, pa.list_(pa.string())))
                 yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *new])
 
-    return df.mapInArrow(run, T.StructType([*df.schema.fields, *fields]))
+    return bounded_batches(df).mapInArrow(run, T.StructType([*df.schema.fields, *fields]))

@@ -32,14 +32,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import contiguous_groups, slices, tasks
+from .common import bounded_batches, contiguous_groups, slices, tasks
 
 N_HASHES, BAND_ROWS = 128, 4
 SEED = 20240229
 LOW_BITS = 31  # the bits of a bucket that hold the number of its band
 LEFT_TILE, RIGHT_TILE = 2048, 16384
 FIRST_PARTNERS = 16  # likely links a member may send per component and round; grows while any are left out
-CACHE_WORDS = 500_000
+CACHE_WORDS = 150_000
+SLICE_CHARS = 1 << 20
 
 
 def text_words(text: str | None) -> list[bytes]:
@@ -102,7 +103,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
         a, b = _universal()
         known = _WordHash()
         for whole in batches:
-            for part in slices(whole, "text"):
+            for part in slices(whole, "text", SLICE_CHARS):
                 n, key, sig, bag = [], [], [], []
                 for text in part["text"].to_pylist():
                     if len(known) > CACHE_WORDS:
@@ -117,7 +118,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
                     ["id", "n", "key", "sig", "bag"])
 
     rows = df.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "id long, n long, key binary, sig binary, bag binary")
+    return bounded_batches(rows).mapInArrow(run, "id long, n long, key binary, sig binary, bag binary")
 
 
 def band_rows(sigs: DataFrame) -> DataFrame:
@@ -198,7 +199,7 @@ def packed_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for whole in batches:
-            for b in slices(whole, "text"):
+            for b in slices(whole, "text", SLICE_CHARS):
                 body = [z.compress(t.encode("utf-8")) for t in b["text"].to_pylist()]
                 yield pa.RecordBatch.from_arrays([b["id"], pa.array(body, pa.binary())], ["id", "body"])
 
@@ -226,7 +227,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
             return known[k]
 
         for whole in batches:
-            for b in slices(whole, "a"):
+            for b in slices(whole, "a", SLICE_CHARS):
                 keep = []
                 for u, v, x, y in zip(*(b[c].to_pylist() for c in ("u", "v", "a", "b")), strict=True):
                     p, q = of(v, y), of(u, x)

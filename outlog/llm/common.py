@@ -65,7 +65,8 @@ def bounded_batches(df: DataFrame) -> DataFrame:
     conf = df.sparkSession.conf
     for name, limit in (("maxRecordsPerBatch", BATCH_ROWS), ("maxBytesPerBatch", BATCH_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
-        if not 0 < int(conf.get(key, "0").rstrip("b")) <= limit:
+        now = conf.get(key).rstrip("b")
+        if not (now.isdigit() and 0 < int(now) <= limit):
             conf.set(key, str(limit))
     return df
 

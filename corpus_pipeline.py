@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,6 +14,13 @@ from outlog.session import broadcast_if_small, cut_lineage, read_table, scratch_
 MIN_SCORE = 0.5  # a document whose best language holds less than half of its words goes
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of finished stages: it does so once the driver's JVM has
+    collected their plans, which a driver with memory to spare puts off while the disks fill."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with letters whose language is clear; the field is fitted on a sample of ``docs``."""
     scored = langid.predict(docs, langid.fit(docs), pred_col="_pred", score_col="_score")
@@ -21,6 +29,7 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group that shares 80 of 100 five-word shingles; the smallest id stays."""
+    release(spark)
     judged = minhash.near_duplicates(docs.select("doc_id", "text"))
     gone = cut_lineage(judged.where(~F.col("kept") & F.col("doc_id").isNotNull()).select("doc_id").distinct())
     return docs.join(broadcast_if_small(gone, row_bytes=16), "doc_id", "left_anti").select(*docs.columns)
@@ -28,6 +37,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Texts without the bytes that an earlier 100-byte string covers; emptied texts go."""
+    release(spark)
     cut = suffix.remove_repeats(docs)
     whole = (F.col("n_removed") == 0) | (F.length(F.trim("text")) > 0)
     return cut.where(whole).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long"))
@@ -36,12 +46,14 @@ def suffix_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mixture: one row per document and epoch that takes words of it, its text those words."""
+    release(spark)
     placed = mixing.streams(docs)
     return mixing.mixed_rows(placed, mixing.draw(placed))
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text beside the columns of documents, and the text they decode to."""
+    release(spark)
     return bpe.decode(bpe.encode(docs))
 
 

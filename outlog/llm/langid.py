@@ -34,7 +34,7 @@ EPOCHS = 4
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 200_000
-SLICE_CHARS = 1 << 19
+SLICE_CHARS = 3 << 19
 
 
 @dataclass(frozen=True)

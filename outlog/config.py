@@ -55,7 +55,7 @@ VALIDATION_SEED = 42
 
 # Limits we choose for Spark (not part of the reproduced behaviour).
 BROADCAST_MAX_BYTES = 64 * 1024 * 1024   # largest model/lookup we ship to every executor
-W2V_WORDS_PER_PARTITION = 5_000_000      # Word2Vec training words per task before splitting
+W2V_PARTITIONS = 8                       # Word2Vec training tasks: a fixed number, whatever the corpus
 SCORE_CHUNK_ROWS = 4096                  # rows per numpy distance block inside a task
 
 
@@ -68,7 +68,7 @@ class DetectorConfig:
     min_count: int = W2V_MIN_COUNT
     w2v_iter: int = W2V_ITER
     w2v_seed: int = W2V_SEED
-    w2v_partitions: int | None = None        # None: sized from the corpus (1 for small corpora)
+    w2v_partitions: int = W2V_PARTITIONS
     max_sentence_length: int = 1000
     map_rows: int = SOM_MAP_SIZE
     map_cols: int = SOM_MAP_SIZE

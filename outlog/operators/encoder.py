@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from .. import config as C
 from ..functions.text import template
 from ..functions.vectors import as_double_array, cosine_distance, hash_vector, zeros
+from ..session import cut_lineage
 
 
 def document_sentences(documents: DataFrame, text_col: str = "text", keep=("doc_id", "source")) -> DataFrame:
@@ -47,10 +48,11 @@ def cooccurrence_pairs(sentences: DataFrame, window: int = C.W2V_WINDOW,
     over the line order.
     """
     s = sentences.select(F.col(sentence_col).alias("__s"))
-    centred = s.select("__s", F.posexplode("__s").alias("pos", "word"))
-    ctx = F.slice(F.col("__s"), F.col("pos") + 2, window)
-    return (centred.select("word", F.posexplode(ctx).alias("o", "context"))
-                   .select("word", "context", (F.col("o") + 1).alias("offset")))
+    # each word takes only its own context along, so a row stays linear in the sentence's length
+    near = F.transform("__s", lambda w, i: F.struct(w.alias("word"), F.slice(F.col("__s"), i + 2, window).alias("ctx")))
+    return (s.select(F.explode(near).alias("g"))
+             .select(F.col("g.word").alias("word"), F.posexplode("g.ctx").alias("o", "context"))
+             .select("word", "context", (F.col("o") + 1).alias("offset")))
 
 
 def cooccurrence_counts(sentences: DataFrame, window: int = C.W2V_WINDOW) -> DataFrame:
@@ -77,37 +79,20 @@ def sentence_vocabulary(sentences: DataFrame, min_count: int = C.W2V_MIN_COUNT)
 
 def fit_word2vec(sentences: DataFrame, vector_length: int = C.W2V_VECTOR_LENGTH,
                  window: int = C.W2V_WINDOW, min_count: int = C.W2V_MIN_COUNT,
-                 max_iter: int = C.W2V_ITER, seed: int = C.W2V_SEED, partitions: int | None = None,
-                 max_sentence_length: int = 1000, max_model_bytes: int = C.BROADCAST_MAX_BYTES,
-                 vocab_size: int | None = None, corpus_words: int | None = None):
+                 max_iter: int = C.W2V_ITER, seed: int = C.W2V_SEED, partitions: int = C.W2V_PARTITIONS,
+                 max_sentence_length: int = 1000):
     """Train skip-gram Word2Vec on template sentences; returns (model, vectors DataFrame).
 
     Spark ML keeps the vocabulary and the two ``vocab x dim`` float matrices on the driver
-    and ships them to the executors every iteration, so the vocabulary size is counted
-    first (a distributed aggregate) and checked against ``max_model_bytes``.  Sentences
-    longer than ``max_sentence_length`` are cut into chunks (no word is dropped).
-
-    ``partitions=None`` sizes the training parallelism from the corpus: one partition
-    (reproducible vectors) up to ``W2V_WORDS_PER_PARTITION`` words, beyond that one
-    partition per that many words, up to the cluster's default parallelism - so a large
-    corpus is never trained inside a single task.
+    and ships them to the executors every iteration, so it is meant for vocabularies of a
+    driver's size; ``cooccurrence_vectors`` has no such bound.  Sentences longer than
+    ``max_sentence_length`` are cut into chunks (no word is dropped).  ``partitions`` tasks
+    train side by side whatever the corpus, and their weights are averaged every iteration.
     """
     from pyspark.ml.feature import Word2Vec
 
-    if partitions is None:
-        if corpus_words is None:
-            corpus_words = sentences.select(F.sum(F.size("sentence"))).first()[0] or 0
-        per = C.W2V_WORDS_PER_PARTITION
-        cap = sentences.sparkSession.sparkContext.defaultParallelism
-        partitions = max(1, min(cap, -(-int(corpus_words) // per)))
-    if vocab_size is None:
-        vocab_size = sentence_vocabulary(sentences, min_count).count()
-    if vocab_size == 0:
+    if sentences.where(F.size("sentence") > 0).isEmpty():
         raise ValueError("empty vocabulary: nothing to train on")
-    model_bytes = vocab_size * vector_length * 4 * 2
-    if model_bytes > max_model_bytes:
-        raise ValueError(f"Word2Vec model would hold {vocab_size} words ({model_bytes} bytes), above "
-                         f"{max_model_bytes}; raise min_count or split the corpus")
     w2v = Word2Vec(vectorSize=vector_length, windowSize=window, minCount=min_count, maxIter=max_iter,
                    seed=seed, numPartitions=partitions, maxSentenceLength=max_sentence_length,
                    inputCol="sentence", outputCol="__avg")
@@ -116,6 +101,32 @@ def fit_word2vec(sentences: DataFrame, vector_length: int = C.W2V_VECTOR_LENGTH,
     return model, vectors
 
 
+def cooccurrence_vectors(sentences: DataFrame, dim: int = C.W2V_VECTOR_LENGTH, window: int = C.W2V_WINDOW,
+                         min_count: int = C.W2V_MIN_COUNT, seed: int = C.W2V_SEED) -> DataFrame:
+    """``word`` and ``vector``: the mean seeded vector of the words within ``window`` places.
+
+    Words that stand among the same words get close vectors.  A context word's components are
+    20 bits of a seeded hash, summed as whole numbers, so the vectors do not depend on the order
+    of the rows and are the same on every run; a word without neighbours keeps its own
+    components.  Pairs are counted before they meet the components, words travel as digests,
+    and nothing of the vocabulary's size comes to the driver.
+    """
+    words = sentence_vocabulary(sentences, min_count)
+    bits = [F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("word"), F.lit(str(i)))), 1, 5), 16, 10)
+            .cast("long").alias(f"h{i}") for i in range(dim)]
+    words = cut_lineage(words.select("word", F.md5("word").alias("key"), *bits))
+    counts = cooccurrence_counts(sentences.select(F.transform("sentence", lambda w: F.md5(w)).alias("sentence")), window)
+    both = counts.select(F.explode(F.array(F.struct(F.col("word").alias("key"), F.col("context").alias("near")),
+                                           F.struct(F.col("context").alias("key"), F.col("word").alias("near")))).alias("p"), "n")
+    comps = words.select(F.col("key").alias("near"), *[f"h{i}" for i in range(dim)])
+    sums = (both.select("p.*", "n").join(comps, "near").groupBy("key")
+            .agg(F.sum("n").alias("m"), *[F.sum(F.col("n") * F.col(f"h{i}")).alias(f"s{i}") for i in range(dim)]))
+    total = F.coalesce(F.col("m"), F.lit(1)).cast("double")
+    comp = [(F.coalesce(F.col(f"s{i}"), F.col(f"h{i}")).cast("double") / total / F.lit(1048576.0) - F.lit(0.5)) / F.lit(float(dim))
+            for i in range(dim)]
+    return words.join(sums, "key", "left").select("word", F.array(*comp).alias("vector"))
+
+
 def _vector_to_array(c: Column) -> Column:
     from pyspark.ml.functions import vector_to_array
     return vector_to_array(c, "float64")

@@ -14,7 +14,7 @@ of kept rows rounds of joins), not by a sequential scan over a key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window, functions as F, types as T
+from pyspark.sql import DataFrame, Window, functions as F
 
 from ..session import cut_lineage
 
@@ -80,49 +80,22 @@ def next_at_or_after(cands: DataFrame, probes: DataFrame, key_cols: list[str], b
                .select(F.col("__pid"), F.coalesce("__near", "__later").alias("__nid")))
 
 
-def _greedy_scan(gap_us: int):
-    """Per-key greedy walk over the key's (time, id) pairs; jumps with binary search."""
-    import numpy as np
-    import pandas as pd
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["__ct", "__cid"], kind="stable")
-        ts = pdf["__ct"].to_numpy()
-        ids = pdf["__cid"].to_numpy()
-        keep, i = [], 0
-        while i < len(ts):
-            keep.append(i)
-            i = int(np.searchsorted(ts, ts[i] + gap_us, side="left"))
-        return pd.DataFrame({"__id": ids[keep]})
-
-    return run
-
-
 def greedy_gap(df: DataFrame, ts_col: str, key_cols: list[str], gap_s: float, id_col: str,
-               max_rounds: int = 64, local_max: int = 200_000) -> DataFrame:
+               max_rounds: int = 64) -> DataFrame:
     """Rows kept by greedy minimum-gap selection per key (ties by ``id_col``).
 
     The first row of each key is kept; after a kept row at ``t`` the next kept row is the
-    first one at ``t + gap`` or later.  Keys with at most ``local_max`` rows (a bounded
-    group: key, id and time only) are walked in one pandas task each.  Larger keys are
-    never gathered: ``next`` is computed for every row with bucketed look-ups, and the kept
-    set - the orbit of the key's first row under ``next`` - is grown by pointer doubling,
-    ``A <- A + J(A)``, ``J <- J o J``, both tables written out every round.
+    first one at ``t + gap`` or later.  No key is gathered: ``next`` is computed for every
+    row with bucketed look-ups, and the kept set - the orbit of the key's first row under
+    ``next`` - is grown by pointer doubling, ``A <- A + J(A)``, ``J <- J o J``, both tables
+    written out every round.
     """
     keys = list(key_cols)
     gm = int(round(gap_s * 1_000_000))
     # null keys are a group of their own: joins and groups below see never-null text keys
     named = [F.coalesce(F.concat(F.lit("="), F.col(k).cast("string")), F.lit("-")).alias(k) for k in keys]
     base = cut_lineage(df.select(*named, F.col(id_col).alias("__cid"), _micros(ts_col).alias("__ct")))
-    id_type = base.schema["__cid"].dataType
-    sizes = cut_lineage(base.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")))
-    small = sizes.where(F.col("__n") <= local_max).select(*keys)
-    large = sizes.where(F.col("__n") > local_max).select(*keys)
-    local = (base.join(small, keys, "left_semi").groupBy(*keys)
-                 .applyInPandas(_greedy_scan(gm), T.StructType([T.StructField("__id", id_type)])))
-    kept = local
-    if not large.isEmpty():
-        kept = kept.unionByName(_greedy_doubling(base.join(large, keys, "left_semi"), keys, gm, max_rounds))
+    kept = _greedy_doubling(base, keys, gm, max_rounds)
     return df.join(kept, df[id_col] == kept["__id"], "left_semi")
 
 

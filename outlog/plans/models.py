@@ -31,7 +31,7 @@ def q_flagship(spark, d):
 
 
 def q_detector_predictions(spark, d):
-    """Every document line scored by Word2Vec + a 4 x 4 SOM (10 epochs) with its flag."""
+    """Every document line scored by co-occurrence vectors + a 4 x 4 SOM (10 epochs) with its flag."""
     docs = read_table(spark, d, "documents")
     lines = document_lines(docs)
     cfg = DetectorConfig(map_rows=4, map_cols=4, epochs=10, som_init="frequent")

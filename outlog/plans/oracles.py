@@ -60,28 +60,59 @@ ins AS (
 ),
 fp AS (SELECT DISTINCT message FROM ins WHERE reported_anomaly_status)"""
 
-# hash-encoded templates, map of the 16 most frequent, per-line predictions
-PRED = LINES + """,
-tc AS (SELECT template, count(*) AS n FROM tl GROUP BY template),
-hv AS (
-  SELECT template, n,
-         list_transform(range(0, 8), lambda i: (CAST('0x' || substr(md5('1:' || template || ':' || CAST(i AS VARCHAR)), 1, 8) AS BIGINT)
-                                        / 4294967296.0 - 0.5) / 8.0) AS v
-  FROM tc
-),
-cbh AS (
-  SELECT CAST(row_number() OVER (ORDER BY n DESC, template) - 1 AS INTEGER) AS node, v
-  FROM hv ORDER BY n DESC, template LIMIT 16
-),
-hd AS (SELECT hv.template, cbh.node, list_distance(hv.v, cbh.v) AS dist FROM hv, cbh),
-bt AS (
+FOLLOWERS = " UNION ALL ".join(
+    f"SELECT template AS word, lead(template, {k}) OVER (PARTITION BY doc_id ORDER BY line_no) AS context FROM tl"
+    for k in range(1, 6))
+
+
+def _map_epoch(k: int, sigma: float) -> str:
+    """One batch epoch of a 4 x 4 map, lines as weights, Gaussian neighbourhood: m{k-1} -> m{k}."""
+    return f"""
+b{k} AS MATERIALIZED (SELECT template, n, node AS bmu FROM (
+  SELECT t.template, t.n, c.node, row_number() OVER (PARTITION BY t.template ORDER BY list_distance(t.v, c.v), c.node) AS rn
+  FROM tv t, m{k - 1} c) d WHERE rn = 1),
+s{k} AS (SELECT b.bmu, x.i, sum(b.n * x.x) AS s FROM b{k} b JOIN tx x USING (template) GROUP BY 1, 2),
+n{k} AS (SELECT bmu, sum(n) AS n FROM b{k} GROUP BY 1),
+h{k} AS (SELECT a.range AS j, c.range AS bb, exp(-CAST((a.range // 4 - c.range // 4) ** 2 + (a.range % 4 - c.range % 4) ** 2 AS DOUBLE)
+                                                 / {2 * sigma ** 2!r}) AS h FROM range(16) a, range(16) c),
+e{k} AS (SELECT h.j, sum(h.h * n.n) AS den FROM h{k} h JOIN n{k} n ON h.bb = n.bmu GROUP BY 1),
+w{k} AS (SELECT h.j, s.i, sum(h.h * s.s) AS num FROM h{k} h JOIN s{k} s ON h.bb = s.bmu GROUP BY 1, 2),
+m{k} AS MATERIALIZED (SELECT CAST(j AS INTEGER) AS node, list(num / den ORDER BY i) AS v FROM w{k} JOIN e{k} USING (j) GROUP BY j)"""
+
+
+def scored_lines(dim: int, epochs: int) -> str:
+    """Templates by their neighbours' mean seeded vectors, a fitted 4 x 4 map, every line's distance."""
+    steps = [2.0 - 1.5 * t / (epochs - 1) for t in range(epochs)]
+    return LINES + f""",
+tc AS MATERIALIZED (SELECT template, count(*) AS n FROM tl GROUP BY template),
+fw AS ({FOLLOWERS}),
+cn AS (SELECT word, context, count(*) AS n FROM (
+         SELECT word, context FROM fw WHERE context IS NOT NULL
+         UNION ALL SELECT context AS word, word AS context FROM fw WHERE context IS NOT NULL) u GROUP BY 1, 2),
+hw AS MATERIALIZED (
+  SELECT template, i, CAST('0x' || substr(md5('1:' || template || ':' || CAST(i AS VARCHAR)), 1, 5) AS BIGINT) AS h
+  FROM tc, range(0, {dim}) r(i)),
+sw AS (SELECT cn.word AS template, hw.i, sum(cn.n * hw.h) AS s, sum(cn.n) AS m
+       FROM cn JOIN hw ON hw.template = cn.context GROUP BY 1, 2),
+tx AS MATERIALIZED (
+  SELECT hw.template, hw.i, (CAST(coalesce(sw.s, hw.h) AS DOUBLE) / CAST(coalesce(sw.m, 1) AS DOUBLE) / 1048576 - 0.5) / {dim} AS x
+  FROM hw LEFT JOIN sw ON sw.template = hw.template AND sw.i = hw.i),
+tv AS MATERIALIZED (SELECT template, any_value(tc.n) AS n, list(x ORDER BY i) AS v FROM tx JOIN tc USING (template) GROUP BY template),
+m0 AS (SELECT CAST(row_number() OVER (ORDER BY n DESC, template) - 1 AS INTEGER) AS node, v
+       FROM tv ORDER BY n DESC, template LIMIT 16),""" + ",".join(_map_epoch(k + 1, s) for k, s in enumerate(steps)) + f""",
+bt AS MATERIALIZED (
   SELECT template, node AS bmu, dist FROM (
-    SELECT *, row_number() OVER (PARTITION BY template ORDER BY dist, node) AS rn FROM hd) t WHERE rn = 1
+    SELECT *, row_number() OVER (PARTITION BY template ORDER BY dist, node) AS rn FROM (
+      SELECT t.template, c.node, list_distance(t.v, c.v) AS dist FROM tv t, m{epochs} c) d) t WHERE rn = 1
 ),
-sl AS (SELECT tl.*, bt.bmu, bt.dist FROM tl JOIN bt USING (template)),
+sl AS MATERIALIZED (SELECT tl.*, bt.bmu, bt.dist FROM tl JOIN bt USING (template)),
 mx AS (SELECT max(dist) AS m FROM sl),
 st AS (SELECT avg(dist / m) AS mean, stddev_pop(dist / m) AS std FROM sl, mx),
-thr AS (SELECT 1.0 * std + mean AS thr FROM st),""" + FEEDBACK.rstrip() + """,
+thr AS (SELECT 3.1 * std + mean AS thr FROM st)"""
+
+
+# per-line predictions of the map fitted for two epochs
+PRED = scored_lines(8, 2) + "," + FEEDBACK.rstrip() + """,
 pr AS (
   SELECT sl.doc_id, sl.line_no, sl.source, sl.message,
          sha256('v1:batch-0:' || CAST(sl.doc_id AS VARCHAR) || ':' || CAST(sl.line_no AS VARCHAR)) AS predict_id,
@@ -220,10 +251,16 @@ h AS (SELECT a.node AS j, c.node AS bb,
       FROM nodes a, nodes c)""", epoch(1), epoch(2)) + """
 SELECT CAST(node AS INTEGER) AS node, CAST(i AS INTEGER) AS dim, round(w, 6) AS w FROM w2"""
 
-    lead = " UNION ALL ".join(
-        f"SELECT template AS word, lead(template, {k}) OVER (PARTITION BY doc_id ORDER BY line_no) AS context FROM tl"
-        for k in range(1, 6))
-    q["cooccurrence_counts"] = _w(LINES, f"p AS ({lead})") + """
+    q["detector_predictions"] = _w(scored_lines(25, 10)) + """
+SELECT doc_id, line_no, sha256('v1:b0:' || CAST(doc_id AS VARCHAR) || ':' || CAST(line_no AS VARCHAR)) AS predict_id,
+       CAST(bmu AS INTEGER) AS bmu, round(dist / m, 6) AS anomaly_score,
+       CAST(CASE WHEN dist / m > thr THEN 1 ELSE 0 END AS INTEGER) AS anomaly
+FROM sl, mx, thr"""
+    q["flagship"] = _w(scored_lines(25, 5)) + """
+SELECT doc_id, line_no, source, message, template, CAST(bmu AS INTEGER) AS bmu, round(dist / m, 6) AS anomaly_score,
+       CAST(CASE WHEN dist / m > thr THEN 1 ELSE 0 END AS INTEGER) AS anomaly
+FROM sl, mx, thr ORDER BY round(dist / m, 6) DESC, doc_id, line_no LIMIT 20"""
+    q["cooccurrence_counts"] = _w(LINES, f"p AS ({FOLLOWERS})") + """
 SELECT word, context, count(*) AS n FROM p WHERE context IS NOT NULL GROUP BY word, context"""
     q["vocabulary"] = _w(LINES) + " SELECT template AS word, count(*) AS n FROM tl GROUP BY template HAVING count(*) >= 2"
     q["new_words"] = _w(LINES, CONV_TEMPLATES) + """

@@ -45,13 +45,15 @@ class SomDetector:
     """Template encoder + self-organising map + learned threshold."""
 
     cfg: DetectorConfig = field(default_factory=DetectorConfig)
-    encoder: str = "word2vec"            # or "hash"
+    encoder: str = "cooccurrence"        # or "word2vec", "hash"
     kernel: str = "gaussian"
     vectors: DataFrame | None = None
     codebook: som.Codebook | None = None
     stats: ScoreStats | None = None
     qe_history: list = field(default_factory=list)
     vocab_size: int = 0
+    noise: DataFrame | None = None
+    noise_copies: int = 0
 
     def _sentences(self, lines: DataFrame, sentences: DataFrame | None) -> DataFrame:
         if sentences is not None:
@@ -59,31 +61,22 @@ class SomDetector:
         return enc.sequence_sentences(lines, ["source"], ["doc_id", "line_no"])
 
     def fit(self, lines: DataFrame, sentences: DataFrame | None = None,
-            noise: DataFrame | None = None, noise_copies: int = 0,
-            sentences_from_lines: bool = True) -> "SomDetector":
-        """Fit encoder, map and baseline on ``lines`` (plus optional false-positive noise).
-
-        ``sentences_from_lines`` says the sentences hold exactly the lines' templates, so
-        the vocabulary size for the encoder's size check comes from the template counts
-        already computed instead of another pass over the corpus.
-        """
+            noise: DataFrame | None = None, noise_copies: int = 0) -> "SomDetector":
+        """Fit encoder, map and baseline on ``lines`` (plus optional false-positive noise)."""
         cfg = self.cfg
+        self.noise, self.noise_copies = noise, noise_copies
         train = with_noise(lines.select("template", "message"), noise, noise_copies)
         counts = cut_lineage(template_counts(train))
-        if self.encoder == "word2vec":
-            sents = self._sentences(lines, sentences)
+        if self.encoder in ("cooccurrence", "word2vec"):
+            sents = self._sentences(lines, sentences).select("sentence")
             if noise is not None and noise_copies > 0:
                 from ..operators.feedback import noise_sentences
-                sents = sents.unionByName(noise_sentences(noise, noise_copies).select("sentence"),
-                                          allowMissingColumns=True).select("sentence")
-            vocab = words = None
-            if sentences_from_lines:
-                r = counts.agg(F.sum(F.when(F.col("n") >= cfg.min_count, 1).otherwise(0)).alias("v"),
-                               F.sum("n").alias("w")).first()
-                vocab, words = int(r["v"] or 0), int(r["w"] or 0)
-            _, vectors = enc.fit_word2vec(sents.select("sentence"), cfg.vector_length, cfg.window,
-                                          cfg.min_count, cfg.w2v_iter, cfg.w2v_seed, cfg.w2v_partitions,
-                                          cfg.max_sentence_length, vocab_size=vocab, corpus_words=words)
+                sents = sents.unionByName(noise_sentences(noise, noise_copies).select("sentence"))
+            if self.encoder == "word2vec":
+                _, vectors = enc.fit_word2vec(sents, cfg.vector_length, cfg.window, cfg.min_count, cfg.w2v_iter,
+                                              cfg.w2v_seed, cfg.w2v_partitions, cfg.max_sentence_length)
+            else:
+                vectors = enc.cooccurrence_vectors(sents, cfg.vector_length, cfg.window, cfg.min_count, cfg.w2v_seed)
             self.vectors = cut_lineage(vectors)
         elif self.encoder == "hash":
             self.vectors = enc.hash_vectors(counts.select(F.col("template").alias("word")),
@@ -129,13 +122,15 @@ class SomDetector:
                            elast_alert=self.cfg.elast_alert, namespace=self.cfg.namespace)
 
     def infer(self, lines: DataFrame, id_cols: list[str], batch_id: str, train_lines: DataFrame,
-              fp_messages: DataFrame | None = None) -> DataFrame:
+              fp_messages: DataFrame | None = None, sentences: DataFrame | None = None) -> DataFrame:
         """Score new lines; when they hold templates the encoder has never seen, refit the
-        detector on the training lines plus the new ones first (``oov='retrain'``)."""
+        detector on the training lines plus the new ones first (``oov='retrain'``), with the
+        noise of the first fit.  ``sentences`` are those of both line sets, when the first fit
+        was given its own."""
         unseen = enc.new_words(lines, self.vectors.select("word"))
         if not unseen.isEmpty():
             both = train_lines.unionByName(lines, allowMissingColumns=True)
-            self.fit(both)
+            self.fit(both, sentences, self.noise, self.noise_copies)
         return self.predict(lines, id_cols, batch_id, fp_messages)
 
     def threshold(self) -> float:
@@ -146,7 +141,7 @@ class SomDetector:
 
 
 def flagship(documents: DataFrame, top: int = 20, cfg: DetectorConfig | None = None) -> DataFrame:
-    """Which log lines are anomalous?  documents -> lines -> Word2Vec -> SOM -> top scores.
+    """Which log lines are anomalous?  documents -> lines -> co-occurrence vectors -> SOM -> top scores.
 
     Lines are the non-empty lines of every document; a document is a sentence for the
     encoder.  The map is 4 x 4, initialised from the 16 most frequent templates, trained

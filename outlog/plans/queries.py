@@ -9,21 +9,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window, functions as F
 
 from .. import config as C
+from ..config import DetectorConfig
 from ..functions.ids import seeded_int
 from ..functions.text import percent_encode, strip_prefix, to_str, fill_empty
-from ..functions.vectors import as_double_array, hash_vector
+from ..functions.vectors import as_double_array
 from ..operators import alerts, detect, encoder as enc, feedback as fb, som, timeline
 from ..operators.flatten import flatten_json_column
 from ..operators.prefix import running_sum
-from ..session import broadcast_if_small, cut_lineage, read_table
+from ..session import read_table
 from ..sources.logs import (conversation_lines, document_lines, events_as_common_log,
                             parse_common_log_lines, text_query, window_read, with_date_partition)
+from .pipeline import SomDetector
 
 R = 6
 SAMPLE_SEED = 7
 MAP_ROWS, MAP_COLS = 4, 4
 HASH_DIM = 8
-HASH_FACTOR = 1.0          # threshold factor of the hash-encoded pipeline (mean + 1 std)
+LINE_DIM = 8               # vector length of the map behind the prediction queries
 AS_OF = "2024-01-15 12:00:00"
 BATCH_ID = "batch-0"
 LINK_BASE = "http://localhost:5001/api/feedback"
@@ -270,55 +272,50 @@ def q_reject_counts(spark, d):
     return fb.reject_counts(_validated(spark, d))
 
 
-# ---- 6. predictions (hash encoder + frequent-template map; every step expressible in SQL) ----
+# ---- 6. predictions (co-occurrence encoder + fitted map; every step expressible in SQL) ------
 
-def hash_model(spark, d, with_codebook=False):
-    """Distinct templates with counts and seeded vectors, and a 4 x 4 map of the 16 most
-    frequent templates' vectors."""
-    lines = lines_df(spark, d)
-    counts = lines.groupBy("template").agg(F.count("*").alias("n"))
-    enc_t = cut_lineage(counts.withColumn("vector", hash_vector("template", HASH_DIM, C.W2V_SEED)))
-    cb = som.init_frequent(enc_t, "vector", "template", "n", MAP_ROWS, MAP_COLS)
-    scored = cut_lineage(som.bmu_search(enc_t, "vector", cb, keep_vector=False).select("template", "n", "bmu", "dist"))
-    stats = detect.score_stats(scored, "dist", "n")
-    return (lines, scored, stats, cb) if with_codebook else (lines, scored, stats)
+def line_model(lines: DataFrame, documents: DataFrame):
+    """The detector behind the prediction queries: co-occurrence vectors and a map fitted for
+    two Gaussian epochs from the most frequent templates."""
+    cfg = DetectorConfig(vector_length=LINE_DIM, map_rows=MAP_ROWS, map_cols=MAP_COLS, epochs=2, som_init="frequent")
+    return SomDetector(cfg=cfg).fit(lines, enc.document_sentences(documents))
 
 
-def hash_predictions(spark, d, with_fp=True):
-    lines, scored, stats = hash_model(spark, d)
-    scored_lines = lines.join(broadcast_if_small(scored.select("template", "bmu", "dist")), "template")
+def line_predictions(spark, d, with_fp=True):
+    lines = lines_df(spark, d)
+    det = line_model(lines, read_table(spark, d, "documents"))
     fp = fb.false_positives(_accepted(spark, d)) if with_fp else None
-    return detect.predictions(scored_lines, stats, ["doc_id", "line_no"], BATCH_ID, fp, factor=HASH_FACTOR), stats
+    return det.predict(lines, ["doc_id", "line_no"], BATCH_ID, fp, training=True), det.stats
 
 
 def q_predict_lines(spark, d):
-    p, _ = hash_predictions(spark, d)
+    p, _ = line_predictions(spark, d)
     return p.select("doc_id", "line_no", "predict_id", _r(F.col("anomaly_score"), "anomaly_score"),
                     "elast_alert", "inference_batch_id", "predictor_namespace", "e_message",
                     "suppressed", "anomaly")
 
 
 def q_feedback_links(spark, d):
-    p, _ = hash_predictions(spark, d)
+    p, _ = line_predictions(spark, d)
     return p.where(F.col("anomaly") == 1).select(
         "doc_id", "line_no", alerts.feedback_link(LINK_BASE, F.col("predict_id"), F.col("e_message")).alias("link"))
 
 
 def q_last_anomaly_per_message(spark, d):
-    p, _ = hash_predictions(spark, d)
+    p, _ = line_predictions(spark, d)
     out = detect.last_anomaly_per_message(p, ["doc_id", "line_no"])
     return out.select("e_message", "last_predict_id", _r(F.col("last_score"), "last_score"), "occurrences")
 
 
 def q_running_anomaly_count(spark, d):
-    p, _ = hash_predictions(spark, d)
+    p, _ = line_predictions(spark, d)
     keys = p.select("inference_batch_id", "doc_id", "line_no", "anomaly")
     out = running_sum(keys, "anomaly", ["doc_id", "line_no"], ["inference_batch_id"], "running_anomalies")
     return out.select("doc_id", "line_no", "running_anomalies")
 
 
 def q_anomaly_counts(spark, d):
-    p, _ = hash_predictions(spark, d)
+    p, _ = line_predictions(spark, d)
     return p.groupBy("inference_batch_id").agg(
         F.count("*").alias("lines"), F.sum("anomaly").alias("anomalies"),
         F.sum(1 - F.col("anomaly") - F.col("suppressed")).alias("normals"),
@@ -326,8 +323,8 @@ def q_anomaly_counts(spark, d):
 
 
 def q_normal_share_by_source(spark, d):
-    p, st = hash_predictions(spark, d)
-    thr = st.threshold(HASH_FACTOR)
+    p, st = line_predictions(spark, d)
+    thr = st.threshold()
     return p.groupBy("source").agg(
         _r(F.avg((F.col("anomaly") == 0).cast("double")), "normal_share"),
         _r(F.avg("anomaly_score"), "avg_score"), _r(F.lit(thr), "threshold"))
@@ -338,7 +335,7 @@ HIST_BOUNDS = [0.005, 0.01, 0.025, 0.05, 0.075, 0.1, 0.25, 0.5, 0.75, 1.0, 2.5,
 
 def q_anomaly_histogram(spark, d):
     """Cumulative histogram of the running anomaly count observed after every line."""
-    p, _ = hash_predictions(spark, d)
+    p, _ = line_predictions(spark, d)
     keys = p.select("inference_batch_id", "doc_id", "line_no", "anomaly")
     runs = running_sum(keys, "anomaly", ["doc_id", "line_no"], ["inference_batch_id"], "running")
     bounds = F.array(*[F.lit(b) for b in HIST_BOUNDS] + [F.lit(float("inf"))])
@@ -347,7 +344,7 @@ def q_anomaly_histogram(spark, d):
 
 
 def q_confusion_matrix(spark, d):
-    p, _ = hash_predictions(spark, d, with_fp=False)
+    p, _ = line_predictions(spark, d, with_fp=False)
     doc = p.groupBy("doc_id").agg(F.max("anomaly").alias("predicted"))
     lab = read_table(spark, d, "labels").select("doc_id", (F.col("quality") == 0).cast("int").alias("actual"))
     j = doc.join(lab, "doc_id")
@@ -363,8 +360,8 @@ def q_confusion_matrix(spark, d):
 
 def q_prediction_metrics(spark, d):
     from ..operators.metrics import batch_metrics
-    p, st = hash_predictions(spark, d)
-    m = batch_metrics(p, st.threshold(HASH_FACTOR), ["doc_id", "line_no"])
+    p, st = line_predictions(spark, d)
+    m = batch_metrics(p, st.threshold(), ["doc_id", "line_no"])
     return m.select("inference_batch_id", "metric", _r(F.col("value"), "value"))
 
 

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 from pyspark.sql.streaming.state import GroupState
 
 from .. import config as C
-from ..session import scratch_path
+from ..session import read_table, scratch_path
 
 WATERMARK = "30 minutes"
 
@@ -114,12 +114,23 @@ FLAT_STATE = T.StructType([T.StructField("last_us", T.LongType())])
 FLAT_OUT = "event_type string, last_seen timestamp, next_seen timestamp, silent_s double"
 
 
+def _times(pdfs: Iterator[pd.DataFrame], state: GroupState) -> np.ndarray:
+    """Event times of a batch in order, from the last one seen before it on.
+
+    Only the times are kept of the frames.  Rows older than the stored time are late: the
+    silence they fall in was judged with what had come in by then, so they end no silence
+    and never move the stored time back.
+    """
+    us = np.sort(np.concatenate([p["__us"].to_numpy() for p in pdfs]))
+    if state.exists:
+        last = state.get[0]
+        us = np.concatenate([[last], us[us > last]]).astype(np.int64)
+    return us
+
+
 def _flatline_fn(gap_us: int):
     def fn(key, pdfs: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        pdf = pd.concat(list(pdfs))
-        us = np.sort(pdf["__us"].to_numpy())
-        if state.exists:
-            us = np.concatenate([[state.get[0]], us])
+        us = _times(pdfs, state)
         prev, nxt = us[:-1], us[1:]
         hit = (nxt - prev) >= gap_us
         state.update((int(us[-1]),))
@@ -146,10 +157,7 @@ def _silence_timer_fn(gap_us: int):
             yield pd.DataFrame({"event_type": [key[0]], "last_seen": pd.to_datetime([last], unit="us"),
                                 "next_seen": pd.to_datetime([None]), "silent_s": [None]})
             return
-        pdf = pd.concat(list(pdfs))
-        us = np.sort(pdf["__us"].to_numpy())
-        if state.exists:
-            us = np.concatenate([[state.get[0]], us])
+        us = _times(pdfs, state)
         prev, nxt = us[:-1], us[1:]
         hit = (nxt - prev) >= gap_us
         last = int(us[-1])
@@ -188,15 +196,15 @@ class StreamPredictor:
         self.model = fit()
 
     def handle(self, batch: DataFrame, batch_id: int, out: str) -> None:
-        from ..operators import detect, som
-        from ..functions.vectors import hash_vector
+        from ..operators import detect, encoder, som
         from ..sources.logs import document_lines
 
         if self.retrain_every and batch_id and batch_id % self.retrain_every == 0:
             self.model = self.fit()
-        codebook, stats, dim, seed = self.model
+        codebook, stats, vectors, dim, seed = self.model
         lines = document_lines(batch)
-        counts = lines.groupBy("template").count().withColumn("vector", hash_vector("template", dim, seed))
+        # templates the model has not met get a seeded vector
+        counts = encoder.encode(lines.groupBy("template").count(), vectors, "template", "vector", dim, "hash", seed)
         from ..session import broadcast_if_small, cut_lineage
         scored = cut_lineage(som.bmu_search(counts, "vector", codebook, keep_vector=False)
                              .select("template", "bmu", "dist"))
@@ -242,13 +250,13 @@ def q_stream_predict(spark, d):
     from ..operators import feedback as fb
 
     def fit():
-        _, _, stats, cb = Q.hash_model(spark, d, with_codebook=True)
-        return cb, stats, Q.HASH_DIM, C.W2V_SEED
+        det = Q.line_model(Q.lines_df(spark, d), read_table(spark, d, "documents"))
+        return det.codebook, det.stats, det.vectors, Q.LINE_DIM, C.W2V_SEED
 
     def feedback():
         return fb.false_positives(Q._accepted(spark, d))
 
-    sp = StreamPredictor(fit, feedback, retrain_every=C.INFER_LOOPS, factor=Q.HASH_FACTOR)
+    sp = StreamPredictor(fit, feedback, retrain_every=C.INFER_LOOPS)
     out = run_foreach_batch(table_stream(spark, d, "documents"), "stream-predict", sp.handle)
     p = spark.read.option("basePath", out).parquet(f"{out}/batch_id=*")
     return p.select("doc_id", "line_no", "predict_id", F.round("anomaly_score", 6).alias("anomaly_score"),

@@ -40,6 +40,20 @@ def test_stream_flatline_timer_fires_on_silence(spark, tmp_root):
     assert got == [("b", t0 + dt.timedelta(minutes=50), None)]
 
 
+def test_late_rows_neither_end_a_silence_nor_move_the_state_back():
+    import numpy as np
+    import pandas as pd
+
+    class State:
+        exists, get = True, (7_200_000_000,)
+
+    def frames(*hours):
+        return iter([pd.DataFrame({"__us": [int(h * 3_600_000_000) for h in hours]})])
+
+    assert np.array_equal(jobs._times(frames(2.1, 0.5), State), [7_200_000_000, 7_560_000_000])
+    assert np.array_equal(jobs._times(frames(1.0), State), [7_200_000_000])
+
+
 def test_stream_predict_equals_batch_and_replays(spark, sf_small):
     s = jobs.q_stream_predict(spark, sf_small)
     b = Q.q_predict_lines(spark, sf_small)

@@ -79,7 +79,7 @@ def sentence_vocabulary(sentences: DataFrame, min_count: int = C.W2V_MIN_COUNT)
 
 def fit_word2vec(sentences: DataFrame, vector_length: int = C.W2V_VECTOR_LENGTH,
                  window: int = C.W2V_WINDOW, min_count: int = C.W2V_MIN_COUNT,
-                 max_iter: int = C.W2V_ITER, seed: int = C.W2V_SEED, partitions: int = C.W2V_PARTITIONS,
+                 max_iter: int = C.W2V_ITER, seed: int = C.W2V_SEED, partitions: int = 1,
                  max_sentence_length: int = 1000):
     """Train skip-gram Word2Vec on template sentences; returns (model, vectors DataFrame).
 
@@ -87,7 +87,8 @@ def fit_word2vec(sentences: DataFrame, vector_length: int = C.W2V_VECTOR_LENGTH,
     and ships them to the executors every iteration, so it is meant for vocabularies of a
     driver's size; ``cooccurrence_vectors`` has no such bound.  Sentences longer than
     ``max_sentence_length`` are cut into chunks (no word is dropped).  ``partitions`` tasks
-    train side by side whatever the corpus, and their weights are averaged every iteration.
+    train side by side, whatever the corpus: with one the vectors are the same on every run,
+    with more they are averaged every iteration and differ a little from run to run.
     """
     from pyspark.ml.feature import Word2Vec
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import DetectorConfig
+from ..config import DetectorConfig, W2V_PARTITIONS
 from ..operators import cluster, encoder as enc, outliers, som
 from ..session import read_table
 from ..sources.logs import conversation_lines, document_lines
@@ -22,7 +22,7 @@ def _r(c, name):
 def _w2v(spark, d):
     docs = read_table(spark, d, "documents")
     sents = enc.document_sentences(docs)
-    _, vectors = enc.fit_word2vec(sents.select("sentence"))
+    _, vectors = enc.fit_word2vec(sents.select("sentence"), partitions=W2V_PARTITIONS)
     return docs, sents, vectors
 
 

@@ -3,7 +3,9 @@
 Every word of a text is labelled: hashed affix, character n-gram and whole-word features score
 the word, learned transitions score neighbours, and forward-backward gives each word's
 posterior, so code-switched texts get one language per word.  A document's language is the one
-with the largest mean posterior over its words.
+with the largest mean posterior over its words.  A run of more than ``PIECE`` letters (scripts
+without spaces, texts without separators) counts as several words: it is divided into consecutive
+pieces of about equal size that together hold every letter and every n-gram of the run.
 
 The field is fitted on a bounded, documented sample (``TRAIN_DOCS`` labelled rows with the
 smallest id hash) by mini-batch gradient steps on the driver; the lexicon of frequent words per
@@ -30,6 +32,7 @@ TRAIN_DOCS = 1500  # most labelled rows the fit reads
 TRAIN_CHARS = 20_000  # labelled rows with longer texts are not used to fit
 FEATURES = 1 << 16
 SEGMENT = 24  # words of a training segment
+PIECE = 48  # letters of a run that is one word; longer runs are divided into pieces
 EPOCHS = 4
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
@@ -52,35 +55,56 @@ def text_words(text: str | None) -> list[str]:
     return _LETTERS.findall(text.lower()) if text else []
 
 
-def word_features(word: str) -> list[int]:
-    """Hashed features: whole word, prefixes and suffixes up to 4, character 2- and 3-grams."""
-    w = word[:48]
-    edged = "^" + w + "$"
+def pieces(word: str) -> list[str | tuple[str, str, str]]:
+    """The word, or the pieces of a longer run: (letters, what stands before, what follows).
+
+    Nothing stands before an inner piece, whose n-grams begin with its own letters; the next two
+    letters follow it, so n-grams across a border are taken once.
+    """
+    if len(word) <= PIECE:
+        return [word]
+    n = -(-len(word) // PIECE)
+    at = [i * len(word) // n for i in range(n + 1)]
+    return [(word[a:b], "" if a else "^", word[b:b + 2] or "$") for a, b in zip(at, at[1:])]
+
+
+def word_features(word: str, before: str = "^", after: str = "$") -> list[int]:
+    """Hashed features: whole word, prefixes and suffixes up to 4, character 2- and 3-grams.
+
+    Prefixes are taken where the run of letters starts, suffixes where it ends.
+    """
+    edged = before + word + after
+    own = len(before + word)  # n-grams that begin further on are the next piece's
     feats = ["w" + word]
     for k in (1, 2, 3, 4):
-        if len(w) >= k:
-            feats.append(f"p{w[:k]}")
-            feats.append(f"s{w[-k:]}")
-    feats += ["2" + edged[i:i + 2] for i in range(len(edged) - 1)]
-    feats += ["3" + edged[i:i + 3] for i in range(len(edged) - 2)]
+        if len(word) >= k:
+            if before:
+                feats.append(f"p{word[:k]}")
+            if after == "$":
+                feats.append(f"s{word[-k:]}")
+    feats += ["2" + edged[i:i + 2] for i in range(min(own, len(edged) - 1))]
+    feats += ["3" + edged[i:i + 3] for i in range(min(own, len(edged) - 2))]
     return [zlib.crc32(f.encode()) % FEATURES for f in feats]
 
 
 class _Words:
-    """Word numbers and their feature rows (flat ids, offsets), filled as words are met."""
+    """Numbers of words and pieces and their feature rows (flat ids, offsets), filled as they are met."""
 
     def __init__(self):
-        self.number: dict[str, int] = {}
+        self.number: dict[str | tuple[str, str, str], int] = {}
         self.flat = array("i")
         self.ends = array("q")
 
     def look(self, words: list[str]) -> np.ndarray:
+        """The numbers of the words, one for each piece of a longer run."""
+        if words and max(map(len, words)) > PIECE:
+            words = [p for w in words for p in pieces(w)]
         out = np.empty(len(words), np.int64)
         for i, w in enumerate(words):
             n = self.number.get(w)
             if n is None:
                 n = self.number[w] = len(self.number)
-                self.flat.extend(word_features(w))
+                self.flat.extend(word_features(w) if isinstance(w, str) else word_features(*w))
                 self.ends.append(len(self.flat))
             out[i] = n
         return out
@@ -204,9 +228,8 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
 
 
 def _label(texts: list[str | None], crf: Crf, words: _Words, scores: list[np.ndarray]):
-    """(word languages' posteriors, word counts per text) of a list of texts."""
-    split = [text_words(t) for t in texts]
-    ids = [words.look(s) for s in split]
+    """(posteriors of the words and pieces, how many each text has) of a list of texts."""
+    ids = [words.look(text_words(t)) for t in texts]
     if len(words.ends):  # words met for the first time; their features are not needed again
         ends = np.array(words.ends)
         starts = np.append(0, ends[:-1])
@@ -259,7 +282,9 @@ def predict(df: DataFrame, crf: Crf, text_col: str = "text", pred_col: str = "la
                             best = int(mean.argmax())
                             langs[i], values[i] = m.labels[best], min(1.0, float(mean[best]))
                             if words_col:
-                                tags[i] = [m.labels[j] for j in post[at:at + n].argmax(axis=1)]
+                                parts = np.array([-(-len(w) // PIECE) for w in text_words(texts[i])])
+                                by_word = np.add.reduceat(post[at:at + n], np.cumsum(parts) - parts, axis=0)
+                                tags[i] = [m.labels[j] for j in by_word.argmax(axis=1)]
                         at += n
                 cols = [pa.array(langs, pa.string()), pa.array(values, pa.float64())]
                 if words_col:

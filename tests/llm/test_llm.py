@@ -279,6 +279,30 @@ def test_language_id(spark, sf_small, odd, nothing, docs):
     assert none.labels == [] and {r.lang_pred for r in langid.predict(odd, none).collect()} == {"und"}
 
 
+def test_language_id_reads_whole_runs(spark):
+    run = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(1000))
+    grams = collections.Counter()
+    for p in langid.pieces(run):
+        grams.update(langid.word_features(*p))
+    edged = f"^{run}$"
+    want = collections.Counter(zlib.crc32(f"{n}{edged[i:i + n]}".encode()) % langid.FEATURES
+                               for n in (2, 3) for i in range(len(edged) - n + 1))
+    ends = collections.Counter(zlib.crc32(f.encode()) % langid.FEATURES
+                               for k in (1, 2, 3, 4) for f in (f"p{run[:k]}", f"s{run[-k:]}"))
+    whole = collections.Counter(zlib.crc32(f"w{p[0]}".encode()) % langid.FEATURES for p in langid.pieces(run))
+    assert "".join(p[0] for p in langid.pieces(run)) == run and grams == want + ends + whole
+    # a shared start of 60 letters, then 300 letters that tell the languages apart
+    rng = np.random.default_rng(4)
+
+    def text(letters):
+        return "nm" * 30 + "".join(rng.choice(list(letters), 300))
+
+    rows = [(i, text("abcdef") if i % 2 else text("uvwxyz"), "x" if i % 2 else "y") for i in range(60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    out = langid.predict(df, langid.fit(df.where("doc_id < 40")), words_col="words").where("doc_id >= 40").collect()
+    assert all(r.lang_pred == r.lang and r.words == [r.lang] for r in out)
+
+
 def test_forward_backward_against_enumeration():
     import itertools
     rng = np.random.default_rng(2)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from outlog.llm import bpe, langid, minhash, mixing, suffix
 from outlog.session import broadcast_if_small, cut_lineage, read_table, scratch_path
 
-MIN_SCORE = 0.5  # a document whose best language holds less than half of its words goes
+MIN_SURE = 0.3  # a document whose words are on average torn between more than three languages goes
 
 
 def release(spark: SparkSession) -> None:
@@ -22,9 +22,17 @@ def release(spark: SparkSession) -> None:
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with letters whose language is clear; the field is fitted on a sample of ``docs``."""
-    scored = langid.predict(docs, langid.fit(docs), pred_col="_pred", score_col="_score")
-    return scored.where((F.col("_pred") != langid.UNKNOWN) & (F.col("_score") >= MIN_SCORE)).select(*docs.columns)
+    """Documents with letters whose words are of a language, of whatever mixture of languages.
+
+    The field is fitted on a sample of ``docs``.  A document is judged by how sure the field is of
+    each of its words, not by the share of its best language: texts in several languages stay, as do
+    words that two or three languages share.  Without labels to learn from, all texts with letters stay.
+    """
+    crf = langid.fit(docs)
+    if not crf.labels:
+        return docs.where(F.col("text").rlike(r"\p{L}"))
+    scored = langid.predict(docs, crf, pred_col="_pred", score_col="_score", sure_col="_sure")
+    return scored.where((F.col("_pred") != langid.UNKNOWN) & (F.col("_sure") >= MIN_SURE)).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

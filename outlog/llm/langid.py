@@ -162,13 +162,14 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
         max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS, seed: int = 5) -> Crf:
     """Fit on at most ``max_docs`` rows with text and label, taken by smallest id hash.
 
-    Learning without a labelled row gives a field without labels, which answers ``und``.
+    Learning without a labelled word gives a field without labels, which answers ``und``.
     """
     fit_rows = (labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars))
                 .select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")))
     # the top-k runs over hashes alone; only the chosen rows' texts come to the driver
     last = fit_rows.select("h").orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]
     rows = sorted(fit_rows.where(F.col("h") <= F.lit(last).cast("long")).limit(2 * max_docs).collect())[:max_docs]
+    rows = [r for r in rows if _LETTERS.search(r["t"])]
     labels = sorted({r["l"] for r in rows})
     n_labels = max(1, len(labels))
     words, ids, gold, lengths = _Words(), [], [], []
@@ -248,21 +249,24 @@ def _label(texts: list[str | None], crf: Crf, words: _Words, scores: list[np.nda
 
 
 def predict(df: DataFrame, crf: Crf, text_col: str = "text", pred_col: str = "lang_pred",
-            score_col: str = "score", words_col: str | None = None) -> DataFrame:
+            score_col: str = "score", words_col: str | None = None, sure_col: str | None = None) -> DataFrame:
     """Add the document's language and its mean posterior; with ``words_col`` also the language
-    of every word (array, in text order).
+    of every word (array, in text order), with ``sure_col`` also the mean over the words of each
+    word's largest posterior, whichever language that is.
 
     A null text, a text without letters, and any text under a field without labels are ``und``
-    with score 0.  Equal means go to the label that sorts first.  Columns of the result's names
+    with scores 0.  Equal means go to the label that sorts first.  Columns of the result's names
     are replaced, all others pass through.
     """
-    new = [pred_col, score_col, *([words_col] if words_col else [])]
+    new = [pred_col, score_col, *([words_col] if words_col else []), *([sure_col] if sure_col else [])]
     df = df.drop(*[c for c in new if c in df.columns])
     # plain arrays: broadcasts are unpickled where this package need not be installed
     model = df.sparkSession.sparkContext.broadcast(vars(crf))
     fields = [T.StructField(pred_col, T.StringType()), T.StructField(score_col, T.DoubleType())]
     if words_col:
         fields.append(T.StructField(words_col, T.ArrayType(T.StringType())))
+    if sure_col:
+        fields.append(T.StructField(sure_col, T.DoubleType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Crf(**model.value)
@@ -273,6 +277,7 @@ def predict(df: DataFrame, crf: Crf, text_col: str = "text", pred_col: str = "la
                     words, scores = _Words(), []
                 texts = b[text_col].to_pylist()
                 langs, values, tags = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
+                sure = [0.0] * len(texts)
                 if m.labels:
                     post, lengths = _label(texts, m, words, scores)
                     at = 0
@@ -281,6 +286,8 @@ def predict(df: DataFrame, crf: Crf, text_col: str = "text", pred_col: str = "la
                             mean = post[at:at + n].mean(axis=0)
                             best = int(mean.argmax())
                             langs[i], values[i] = m.labels[best], min(1.0, float(mean[best]))
+                            if sure_col:
+                                sure[i] = min(1.0, float(post[at:at + n].max(axis=1).mean()))
                             if words_col:
                                 parts = np.array([-(-len(w) // PIECE) for w in text_words(texts[i])])
                                 by_word = np.add.reduceat(post[at:at + n], np.cumsum(parts) - parts, axis=0)
@@ -289,6 +296,8 @@ def predict(df: DataFrame, crf: Crf, text_col: str = "text", pred_col: str = "la
                 cols = [pa.array(langs, pa.string()), pa.array(values, pa.float64())]
                 if words_col:
                     cols.append(pa.array(tags, pa.list_(pa.string())))
+                if sure_col:
+                    cols.append(pa.array(sure, pa.float64()))
                 yield pa.RecordBatch.from_arrays([*b.columns, *cols], [*b.schema.names, *new])
 
     return bounded_batches(df).mapInArrow(run, T.StructType([*df.schema.fields, *fields]))

@@ -399,3 +399,27 @@ def test_pipeline_stages(spark, sf_small, docs):
     assert cp.mix_sources(spark, cut, sf_small).columns == rows.columns
     final = cp.run(spark, sf_small)
     assert final.where(F.size("ids") == 0).count() == 0 and final.count() > 0
+
+
+def test_pipeline_keeps_texts_in_several_languages(spark, sf_small, docs):
+    import corpus_pipeline as cp
+    rows = spark.read.parquet(f"{sf_small}/documents.parquet")
+    by_lang = collections.defaultdict(list)
+    for r in sorted(docs.values()):
+        by_lang[r.lang].append(" ".join(r.text.split()[:40]))
+    firsts = [t[0] for _, t in sorted(by_lang.items())]
+    mixed = [" ".join(firsts[:2]), " ".join(firsts[1:3]), " ".join(firsts[:3]), " ".join(firsts),
+             " ".join(w for ws in zip(*(t.split() for t in firsts)) for w in ws)]
+    bad = ["", "12 345 !!", " \n\t"]
+    new = [(-1 - i, t, None) for i, t in enumerate([*mixed, *bad])]
+    more = rows.unionByName(spark.createDataFrame(new, "doc_id long, text string, lang string"), allowMissingColumns=True)
+    kept = {r.doc_id for r in cp.language_id(spark, more, sf_small).collect()}
+    assert kept == set(docs) | {-1 - i for i in range(len(mixed))}
+    # words that both languages share, and rows whose languages are not known at all
+    shared = [(i, "hotel taxi radio", "de" if i % 2 else "fr") for i in range(40)]
+    df = spark.createDataFrame(shared, "doc_id long, text string, lang string")
+    assert cp.language_id(spark, df, sf_small).count() == 40
+    for odd in (more.withColumn("lang", F.lit(None).cast("string")),
+                more.withColumn("lang", F.when(F.col("text").isin(bad), F.col("doc_id").cast("string")))):
+        got = cp.language_id(spark, odd, sf_small)
+        assert got.columns == odd.columns and {r.doc_id for r in got.collect()} == kept

@@ -7,9 +7,9 @@ with the largest mean posterior over its words.  A run of more than ``PIECE`` le
 without spaces, texts without separators) counts as several words: it is divided into consecutive
 pieces of about equal size that together hold every letter and every n-gram of the run.
 
-The field is fitted on a bounded, documented sample (``TRAIN_DOCS`` labelled rows with the
-smallest id hash) by mini-batch gradient steps on the driver; the lexicon of frequent words per
-language comes from the same sample.  Labelling covers every whole text and needs no shuffle.
+The field is fitted on a bounded, documented sample by mini-batch gradient steps on the driver: of
+every language the same number of rows with the smallest hashes (``TRAIN_DOCS`` over the number of
+languages, at least ``LABEL_DOCS``), of long texts ``CUTS`` spread stretches.  Labelling covers every whole text and needs no shuffle.
 """
 
 from __future__ import annotations
@@ -22,14 +22,17 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import broadcast_if_small
 from .common import bounded_batches, slices
 
-TRAIN_DOCS = 1500  # most labelled rows the fit reads
-TRAIN_CHARS = 20_000  # labelled rows with longer texts are not used to fit
+TRAIN_DOCS = 1500  # labelled rows the fit reads, shared evenly by the languages
+LABEL_DOCS = 50  # rows a language has in the fit at least, as far as there are any
+TRAIN_CHARS = 20_000  # letters and signs of a text that the fit reads
+CUTS = 20  # stretches of equal length that a longer text gives instead
 FEATURES = 1 << 16
 SEGMENT = 24  # words of a training segment
 PIECE = 48  # letters of a run that is one word; longer runs are divided into pieces
@@ -158,27 +161,60 @@ def posteriors(score: np.ndarray, lengths: np.ndarray, move: np.ndarray, start:
     return alpha
 
 
+def _sample(some: DataFrame, row_id: Column, text: Column, lang: Column, sizes: dict[str, int], k: int,
+            max_chars: int) -> list[Row]:
+    """(hash, label, stretches of the text) of the ``k`` smallest hashes of every label."""
+    spark = some.sparkSession
+    hashed = some.where(text.isNotNull()).select(F.xxhash64(row_id, text).alias("h"), text.alias("t"), lang.alias("l"))
+
+    def below(bounds: dict[str, int]) -> DataFrame:
+        limits = spark.createDataFrame(list(bounds.items()), "l string, most long")
+        return hashed.join(broadcast_if_small(limits), "l").where(F.col("h") <= F.col("most"))
+
+    # hashes alone, of a share of the rows that holds k of a label but for rare cases; those get a larger one
+    share = {l: (k + 6 * k ** 0.5 + 20) / n for l, n in sizes.items()}
+    last: dict[str, int] = {}
+    while share:
+        bounds = {l: min((1 << 63) - 1, int(s * (1 << 64)) - (1 << 63)) for l, s in share.items()}
+        found: dict[str, list[int]] = {l: [] for l in share}
+        for r in below(bounds).select("l", "h").distinct().collect():
+            found[r["l"]].append(r["h"])
+        last |= {l: sorted(hs)[:k][-1] for l, hs in found.items() if hs and (len(hs) >= k or share[l] >= 1)}
+        share = {l: 8 * s for l, s in share.items() if s < 1 and len(found[l]) < k}
+    if not last:
+        return []
+    n = F.length("t").cast("long")
+    cut = max_chars // CUTS
+    spread = F.transform(F.sequence(F.lit(0), F.lit(CUTS - 1)),
+                         lambda i: F.col("t").substr((F.floor(i * (n - cut) / (CUTS - 1)) + 1).cast("int"), F.lit(cut)))
+    stretches = F.when(n <= max_chars, F.array("t")).otherwise(spread)
+    return sorted(below(last).select("h", "l", stretches.alias("t")).dropDuplicates(["h", "l"]).collect())
+
+
 def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang",
         max_docs: int = TRAIN_DOCS, max_chars: int = TRAIN_CHARS, seed: int = 5) -> Crf:
-    """Fit on at most ``max_docs`` rows with text and label, taken by smallest id hash.
+    """Fit on the rows with text and label that have the smallest hashes of their language.
 
-    Learning without a labelled word gives a field without labels, which answers ``und``.
+    Each language gives its share of ``max_docs`` rows, ``LABEL_DOCS`` at least, each row
+    ``max_chars`` characters at most; equal rows count once.  Learning without a labelled word
+    gives a field without labels, which answers ``und``.
     """
-    fit_rows = (labelled.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (F.length(text_col) <= max_chars))
-                .select(F.xxhash64(F.col(id_col)).alias("h"), F.col(text_col).alias("t"), F.col(lang_col).alias("l")))
-    # the top-k runs over hashes alone; only the chosen rows' texts come to the driver
-    last = fit_rows.select("h").orderBy("h").limit(max_docs).agg(F.max("h")).first()[0]
-    rows = sorted(fit_rows.where(F.col("h") <= F.lit(last).cast("long")).limit(2 * max_docs).collect())[:max_docs]
-    rows = [r for r in rows if _LETTERS.search(r["t"])]
-    labels = sorted({r["l"] for r in rows})
+    some = labelled.where(F.col(lang_col).isNotNull())
+    sizes = dict(some.groupBy(F.col(lang_col).alias("l")).count().collect())
+    rows = _sample(some, F.col(id_col), F.col(text_col), F.col(lang_col), sizes,
+                   max(LABEL_DOCS, -(-max_docs // len(sizes))), max_chars) if sizes else []
+    split = [(r["l"], [text_words(t) for t in r["t"]]) for r in rows]
+    # the words at the borders of a stretch may be cut
+    split = [(l, got if len(got) == 1 else [w[1:-1] or w for w in got]) for l, got in split]
+    labels = sorted({l for l, got in split if any(got)})
     n_labels = max(1, len(labels))
     words, ids, gold, lengths = _Words(), [], [], []
-    for r in rows:
-        got = words.look(text_words(r["t"]))
-        for k in range(0, len(got), SEGMENT):
-            ids.append(got[k:k + SEGMENT])
-            gold.append(labels.index(r["l"]))
-            lengths.append(len(ids[-1]))
+    for label, stretches in split:
+        for got in map(words.look, stretches):
+            for k in range(0, len(got), SEGMENT):
+                ids.append(got[k:k + SEGMENT])
+                gold.append(labels.index(label))
+                lengths.append(len(ids[-1]))
     emit, move, start = np.zeros((FEATURES, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels)
     if not ids or n_labels == 1:
         return Crf(labels, emit, move, start)

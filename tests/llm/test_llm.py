@@ -303,6 +303,23 @@ def test_language_id_reads_whole_runs(spark):
     assert all(r.lang_pred == r.lang and r.words == [r.lang] for r in out)
 
 
+def test_language_id_learns_rare_languages_and_long_texts(spark):
+    rng = np.random.default_rng(6)
+
+    def text(letters, n):
+        return " ".join("".join(rng.choice(list(letters), 5)) for _ in range(n))
+
+    rows = [(i, text("abcdef", 6), "common") for i in range(4000)] + [(4000 + i, text("uvwxyz", 6), "rare") for i in range(2)]
+    rows += [(5000 + i, text("mnopqr", 4000), "long") for i in range(3)]
+    rows += [(None, text("ghijkl", 6), "no id") for _ in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    crf = langid.fit(df)
+    assert crf.labels == ["common", "long", "no id", "rare"]
+    new = [(i, text(a, 8), l) for i, (a, l) in enumerate([("abcdef", "common"), ("uvwxyz", "rare"), ("mnopqr", "long"), ("ghijkl", "no id")] * 5)]
+    out = langid.predict(spark.createDataFrame(new, "doc_id long, text string, lang string"), crf).collect()
+    assert all(r.lang_pred == r.lang for r in out)
+
+
 def test_forward_backward_against_enumeration():
     import itertools
     rng = np.random.default_rng(2)

@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import DetectorConfig, W2V_PARTITIONS
+from ..config import W2V_PARTITIONS
 from ..operators import cluster, encoder as enc, outliers, som
 from ..session import read_table
 from ..sources.logs import conversation_lines, document_lines
@@ -31,11 +31,10 @@ def q_flagship(spark, d):
 
 
 def q_detector_predictions(spark, d):
-    """Every document line scored by co-occurrence vectors + a 4 x 4 SOM (10 epochs) with its flag."""
+    """Every document line scored by co-occurrence vectors + the production map with its flag."""
     docs = read_table(spark, d, "documents")
     lines = document_lines(docs)
-    cfg = DetectorConfig(map_rows=4, map_cols=4, epochs=10, som_init="frequent")
-    det = SomDetector(cfg=cfg).fit(lines, sentences=enc.document_sentences(docs))
+    det = SomDetector().fit(lines, sentences=enc.document_sentences(docs))
     p = det.predict(lines, ["doc_id", "line_no"], batch_id="b0", training=True)
     return p.select("doc_id", "line_no", "predict_id", "bmu", _r(F.col("anomaly_score"), "anomaly_score"), "anomaly")
 
@@ -44,8 +43,7 @@ def q_infer_new_lines(spark, d):
     """Fit on document lines, score conversation lines; unseen templates get seeded vectors."""
     docs = read_table(spark, d, "documents")
     lines = document_lines(docs)
-    cfg = DetectorConfig(map_rows=4, map_cols=4, epochs=5, som_init="frequent")
-    det = SomDetector(cfg=cfg).fit(lines, sentences=enc.document_sentences(docs))
+    det = SomDetector().fit(lines, sentences=enc.document_sentences(docs))
     new = conversation_lines(read_table(spark, d, "conversations")).withColumnRenamed("conv_id", "doc_id") \
         .withColumn("line_key", F.concat_ws(":", "turn", "line_no"))
     p = det.predict(new, ["doc_id", "line_key"], batch_id="b1")

@@ -144,14 +144,14 @@ def flagship(documents: DataFrame, top: int = 20, cfg: DetectorConfig | None = N
     """Which log lines are anomalous?  documents -> lines -> co-occurrence vectors -> SOM -> top scores.
 
     Lines are the non-empty lines of every document; a document is a sentence for the
-    encoder.  The map is 4 x 4, initialised from the 16 most frequent templates, trained
-    for 5 epochs; the threshold is ``3.1 * std + mean`` of the normalised training
-    distances.  Returns the ``top`` highest-scoring lines with their flag.
+    encoder.  Vectors, map and epochs are those of the production configuration
+    (``DetectorConfig``: length 25, 24 x 24 from the principal components, 105 epochs); the
+    threshold is ``3.1 * std + mean`` of the normalised training distances.  Returns the ``top`` highest-scoring lines with their flag.
     """
     from ..sources.logs import document_lines
     from ..operators.encoder import document_sentences
 
-    cfg = cfg or DetectorConfig(map_rows=4, map_cols=4, epochs=5, som_init="frequent")
+    cfg = cfg or DetectorConfig()
     lines = document_lines(documents)
     det = SomDetector(cfg=cfg).fit(lines, sentences=document_sentences(documents))
     preds = det.predict(lines, ["doc_id", "line_no"], batch_id="flagship", training=True)

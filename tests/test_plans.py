@@ -48,3 +48,19 @@ def test_cut_lineage_writes_into_the_checkpoint_folder(spark):
     assert out.count() == 5
     files = out.inputFiles()
     assert files and all(d.rstrip("/").replace("file:", "") in p for p in files)
+
+
+def test_model_queries_run_the_production_configuration(spark, sf_small, monkeypatch):
+    from outlog.config import DetectorConfig
+    from outlog.operators import som
+    fit, asked = som.fit_som, []
+
+    def one_epoch(df, vec_col, codebook, epochs, *args, **kw):
+        asked.append((codebook.rows, codebook.cols, codebook.dim, epochs))
+        return fit(df, vec_col, codebook, 1, *args, **kw)
+
+    monkeypatch.setattr(som, "fit_som", one_epoch)
+    cfg = DetectorConfig()
+    for name in ("flagship", "detector_predictions", "infer_new_lines"):
+        assert E.queries()[name](spark, sf_small).count() > 0
+        assert asked.pop() == (cfg.map_rows, cfg.map_cols, cfg.vector_length, cfg.epochs) == (24, 24, 25, 105), name

@@ -53,6 +53,25 @@ def hex_prefix(key: Column) -> Column:
     return F.conv(F.substring(key, 1, 8), 16, 10).cast("long")
 
 
+HOT_SHARE = 1024   # groups that hold more than one row in 1,024: there are fewer than 1,024 of them
+
+
+def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``groups`` (one row per key) by keys that may hold any share of the rows.
+
+    ``size`` of a group is its number of rows, ``total`` that of all.  Groups above ``total / HOT_SHARE`` are
+    broadcast, as there are fewer than ``HOT_SHARE``; all others meet in a shuffle join without hot keys.
+    Both tables should be written ones; other columns of ``groups`` must not be named like those of ``rows``.
+    """
+    limit = max(1, total // HOT_SHARE)
+    more = [c for c in groups.columns if c not in keys]
+    hot = F.broadcast(groups.where(F.col(size) > limit).select(*keys, F.struct(*more).alias("_hot")))
+    met = rows.join(hot, keys, "left")
+    rest = met.where(F.col("_hot").isNull()).drop("_hot").join(groups.where(F.col(size) <= limit), keys, "left")
+    return met.where(F.col("_hot").isNotNull()).select(*rows.columns, *[F.col(f"_hot.{c}").alias(c) for c in more]) \
+        .unionByName(rest)
+
+
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 

@@ -2,6 +2,49 @@
 
 from __future__ import annotations
 
+SPACE = r"'[\x20\x09-\x0D]'"
+
+# the 256 entries of the reflected CRC-32 (polynomial 0xEDB88320), made by its rule
+CRC = """crc AS (
+  SELECT list(c ORDER BY i) AS t FROM (
+    SELECT i, list_reduce(range(8), lambda a, k: CASE WHEN a % 2 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS c
+    FROM range(256) r(i)) b)"""
+
+
+def crc32(digits: str) -> str:
+    """CRC-32 of a string of ASCII characters; needs the table ``crc``."""
+    codes = f"list_transform(string_split({digits}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce({codes}, lambda a, x: xor(a >> 8, crc.t[(xor(a, x) & 255) + 1]), CAST(4294967295 AS BIGINT)), 4294967295)"
+
 
 def oracles() -> dict[str, str]:
-    return {}
+    exact = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256(regexp_replace(coalesce(text, ''), {SPACE}, '', 'g')) AS h FROM documents),
+k AS (SELECT doc_id, h, first_value(doc_id) OVER (PARTITION BY h ORDER BY length(text) DESC, doc_id) AS keep_id,
+             count(*) OVER (PARTITION BY h) AS group_size FROM d)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, h AS text_sha256 FROM k"""
+
+    trie = f"""
+WITH {CRC},
+turns AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST) AS pos,
+                 md5(length(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS m,
+                 length(coalesce(text, '')) AS chars FROM conversations WHERE conv_id IS NOT NULL),
+ids AS (SELECT c, {crc32("CAST(c AS VARCHAR)")} % 6 AS h FROM (SELECT DISTINCT conv_id AS c FROM turns) i, crc),
+parts AS (SELECT c, 0 AS part, pos, m, chars FROM ids JOIN turns ON conv_id = c - c % 100 AND pos <= h
+          UNION ALL SELECT c, 1, pos, m, chars FROM ids JOIN turns ON conv_id = c AND pos > h),
+seq AS (SELECT c, row_number() OVER w AS d, md5(string_agg(m, '') OVER w) AS k, chars FROM parts WINDOW w AS (PARTITION BY c ORDER BY part, pos)),
+path AS (SELECT c, 0 AS d, '' AS k, CAST(NULL AS VARCHAR) AS up, 0 AS chars FROM ids
+         UNION ALL SELECT c, d, k, coalesce(lag(k) OVER (PARTITION BY c ORDER BY d), ''), chars FROM seq),
+nodes AS (SELECT k, any_value(d) AS d, any_value(up) AS up, min(c) AS conv_id, count(*) AS n, any_value(chars) AS chars FROM path GROUP BY k),
+kids AS (SELECT up AS k, count(*) AS n FROM nodes WHERE up IS NOT NULL GROUP BY up),
+under AS (SELECT DISTINCT a.k, b.k AS below FROM path a JOIN path b ON a.c = b.c AND b.d >= a.d),
+sub AS (SELECT under.k, count(*) FILTER (WHERE kids.n IS NULL) AS leaves, sum((nodes.n - 1) * chars) AS saved
+        FROM under JOIN nodes ON nodes.k = below LEFT JOIN kids ON kids.k = below GROUP BY under.k),
+ends AS (SELECT k, sha256(string_agg(CAST(c AS VARCHAR), ',' ORDER BY c)) AS h
+         FROM (SELECT *, max(d) OVER (PARTITION BY c) AS total FROM path) t WHERE d = total GROUP BY k)
+SELECT nodes.conv_id, CAST(nodes.d AS BIGINT) AS depth, up.conv_id AS parent_conv_id, nodes.n AS n_convs,
+       coalesce(kids.n, 0) AS n_children, sub.leaves AS n_leaves, CAST(sub.saved AS BIGINT) AS saved_tokens,
+       coalesce(ends.h, sha256('')) AS ends_sha256
+FROM nodes JOIN sub USING (k) LEFT JOIN kids USING (k) LEFT JOIN ends USING (k) LEFT JOIN nodes up ON up.k = nodes.up"""
+
+    return {"op11_exact_dedup": exact, "op12_prefix_trie": trie}

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import read_table
-from . import ann, bpe, langid, lm, minhash, mixing, quality, sharding, suffix, url_rules
+from . import ann, bpe, exact, langid, lm, minhash, mixing, quality, runs, sharding, suffix, trie, url_rules
 from .common import ascii_lower, words
 
 URL_RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -109,6 +109,25 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.remove_repeats(docs, keep_text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the equal text that stays: by length, prefix hash, then full hash."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return exact.exact_duplicates(docs, hash_all=True, keep_text=False).select(
+        "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+
+
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes of the trie of all conversations, rebuilt on the first turns of every hundredth one."""
+    turns = trie.positions(read_table(spark, sf_dir, "conversations"))
+    return trie.prefix_trie(trie.on_shared_heads(turns, every=100, longest=5))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Periodic runs of words of every document, after the contract's planting of repeats."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return runs.periodic_runs(docs, plant=True)
+
+
 def registry() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_url_filters, op2_ann, op3_mixing, op4_bpe, op5_minhash, op6_quality, op7_sharding, op8_language_id,
-                                        op9_lm_score, op10_suffix_dedup)}
+                                        op9_lm_score, op10_suffix_dedup, op11_exact_dedup, op12_prefix_trie, op13_periodic_runs)}

@@ -7,9 +7,11 @@ folder every executor can reach.  Everything here reads that setting; only when
 
 from __future__ import annotations
 
+import functools
 import os
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -61,7 +63,56 @@ def work_dir(spark: SparkSession) -> str:
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path under the shared work folder (never a machine-local folder on a cluster)."""
     base = work_dir(spark).rstrip("/")
-    return f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    path = f"{base}/{name}-{uuid.uuid4().hex[:12]}"
+    if _scopes:
+        _scopes[-1].append(path)
+    return path
+
+
+_scopes: list[list[str]] = []      # scratch folders made inside running ``drops_scratch`` steps
+_kept: list[str] = []              # those that the results of finished steps read
+
+
+def _drop_unread(spark: SparkSession, paths: list[str], files: list[str]) -> list[str]:
+    """Delete the folders that none of the files lies in; the others."""
+    left = [p for p in paths if any(os.path.basename(p) in f for f in files)]
+    for p in set(paths) - set(left):
+        drop_path(spark, p)
+    return left
+
+
+def drop_path(spark: SparkSession, path: str) -> None:
+    """Delete a folder through Spark's file systems (a missing one is no error)."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def drops_scratch(step: Callable[..., DataFrame]) -> Callable[..., DataFrame]:
+    """A step ``(spark, ...) -> DataFrame`` that leaves no scratch behind but what its result reads.
+
+    Folders of ``scratch_path`` that the step made and its result does not read are deleted when it
+    returns; those the result reads go when the next such step starts on other data.  So a step's
+    result has to be written before the next step is called, as in a chain of written stages.
+    """
+    @functools.wraps(step)
+    def run(spark: SparkSession, *args, **kwargs) -> DataFrame:
+        read = [f for a in args if isinstance(a, DataFrame) for f in a.inputFiles()]
+        _kept[:] = _drop_unread(spark, _kept, read)
+        made: list[str] = []
+        _scopes.append(made)
+        try:
+            out = step(spark, *args, **kwargs)
+        finally:
+            _scopes.pop()
+        _kept.extend(_drop_unread(spark, made, out.inputFiles()))
+        return out
+
+    return run
+
+
+def drop_finished_shuffles(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of an SQL execution when that ends (results are written tables)."""
+    spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:

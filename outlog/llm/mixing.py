@@ -113,22 +113,35 @@ def permute(i: np.ndarray, n: np.ndarray, key: np.ndarray) -> np.ndarray:
     return x.astype(np.int64)
 
 
-def streams(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
-            seed: int = 29, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """``_row`` (all columns), ``_src``, ``_size`` (words) and ``_start``: the row's place in its
-    source's stream of words.  Written to the shared folder, so later steps see the same places."""
-    n_buckets = max(1, -(-df.count() // bucket_rows))
-    rows = df.select(F.struct(*df.columns).alias("_row"), null_key(F.col(source_col)).alias("_src"),
-                     (F.col("_words") if "_words" in df.columns else F.size(words(F.col(text_col)))).cast("long").alias("_size"),
-                     shuffle_key(F.col(id_col), seed).alias("_key"))
-    rows = rows.withColumn("_b", F.floor(hex_prefix(F.col("_key")) * n_buckets / F.lit(1 << 32)))
-    w = W.partitionBy("_src", "_b").orderBy("_key", "_size").rowsBetween(W.unboundedPreceding, -1)
+def numbered(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text",
+             seed: int = 29, keep_text: bool = True) -> DataFrame:
+    """Rows of ``df`` with a number of their own, written once: ``_row`` (all columns, the text only if
+    ``keep_text``), ``_n``, ``_src``, ``_size`` (words), and what orders them, ``_key`` and ``_tie``.
+
+    A null text has no words, a null source is a source of its own, rows without id share one key.  Rows
+    that share an id are ordered by size and text; rows that repeat wholly are interchangeable, so reruns
+    agree.  All columns of ``df`` stay in ``_row``, whatever their names.  Empty tables stay empty.
+    """
+    kept = [c for c in df.columns if keep_text or c != text_col]
+    rows = df.select(F.struct(*kept).alias("_row"), null_key(F.col(source_col)).alias("_src"),
+                     F.size(words(F.col(text_col))).cast("long").alias("_size"),
+                     shuffle_key(F.col(id_col), seed).alias("_key"), F.xxhash64(text_col).alias("_tie"))
+    return cut_lineage(rows.withColumn("_n", F.monotonically_increasing_id()))
+
+
+def streams(rows: DataFrame, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
+    """``_n``, ``_src``, ``_size`` and ``_start`` of ``numbered`` rows: each row's place in its source's
+    stream of words.  Written to the shared folder, so later steps see the same places; texts stay behind."""
+    n_buckets = max(1, -(-rows.count() // bucket_rows))
+    rows = rows.select("_n", "_src", "_size", "_key", "_tie") \
+        .withColumn("_b", F.floor(hex_prefix(F.col("_key")) * n_buckets / F.lit(1 << 32)))
+    w = W.partitionBy("_src", "_b").orderBy("_key", "_size", "_tie", "_n").rowsBetween(W.unboundedPreceding, -1)
     rows = cut_lineage(rows.withColumn("_in", F.coalesce(F.sum("_size").over(w), F.lit(0))))
-    totals = rows.groupBy("_src", "_b").agg(F.sum("_size").alias("_n"))
+    totals = rows.groupBy("_src", "_b").agg(F.sum("_size").alias("_t"))
     before = W.partitionBy("_src").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
-    totals = totals.select("_src", "_b", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
-    return (rows.join(totals, ["_src", "_b"])
-            .select("_row", "_src", "_size", (F.col("_before") + F.col("_in")).alias("_start")))
+    totals = totals.select("_src", "_b", F.coalesce(F.sum("_t").over(before), F.lit(0)).alias("_before"))
+    return cut_lineage(rows.join(totals, ["_src", "_b"])
+                       .select("_n", "_src", "_size", (F.col("_before") + F.col("_in")).alias("_start")))
 
 
 def draw(placed: DataFrame, weights=WEIGHTS, n_shards: int = 64, seed: int = 29,
@@ -177,48 +190,50 @@ def slots(spark, mix: Mix) -> DataFrame:
 
 
 def pieces(placed: DataFrame, mix: Mix) -> DataFrame:
-    """Rows with words, cut at block edges: src, block, _start, ``lo``/``hi`` (words of the row)."""
+    """Rows with words, cut at block edges: _n, src, block, ``lo``/``hi`` (words of the row)."""
     spark = placed.sparkSession
     names = spark.createDataFrame([(k, i) for i, k in enumerate(mix.keys)] or [("", -1)], "_src string, src int")
     b = mix.block_words
     spans = placed.where("_size > 0").join(names, "_src").select(
-        "src", "_start", "_size",
+        "_n", "src", "_start", "_size",
         F.explode(F.sequence(F.expr(f"_start div {b}"), F.expr(f"(_start + _size - 1) div {b}"))).alias("block"))
     lo, hi = F.greatest(F.col("block") * b, F.col("_start")), F.least((F.col("block") + 1) * b, F.col("_start") + F.col("_size"))
-    return spans.select("src", "block", "_start", (lo - F.col("_start")).alias("lo"), (hi - F.col("_start")).alias("hi"))
+    return spans.select("_n", "src", "block", (lo - F.col("_start")).alias("lo"), (hi - F.col("_start")).alias("hi"))
 
 
-def taken_words(placed: DataFrame, mix: Mix) -> DataFrame:
-    """All rows of ``streams`` with source_size, target and taken (words the mix takes of the row).
+def taken_words(rows: DataFrame, placed: DataFrame, mix: Mix) -> DataFrame:
+    """``_row`` of all ``numbered`` rows with size, source_size, target, taken (words the mix takes of the
+    row) and ``shards``: how many of these each output shard receives, by the shards' drawn counts.
 
     Rows without words take nothing; a null source is a source of its own (last in the order).
     """
     spark = placed.sparkSession
-    uses = slots(spark, mix).groupBy("src", "block").agg(F.count(F.lit(1)).alias("uses"))
-    taken = (pieces(placed.drop("_row"), mix).join(uses, ["src", "block"], "left")
-             .groupBy("src", "_start").agg(F.sum((F.col("hi") - F.col("lo")) * F.coalesce("uses", F.lit(0))).alias("taken")))
-    sources = spark.createDataFrame([(k, i, s, t) for i, (k, s, t) in enumerate(zip(mix.keys, mix.sizes, mix.targets, strict=True))],
-                                    "_src string, src int, source_size long, target double")
-    rows = placed.join(sources, "_src")
-    full = rows.where("_size > 0").join(taken, ["src", "_start"])
-    none = rows.where("_size = 0").withColumn("taken", F.lit(0).cast("long"))
-    out = ["_row", F.col("_size").alias("size"), "source_size", "target", F.col("taken").cast("long").alias("taken")]
-    return full.select(*out).unionByName(none.select(*out))
-
-
-def mixed_rows(placed: DataFrame, mix: Mix, text_col: str = "text") -> DataFrame:
+    uses = slots(spark, mix).groupBy("src", "block", "shard").agg(F.count(F.lit(1)).alias("uses"))
+    each = pieces(placed, mix).join(uses, ["src", "block"]).groupBy("_n", "shard") \
+        .agg(F.sum((F.col("hi") - F.col("lo")) * F.col("uses")).alias("words"))
+    taken = each.groupBy("_n").agg(F.sum("words").alias("taken"), F.array_sort(F.collect_list(F.struct("shard", "words"))).alias("shards"))
+    sources = spark.createDataFrame([(k, s, t) for k, s, t in zip(mix.keys, mix.sizes, mix.targets, strict=True)],
+                                    "_src string, source_size long, target double")
+    told = placed.join(sources, "_src").join(taken, "_n", "left")
+    return rows.select("_n", "_row").join(told, "_n").select(
+        "_row", F.col("_size").alias("size"), "source_size", "target",
+        F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), "shards")
+
+
+def mixed_rows(rows: DataFrame, placed: DataFrame, mix: Mix, text_col: str = "text") -> DataFrame:
     """The mix itself: one row per row and epoch that takes words of it, with the columns of the
-    input; the text holds the taken words of that epoch (the whole text if all are taken)."""
+    input; the text holds the taken words of that epoch (the whole text if all are taken).
+
+    ``rows`` are ``numbered`` ones with their texts, which move once: to the spans taken of them.
+    """
     from pyspark.sql import types as T
 
     spark = placed.sparkSession
-    own = placed.schema["_row"].dataType
-    taken = (pieces(placed.drop("_row"), mix).join(slots(spark, mix).select("src", "block", "epoch"), ["src", "block"])
-             .groupBy("src", "_start", "epoch").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("_spans"))
-             .groupBy("src", "_start").agg(F.collect_list("_spans").alias("_epochs")))
-    names = spark.createDataFrame([(k, i) for i, k in enumerate(mix.keys)] or [("", -1)], "_src string, src int")
-    rows = (placed.where("_size > 0").join(names, "_src").join(taken, ["src", "_start"])
-            .select("_row.*", F.col("_size"), F.col("_epochs")))
+    own = rows.schema["_row"].dataType
+    taken = (pieces(placed, mix).join(slots(spark, mix).select("src", "block", "epoch"), ["src", "block"])
+             .groupBy("_n", "epoch").agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("_spans"))
+             .groupBy("_n").agg(F.collect_list("_spans").alias("_epochs")))
+    rows = rows.select("_n", "_row", "_size").join(taken, "_n").select("_row", "_size", "_epochs")
 
     def cut(text: str, size: int, spans: list[dict]) -> str:
         if sum(s["hi"] - s["lo"] for s in spans) == size:
@@ -236,10 +251,11 @@ def mixed_rows(placed: DataFrame, mix: Mix, text_col: str = "text") -> DataFrame
         for whole in batches:
             for k in range(0, whole.num_rows, 256):
                 b = whole.slice(k, 256)
-                texts, sizes, epochs = b[text_col].to_pylist(), b["_size"].to_pylist(), b["_epochs"].to_pylist()
+                row = pa.RecordBatch.from_struct_array(b["_row"])
+                texts, sizes, epochs = row[text_col].to_pylist(), b["_size"].to_pylist(), b["_epochs"].to_pylist()
                 take = [i for i, e in enumerate(epochs) for _ in e]
                 new = pa.array([cut(texts[i], sizes[i], spans) for i, e in enumerate(epochs) for spans in e], pa.string())
-                t = pa.table(b.select(own.names)).take(pa.array(take, pa.int64()))
+                t = pa.Table.from_batches([row]).take(pa.array(take, pa.int64()))
                 t = t.set_column(own.names.index(text_col), text_col, new)
                 yield from t.combine_chunks().to_batches()
 

@@ -41,11 +41,11 @@ def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that the mixture takes; see ``mixing``."""
-    docs = read_table(spark, sf_dir, "documents").select(
-        "doc_id", "source", F.size(words(F.col("text"))).alias("_words"))
-    placed = mixing.streams(docs)
-    return mixing.taken_words(placed, mixing.draw(placed)).select(
-        F.col("_row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken")
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows = mixing.numbered(docs, keep_text=False)
+    placed = mixing.streams(rows)
+    return mixing.taken_words(rows, placed, mixing.draw(placed)).select(
+        F.col("_row.doc_id").alias("doc_id"), "size", "source_size", "target", "taken", "shards")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -39,7 +39,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..session import cut_lineage
+from ..session import cut_lineage, scratch_path
 from .common import contiguous_groups, slices, spread, tasks, whole_runs
 
 WIDTH = 100
@@ -245,8 +245,11 @@ def hold(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
                            T.StructField("body", T.BinaryType()), rows.schema["extra"]])
     name = f"outlog_blocks_{uuid.uuid4().hex[:12]}"
     # a task writes whole blocks, so bucketing needs no exchange and makes about one file a block
-    rows.mapInArrow(run, schema).write.bucketBy(tasks(df), "block").sortBy("block").saveAsTable(name)
-    return spark.table(name)
+    (rows.mapInArrow(run, schema).write.bucketBy(tasks(df), "block").sortBy("block")
+     .option("path", scratch_path(spark, "blocks")).saveAsTable(name))
+    held = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")     # the catalog's entry; the files stay where the scratch tables are
+    return held
 
 
 def _texts(t: pa.Table) -> list[bytes]:

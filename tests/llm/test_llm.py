@@ -155,16 +155,38 @@ def test_mixing(spark, sf_small, odd, nothing, docs):
         assert rows[0].source_size == sum(r["size"] for r in rows)
         assert abs(sum(r.taken for r in rows) - rows[0].target) <= 2 * mixing.BLOCK_WORDS
     assert abs(sum(rows[0].target for rows in by.values()) - sum(r["size"] for r in out)) < 1e-6
-    placed = mixing.streams(odd)
+    assert all(sum(x.words for x in r.shards or []) == r.taken for r in out)
+    clash = odd.withColumn("_words", F.lit(999)).withColumn("_n", F.lit("mine")).withColumn("_size", F.lit(7))
+    numbers = mixing.numbered(clash)
+    placed = mixing.streams(numbers)
     mix = mixing.draw(placed)
     assert mix.keys == ["=a", "=b", "=c", "-"]
-    assert mixing.taken_words(placed, mix).count() == odd.count()
-    rows = mixing.mixed_rows(placed, mix)
-    assert rows.columns == odd.columns
-    taken = mixing.taken_words(placed, mix).agg(F.sum("taken")).first()[0]
-    assert sum(len(WORD.findall(r.text)) for r in rows.collect()) == taken
-    empty = mixing.streams(nothing)
-    assert mixing.taken_words(empty, mixing.draw(empty)).count() == 0 == mixing.mixed_rows(empty, mixing.draw(empty)).count()
+    assert mixing.taken_words(numbers, placed, mix).count() == odd.count()
+    rows = mixing.mixed_rows(numbers, placed, mix)
+    assert rows.columns == clash.columns
+    got = rows.collect()
+    taken = mixing.taken_words(numbers, placed, mix).agg(F.sum("taken")).first()[0]
+    assert sum(len(WORD.findall(r.text)) for r in got) == taken and all(r["_n"] == "mine" and r["_size"] == 7 for r in got)
+    no_rows = mixing.numbered(nothing)
+    empty = mixing.streams(no_rows)
+    assert mixing.taken_words(no_rows, empty, mixing.draw(empty)).count() == 0 == mixing.mixed_rows(no_rows, empty, mixing.draw(empty)).count()
+
+
+def test_mixing_follows_the_drawn_counts_of_the_shards(spark, sf_small):
+    """Words per shard are those of the slots that the shard's multinomial draw gave each source."""
+    rows = mixing.numbered(spark.read.parquet(f"{sf_small}/documents.parquet"), keep_text=False)
+    placed = mixing.streams(rows)
+    shards = {}
+    for seed in (29, 30):
+        mix = mixing.draw(placed, n_shards=4, seed=seed)
+        got = mixing.taken_words(rows, placed, mix)
+        each = got.select("_row.source", F.explode("shards").alias("s")).groupBy("source", "s.shard").agg(F.sum("s.words").alias("w"))
+        shards[seed] = {(r.source, r.shard): r.w for r in each.collect()}
+        for (source, shard), w in shards[seed].items():
+            slots = int(mix.counts[shard, mix.keys.index(f"={source}")])
+            # the last block of a stream is short, and in each epoch one slot holds it
+            assert (slots - mixing.MAX_EPOCHS) * mixing.BLOCK_WORDS < w <= slots * mixing.BLOCK_WORDS
+    assert shards[29] != shards[30]
 
 
 def test_bpe_against_the_library(spark, sf_small, odd, nothing, docs):
@@ -418,6 +440,23 @@ def test_pipeline_stages(spark, sf_small, docs):
     assert final.where(F.size("ids") == 0).count() == 0 and final.count() > 0
 
 
+def test_near_dedup_stage_with_repeated_and_missing_ids(spark):
+    """Copies go whatever their ids; blank texts stay; columns come back as they were."""
+    import corpus_pipeline as cp
+    a, b = " ".join(f"a{i}" for i in range(40)), " ".join(f"b{i}" for i in range(40))
+    rows = [(1, a), (1, a), (1, a + " more"), (2, a), (None, b), (None, b), (3, b), (None, None), (4, ""), (4, ""), (None, "c d e f g h i j")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    for c in ("n", "row", "id", "kept", "size", "component_id", "_hot"):
+        df = df.withColumn(c, F.lit("mine"))
+    got = cp.near_dedup(spark, df, "")
+    assert got.columns == df.columns
+    left = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    firsts = [r for r in left if r[0] == 1]
+    assert len(firsts) == 1 and sorted((r for r in left if r[0] != 1), key=str) == sorted(
+        [(3, b), (None, None), (4, ""), (4, ""), (None, "c d e f g h i j")], key=str)
+    assert cp.near_dedup(spark, df.where("false"), "").count() == 0
+
+
 def test_pipeline_keeps_texts_in_several_languages(spark, sf_small, docs):
     import corpus_pipeline as cp
     rows = spark.read.parquet(f"{sf_small}/documents.parquet")

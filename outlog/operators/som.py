@@ -14,6 +14,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
 
 from .. import config as C
@@ -120,36 +121,68 @@ def init_pca(df: DataFrame, vec_col: str, rows: int, cols: int, weight_col: str
 
 
 def weighted_moments(df: DataFrame, vec_col: str, weight_col: str | None = None):
-    """Weighted mean vector and covariance matrix (population) as distributed sums."""
+    """Weighted mean vector and covariance matrix (population).
+
+    Every task sums squares about its own mean; tasks are merged pairwise by the update of means and
+    squares (Chan, Golub and LeVeque), in groups of ``MERGE`` until one row is left, so nothing cancels
+    however far the data lies from the origin and no task or driver meets more than ``MERGE`` parts.
+    """
     wcol = F.col(weight_col).cast("double") if weight_col else F.lit(1.0)
-    sums = (df.select(wcol.alias("w"), F.col(vec_col).alias("v"))
-              .mapInPandas(_moment_partials, "n double, s array<double>, ss array<double>"))
-    # reduce the per-task partials in Spark: only 1 + dim + dim^2 numbers reach the driver
-    flat = sums.select(F.concat(F.array("n"), "s", "ss").alias("x")).select(F.posexplode("x").alias("i", "v"))
-    tot = {r["i"]: r["v"] for r in flat.groupBy("i").agg(F.sum("v").alias("v")).collect()}
-    if not tot:
+    schema = "part long, n double, mean array<double>, ss array<double>"
+    parts = cut_lineage(df.select(wcol.alias("w"), F.col(vec_col).cast("array<double>").alias("v")).mapInArrow(_moment_partials, schema))
+    left = parts.count()
+    while left > 1:
+        parts = cut_lineage(parts.withColumn("part", F.floor(F.col("part") / MERGE)).groupBy("part")
+                            .applyInArrow(_merge_moments, schema))
+        left = parts.count()
+    got = parts.collect()
+    if not got:
         raise ValueError("no rows to fit")
-    m = len(tot)
-    dim = int(round((-1 + np.sqrt(1 + 4 * (m - 1))) / 2))
-    vec = np.array([tot[i] for i in range(m)])
-    n, s, ss = vec[0], vec[1:1 + dim], vec[1 + dim:].reshape(dim, dim)
-    mean = s / n
-    return mean, ss / n - np.outer(mean, mean)
+    mean = np.array(got[0]["mean"])
+    return mean, np.array(got[0]["ss"]).reshape(len(mean), len(mean)) / got[0]["n"]
+
+
+MERGE = 64   # moment parts that one task merges
+
+
+def merge_moments(a: tuple, b: tuple) -> tuple:
+    """(weight, mean, squares about the mean) of two parts together."""
+    n = a[0] + b[0]
+    if not n:
+        return a
+    d = b[1] - a[1]
+    return n, a[1] + d * (b[0] / n), a[2] + b[2] + np.outer(d, d) * (a[0] * b[0] / n)
+
+
+def _moment_batch(part: int, m: tuple) -> pa.RecordBatch:
+    return pa.record_batch([pa.array([part], pa.int64()), pa.array([float(m[0])]), pa.array([m[1].tolist()], pa.list_(pa.float64())),
+                            pa.array([m[2].ravel().tolist()], pa.list_(pa.float64()))], ["part", "n", "mean", "ss"])
 
 
 def _moment_partials(batches):
-    n, s, ss = 0.0, None, None
-    for pdf in batches:
-        if pdf.empty:
+    from pyspark import TaskContext
+    total = None
+    for b in batches:
+        if not b.num_rows:
             continue
-        X = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-        w = pdf["w"].to_numpy(dtype=np.float64)
-        n += w.sum()
-        ps, pss = (X * w[:, None]).sum(0), (X * w[:, None]).T @ X
-        s = ps if s is None else s + ps
-        ss = pss if ss is None else ss + pss
-    if s is not None:
-        yield pd.DataFrame({"n": [n], "s": [s.tolist()], "ss": [ss.ravel().tolist()]})
+        X = b["v"].flatten().to_numpy().reshape(b.num_rows, -1)
+        w = b["w"].to_numpy()
+        n = w.sum()
+        mean = (w[:, None] * X).sum(axis=0) / n if n else X[0] * 0
+        Y = X - mean
+        now = (n, mean, (Y * w[:, None]).T @ Y)
+        total = now if total is None else merge_moments(total, now)
+    if total is not None:
+        yield _moment_batch(TaskContext.get().partitionId(), total)
+
+
+def _merge_moments(group: pa.Table) -> pa.Table:
+    rows = sorted(group.to_pylist(), key=lambda r: (r["n"], r["mean"]))     # the same order on every run
+    parts = [(r["n"], np.array(r["mean"]), np.array(r["ss"]).reshape(len(r["mean"]), -1)) for r in rows]
+    total = parts[0]
+    for p in parts[1:]:
+        total = merge_moments(total, p)
+    return pa.Table.from_batches([_moment_batch(group["part"][0].as_py(), total)])
 
 
 def init_codebook(df: DataFrame, vec_col: str, rows: int, cols: int, how: str = "pca",
@@ -176,13 +209,24 @@ def _bmu_block(X: np.ndarray, W: np.ndarray, metric: str, chunk: int):
     dist = np.empty(n, dtype=np.float64)
     if metric == "cosine":
         wn = np.linalg.norm(W, axis=1)
+    half = 0.5 * (W * W).sum(axis=1)
+    far = float(np.sqrt(2 * half.max())) if len(W) else 0.0
     for a in range(0, n, chunk):
         x = X[a:a + chunk]
         if metric == "euclidean":
-            d2 = ((x[:, None, :] - W[None, :, :]) ** 2).sum(axis=2)
-            j = np.argmin(d2, axis=1)
-            bmu[a:a + chunk] = j
-            dist[a:a + chunk] = np.sqrt(d2[np.arange(len(x)), j])
+            # |x - w|^2 / 2 without |x|^2 / 2 is one matrix product; its rounding may swap nodes that are
+            # equally near, so the distances of all nodes within the rounding are taken exactly
+            part = half - x @ W.T
+            part -= part.min(axis=1, keepdims=True)
+            slack = 8 * W.shape[1] * np.finfo(float).eps * (np.linalg.norm(x, axis=1) * far + far * far)
+            row, node = np.nonzero(part <= slack[:, None])
+            d2 = ((x[row] - W[node]) ** 2).sum(axis=1)
+            first = np.flatnonzero(np.append(True, row[1:] != row[:-1]))
+            least = np.minimum.reduceat(d2, first)
+            hit = np.flatnonzero(d2 == least[row])
+            hit = hit[np.append(True, row[hit][1:] != row[hit][:-1])]      # the lowest node of equals
+            bmu[a:a + chunk] = node[hit]
+            dist[a:a + chunk] = np.sqrt(least)
         elif metric == "cosine":
             xn = np.linalg.norm(x, axis=1)
             with np.errstate(divide="ignore", invalid="ignore"):
@@ -198,7 +242,7 @@ def _bmu_block(X: np.ndarray, W: np.ndarray, metric: str, chunk: int):
 
 
 def _chunk_rows(k: int, dim: int) -> int:
-    return max(1, min(C.SCORE_CHUNK_ROWS, (32 * 1024 * 1024) // max(1, k * dim * 8)))
+    return max(1, min(C.SCORE_CHUNK_ROWS, (32 * 1024 * 1024) // max(1, (k + dim) * 8)))
 
 
 def bmu_search(df: DataFrame, vec_col: str, codebook: Codebook, metric: str = "euclidean",
@@ -248,21 +292,24 @@ def _bmu_partial_sums(df: DataFrame, vec_col: str, weight_col: str | None, codeb
         n = np.zeros(k)
         s = np.zeros((k, dim))
         qe = 0.0
-        for pdf in batches:
-            if pdf.empty:
+        for b in batches:
+            if not b.num_rows:
                 continue
-            X = np.stack(pdf["v"].to_numpy()).astype(np.float64)
-            w = pdf["w"].to_numpy(dtype=np.float64) if "w" in pdf else np.ones(len(X))
+            X = b["v"].flatten().to_numpy().astype(np.float64, copy=False).reshape(b.num_rows, dim)
+            w = b["w"].to_numpy() if weight_col else np.ones(len(X))
             j, d = _bmu_block(X, W, "euclidean", chunk)
-            np.add.at(n, j, w)
-            np.add.at(s, j, X * w[:, None])
+            order = np.argsort(j, kind="stable")
+            first = np.flatnonzero(np.append(True, j[order][1:] != j[order][:-1]))
+            n += np.bincount(j, w, k)
+            s[j[order][first]] += np.add.reduceat((X * w[:, None])[order], first)
             qe += float((d * w).sum())
         hit = np.nonzero(n)[0]
         if len(hit):
-            yield pd.DataFrame({"bmu": hit.astype(np.int32), "n": n[hit],
-                                "s": [s[i].tolist() for i in hit], "qe": [qe] + [0.0] * (len(hit) - 1)})
+            sums = pa.ListArray.from_arrays(np.arange(0, dim * len(hit) + 1, dim, dtype=np.int32), s[hit].ravel())
+            yield pa.record_batch([pa.array(hit.astype(np.int32)), pa.array(n[hit]), sums,
+                                   pa.array(np.append(qe, np.zeros(len(hit) - 1)))], ["bmu", "n", "s", "qe"])
 
-    return df.select(*cols).mapInPandas(partial, "bmu int, n double, s array<double>, qe double")
+    return df.select(*cols).mapInArrow(partial, "bmu int, n double, s array<double>, qe double")
 
 
 def bmu_sums(df: DataFrame, vec_col: str, codebook: Codebook, weight_col: str | None = None) -> DataFrame:

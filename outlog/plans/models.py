@@ -5,7 +5,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..config import W2V_PARTITIONS
+from ..config import DetectorConfig, W2V_PARTITIONS
 from ..operators import cluster, encoder as enc, outliers, som
 from ..session import read_table
 from ..sources.logs import conversation_lines, document_lines
@@ -30,6 +30,25 @@ def q_flagship(spark, d):
     return flagship(read_table(spark, d, "documents"))
 
 
+def _small_map(epochs: int) -> DetectorConfig:
+    """A map that SQL can unroll epoch by epoch; all else as in production."""
+    return DetectorConfig(map_rows=4, map_cols=4, epochs=epochs, som_init="frequent")
+
+
+def q_flagship_small_map(spark, d):
+    """The flagship report by a 4 x 4 map and 5 epochs, every step of which the SQL repeats."""
+    return flagship(read_table(spark, d, "documents"), cfg=_small_map(5))
+
+
+def q_detector_small_map(spark, d):
+    """``detector_predictions`` by a 4 x 4 map and 10 epochs, every step of which the SQL repeats."""
+    docs = read_table(spark, d, "documents")
+    lines = document_lines(docs)
+    det = SomDetector(cfg=_small_map(10)).fit(lines, sentences=enc.document_sentences(docs))
+    p = det.predict(lines, ["doc_id", "line_no"], batch_id="b0", training=True)
+    return p.select("doc_id", "line_no", "predict_id", "bmu", _r(F.col("anomaly_score"), "anomaly_score"), "anomaly")
+
+
 def q_detector_predictions(spark, d):
     """Every document line scored by co-occurrence vectors + the production map with its flag."""
     docs = read_table(spark, d, "documents")

@@ -251,12 +251,12 @@ h AS (SELECT a.node AS j, c.node AS bb,
       FROM nodes a, nodes c)""", epoch(1), epoch(2)) + """
 SELECT CAST(node AS INTEGER) AS node, CAST(i AS INTEGER) AS dim, round(w, 6) AS w FROM w2"""
 
-    q["detector_predictions"] = _w(scored_lines(25, 10)) + """
+    q["detector_small_map"] = _w(scored_lines(25, 10)) + """
 SELECT doc_id, line_no, sha256('v1:b0:' || CAST(doc_id AS VARCHAR) || ':' || CAST(line_no AS VARCHAR)) AS predict_id,
        CAST(bmu AS INTEGER) AS bmu, round(dist / m, 6) AS anomaly_score,
        CAST(CASE WHEN dist / m > thr THEN 1 ELSE 0 END AS INTEGER) AS anomaly
 FROM sl, mx, thr"""
-    q["flagship"] = _w(scored_lines(25, 5)) + """
+    q["flagship_small_map"] = _w(scored_lines(25, 5)) + """
 SELECT doc_id, line_no, source, message, template, CAST(bmu AS INTEGER) AS bmu, round(dist / m, 6) AS anomaly_score,
        CAST(CASE WHEN dist / m > thr THEN 1 ELSE 0 END AS INTEGER) AS anomaly
 FROM sl, mx, thr ORDER BY round(dist / m, 6) DESC, doc_id, line_no LIMIT 20"""

@@ -101,3 +101,45 @@ def test_model_store_round_trip(spark, tmp_root):
     save_model(spark, base, "v7", vec, cb, ScoreStats(0.1, 0.2, 3.0, 0.0))
     v, c, s = load_model(spark, base)
     assert v.count() == 1 and np.allclose(c.weights, cb.weights) and s.max_dist == 3.0
+
+
+def test_production_fit_equals_a_batch_map_in_numpy(spark):
+    """24 x 24 nodes, 105 epochs, principal-component start: every epoch against plain numpy."""
+    from outlog.config import DetectorConfig
+    cfg = DetectorConfig()
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 6)) * [3, 2, 1, 1, .5, .1] + 100
+    n = rng.integers(1, 9, 300).astype(float)
+    df = spark.createDataFrame([(x[i].tolist(), float(n[i])) for i in range(300)], "v array<double>, n double").repartition(4)
+    start = som.init_pca(df, "v", cfg.map_rows, cfg.map_cols, "n")
+    mean, cov = np.average(x, axis=0, weights=n), np.cov(x.T, fweights=n.astype(int), bias=True)
+    m, c = som.weighted_moments(df, "v", "n")
+    assert np.allclose(m, mean) and np.allclose(c, cov)
+    fitted, errors = som.fit_som(df, "v", start, cfg.epochs, weight_col="n")
+    w = start.weights
+    for k, sigma in enumerate(som.sigma_schedule(start, cfg.epochs, end=0.5)):
+        d = np.sqrt(((x[:, None] - w[None]) ** 2).sum(2))
+        b = d.argmin(1)
+        assert abs(errors[k] - np.average(d.min(1), weights=n)) < 1e-9
+        h = som.kernel_matrix(start, sigma)[:, b] * n
+        total = h.sum(1)
+        w = np.where(total[:, None] > 0, h @ x / np.where(total > 0, total, 1)[:, None], w)
+    assert np.allclose(fitted.weights, w, atol=1e-9)
+
+
+def test_nearest_nodes_keep_ties_and_survive_far_data():
+    """The matrix product finds the node that exact distances find, the lowest of equals."""
+    rng = np.random.default_rng(1)
+    w = np.repeat(rng.normal(size=(40, 5)), 2, axis=0) + 1e6
+    x = np.concatenate([w[rng.integers(0, 80, 200)], rng.normal(size=(300, 5)) + 1e6])
+    d2 = ((x[:, None] - w[None]) ** 2).sum(2)
+    j, d = som._bmu_block(x, w, "euclidean", 64)
+    assert (j == d2.argmin(1)).all() and np.array_equal(d, np.sqrt(d2.min(1)))
+
+
+def test_moments_do_not_cancel_and_merge_in_groups(spark, monkeypatch):
+    x = np.random.default_rng(2).normal(size=(500, 3)) + 1e8
+    monkeypatch.setattr(som, "MERGE", 3)
+    df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>").repartition(11)
+    mean, cov = som.weighted_moments(df, "v")
+    assert np.allclose(mean - 1e8, (x - 1e8).mean(0)) and np.allclose(cov, np.cov((x - 1e8).T, bias=True), rtol=1e-6, atol=1e-6)

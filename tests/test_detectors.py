@@ -1,5 +1,6 @@
 """Sharded embeddings, count invariants and the subspace detector against brute force and planted structure."""
 
+import collections
 import itertools
 import math
 
@@ -7,7 +8,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from outlog.operators import invariants, sgns, subspace
+from outlog.operators import invariants, lda, sgns, subspace, tfidf
 
 
 def topic_pairs(spark):
@@ -127,3 +128,70 @@ def test_subspace_without_any_rest(spark):
     df = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0, 2.0])], "id long, v array<double>")
     space = subspace.fit(df, "v")
     assert space.limit() == 0.0 and {r.spe for r in subspace.score(df, "v", space).collect()} == {0.0}
+
+
+# ---- neighbours by words -----------------------------------------------------------------------------
+
+def brute_neighbours(docs, k):
+    """The k nearest by TF-IDF cosine: every pair of {id: [words]}."""
+    docs = {i: w for i, w in docs.items() if w}
+    df = collections.Counter(t for w in docs.values() for t in set(w))
+    vec = {}
+    for i, w in docs.items():
+        x = {t: c * (math.log((1 + len(docs)) / (1 + df[t])) + 1) for t, c in collections.Counter(w).items()}
+        n = math.sqrt(sum(v * v for v in x.values()))
+        vec[i] = {t: v / n for t, v in x.items()}
+    out = []
+    for q in vec:
+        near = sorted((-round(sum(v * vec[d].get(t, 0) for t, v in vec[q].items()), 6), d) for d in vec
+                      if d != q and vec[q].keys() & vec[d].keys())
+        out += [(q, r + 1, d, -s) for r, (s, d) in enumerate(near[:k])]
+    return sorted(out)
+
+
+@pytest.mark.parametrize("rare,chunk", [(3, 4), (1000, 4096)])
+def test_tfidf_neighbours_are_exact(spark, monkeypatch, rare, chunk):
+    """Copies (ties), a word of every row, rows alone with their words, small chunks: as by every pair."""
+    monkeypatch.setattr(tfidf, "CHUNK", chunk)
+    rng = np.random.default_rng(6)
+    docs = {i: ["the"] * (i % 3 + 1) + [f"w{x}" for x in rng.zipf(1.5, rng.integers(1, 12)) if x < 200] for i in range(60)}
+    docs |= {100 + i: docs[5] for i in range(8)} | {200: ["alone"], 201: []}
+    rows = [(i, w) for i, ws in docs.items() for w in ws] + [(None, "the"), (3, None)]
+    index = tfidf.postings(spark.createDataFrame(rows, "id long, term string"), "id", "term")
+    want = brute_neighbours(docs, 4)
+    got = tfidf.nearest(index, 4, rare=rare)
+    assert sorted((r.query_id, r.rank, r.id, r.similarity) for r in got.collect()) == want
+    some = tfidf.nearest(index, 4, spark.createDataFrame([(3,), (3,), (104,)], "k long"), rare)
+    assert sorted(tuple(r) for r in some.collect()) == [w for w in want if w[0] in (3, 104)]
+    nothing = tfidf.postings(spark.createDataFrame([], "id long, term string"), "id", "term")
+    assert tfidf.nearest(nothing, 4).count() == 0
+
+
+# ---- topics ---------------------------------------------------------------------------------------------
+
+def test_digamma():
+    h = [0.5772156649015329 * -1 + sum(1 / k for k in range(1, n)) for n in range(1, 12)]
+    assert np.allclose(lda._digamma(np.arange(1, 12)), h, atol=1e-10)
+
+
+def test_topics_recover_planted_groups_and_held_out_perplexity_falls(spark):
+    """Three groups of ten words: each topic's heaviest words are one group, documents follow their group."""
+    rng = np.random.default_rng(9)
+    rows = [(i, f"{'abc'[i % 3]}{w}", 1) for i in range(150) for w in rng.integers(0, 10, 30).tolist()]
+    counts = spark.createDataFrame(rows, "doc long, word string, n long")
+    fit, held = counts.where("doc < 120"), counts.where("doc >= 120")
+    rough = lda.perplexity(lda.score(held, lda.fit(fit, 3, epochs=1, batches=1, offset=64.0)))
+    topics = lda.fit(fit, 3, epochs=5)
+    scored = lda.score(held, topics)
+    assert lda.perplexity(scored) < 15 < rough      # 10 words are as likely each, of 30
+    lam = {r.word: np.array(r.lam) / topics.sums for r in topics.words.collect()}
+    tops = [{w[0] for w in sorted(lam, key=lambda w: -lam[w][t])[:10]} for t in range(3)]
+    assert sorted(x for s in tops for x in s) == ["a", "b", "c"]
+    leading = {}
+    for r in scored.collect():
+        assert leading.setdefault(r.doc % 3, r.topic) == r.topic and r.n_words == 30
+    strange = spark.createDataFrame([(1, "never", 5), (2, "a1", 5), (None, "a1", 1), (3, None, 1), (4, "a1", 0)], "doc long, word string, n long")
+    got = {r.doc: r.log_likelihood for r in lda.score(strange, topics).collect()}
+    assert sorted(got) == [1, 2] and got[1] < got[2]
+    with pytest.raises(ValueError):
+        lda.fit(counts.where("false"), 3)

@@ -18,7 +18,8 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdict on every page's url: fixed rules first, else mined rules (no match: allow).
 
     Rules are mined from the labelled pages: bad is quality 0 or toxic 1.  A null url has empty
-    host and path, no tokens, and is allowed.
+    host and path, no tokens, and is allowed.  Every row of ``pages`` gives one row, repeated and null
+    ids too; an id with several labels counts once for each; without labels nothing is mined.
     """
     pages = read_table(spark, sf_dir, "pages").select("page_id", "url")
     labels = read_table(spark, sf_dir, "labels").select(

@@ -2,6 +2,7 @@
 
 import collections
 import hashlib
+import itertools
 import math
 import re
 import zlib
@@ -99,16 +100,73 @@ def test_url_rules(spark, sf_small):
     assert out.count() == spark.read.parquet(f"{sf_small}/pages.parquet").count()
 
 
+def rule_truth(rows, min_bad, min_confidence, min_sigma):
+    """Minimal rules over the tokens that stand for all that share their pages: {tokens: (confidence, support)}."""
+    rows = [(frozenset(t), b) for t, b in rows if b is not None]
+    total, bad = len(rows), sum(b for _, b in rows)
+    pages = {}
+    for t in sorted({x for s, _ in rows for x in s}):
+        pages.setdefault(frozenset(i for i, (s, _) in enumerate(rows) if t in s), t)
+    kept, passing = set(pages.values()), {}
+    for s, _ in {r for r in rows if r[1]}:
+        for size in range(1, len(s & kept) + 1):
+            for need in itertools.combinations(sorted(s & kept), size):
+                hold = [b for t, b in rows if t >= set(need)]
+                n, k = len(hold), sum(hold)
+                if k >= min_bad and k / n >= min_confidence and k * total - n * bad >= min_sigma * math.sqrt(n * bad * (total - bad)):
+                    passing[need] = (k / n, k / total)
+    return {r: v for r, v in passing.items() if not any(set(o) < set(r) for o in passing)}
+
+
 def test_mined_rules_and_inverted_index(spark):
     rows = [(["h:spam", "p:win"], True)] * 9 + [(["h:spam", "p:a"], False)] * 3 + [(["h:ok"], False)] * 20 + [(["h:ok"], None)]
     df = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
-    rules = url_rules.mine_rules(df, 0.05, 0.7)
-    assert {r.rule: round(r.confidence, 2) for r in rules.collect()} == {"p:win": 1.0, "h:spam p:win": 1.0, "h:spam": 0.75}
+    rules = url_rules.mine_rules(df, 2, 0.7)
+    assert {r.rule: round(r.confidence, 2) for r in rules.collect()} == {"p:win": 1.0, "h:spam": 0.75}
     hit = {tuple(r.tokens): r.mined_rule for r in url_rules.match_rules(df, rules).collect()}
     assert hit == {("h:spam", "p:win"): "p:win", ("h:spam", "p:a"): "h:spam"}
     assert url_rules.mine_rules(df.where("false")).count() == 0
 
 
+def test_rules_of_any_length_and_of_rare_hosts(spark):
+    four = ["a", "b", "c", "d"]
+    rows = [(four, True)] * 12 + [([x for x in four if x != y], False) for y in four for _ in range(12)]
+    rows += [(["h:rare", "p:x"], True)] * 5 + [(["h:big", f"p:{i % 7}"], False) for i in range(3000)]
+    df = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    rules = {r.rule: r.confidence for r in url_rules.mine_rules(df).collect()}
+    assert rules == {"a b c d": 1.0, "h:rare": 1.0}  # five pages of 3,065; p:x stands where h:rare does
+
+
+def test_mined_rules_equal_brute_force(spark):
+    rng = np.random.default_rng(8)
+    rows = []
+    for _ in range(260):
+        t = [x for x in "abcdefg" if rng.random() < 0.45]
+        bad = ({"a", "b", "c"} <= set(t) or {"d", "g"} <= set(t)) and rng.random() < 0.85 or rng.random() < 0.1
+        rows.append((t + (["twin"] if "e" in t else []), bool(bad)))
+    rows += [(["a"], None), ([], True), ([], False)]
+    df = spark.createDataFrame(rows, "tokens array<string>, bad boolean")
+    for args in ((4, 0.6, 1.96), (2, 0.5, 0.0), (1, 1.0, 1.0)):
+        got = {tuple(r.tokens): (r.confidence, r.support) for r in url_rules.mine_rules(df, *args).collect()}
+        assert got == rule_truth(rows, *args) and got
+
+
+def test_url_filters_on_odd_rows(spark, tmp_path):
+    url = "http://bad.example/x/" + "long/" * 3000
+    pages = [(None, None), (1, None), (2, ""), (3, url), (3, url), (4, url + "?a=1"), (5, "http://good.example/"), (6, "http://bad.example/y")]
+    extra = "page_id long, url string, tokens string, host string, rule string, mined_rule string, bad string"
+    spark.createDataFrame([(*p, "x", "x", "x", "x", "x") for p in pages], extra).write.parquet(f"{tmp_path}/pages.parquet")
+    labels = [(3, 0, None, "x"), (3, 0, 0, "x"), (4, 0, 1, "x"), (5, 1, 0, "x"), (6, None, None, "x"), (None, 0, 1, "x")]
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int, url string").write.parquet(f"{tmp_path}/labels.parquet")
+    got = sorted((r.page_id or 0, r.host, r.verdict) for r in queries.op1_url_filters(spark, str(tmp_path)).collect())
+    # labelled rows are 3 (twice by two labels) and 4, all bad, and 5
+    assert got == [(0, "", "allow"), (1, "", "allow"), (2, "", "allow"), (3, "bad.example", "block"), (3, "bad.example", "block"),
+                   (4, "bad.example", "block"), (5, "good.example", "allow"), (6, "bad.example", "block")]
+    for name in ("pages", "labels"):
+        spark.read.parquet(f"{tmp_path}/{name}.parquet").where("false").write.parquet(f"{tmp_path}/none/{name}.parquet")
+    assert queries.op1_url_filters(spark, f"{tmp_path}/none").count() == 0
+
+
 def test_ann_recall_ties_and_unusable_rows(spark):
     rng = np.random.default_rng(0)
     x = rng.standard_normal((3000, 24))

@@ -156,10 +156,10 @@ def test_url_filters_on_odd_rows(spark, tmp_path):
     pages = [(None, None), (1, None), (2, ""), (3, url), (3, url), (4, url + "?a=1"), (5, "http://good.example/"), (6, "http://bad.example/y")]
     extra = "page_id long, url string, tokens string, host string, rule string, mined_rule string, bad string"
     spark.createDataFrame([(*p, "x", "x", "x", "x", "x") for p in pages], extra).write.parquet(f"{tmp_path}/pages.parquet")
-    labels = [(3, 0, None, "x"), (3, 0, 0, "x"), (4, 0, 1, "x"), (5, 1, 0, "x"), (6, None, None, "x"), (None, 0, 1, "x")]
+    labels = [(3, 0, None, "x"), (3, 0, 0, "x"), (4, 0, 1, "x"), (6, None, None, "x"), (None, 0, 1, "x")] + [(5, 1, 0, "x")] * 20
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int, url string").write.parquet(f"{tmp_path}/labels.parquet")
     got = sorted((r.page_id or 0, r.host, r.verdict) for r in queries.op1_url_filters(spark, str(tmp_path)).collect())
-    # labelled rows are 3 (twice by two labels) and 4, all bad, and 5
+    # labelled rows are 3 (twice by two labels) and 4, all bad, and 5 (twenty good labels)
     assert got == [(0, "", "allow"), (1, "", "allow"), (2, "", "allow"), (3, "bad.example", "block"), (3, "bad.example", "block"),
                    (4, "bad.example", "block"), (5, "good.example", "allow"), (6, "bad.example", "block")]
     for name in ("pages", "labels"):

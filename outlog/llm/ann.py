@@ -9,7 +9,8 @@ survivors' next block is read.
 
 Equal vectors are searched once: a class keeps its k + 1 smallest ids, enough for any result.
 The number of probed lists is the smallest that reaches ``TARGET_RECALL`` against brute force
-on the sample; every vector is indexed.  Lists are scanned in groups of at most about
+on the sample, on the whole and in each of some groups of directions; a query whose nearest lists are short probes on until it has met as many vectors as
+that number of average lists holds, k at least.  Every vector is indexed.  Lists are scanned in groups of at most about
 ``GROUP_ROWS`` vectors and queries in parts of about as many, so a long list is split over tasks.
 """
 
@@ -46,6 +47,7 @@ def lift(x: np.ndarray, longest: float, turn: np.ndarray) -> np.ndarray:
 
 def lift_query(x: np.ndarray, longest: float, turn: np.ndarray) -> np.ndarray:
     """Queries: scaled to the same length (the order of inner products stays), added component 0."""
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # neither overflow nor underflow in the squares
     scale = np.sqrt(longest) / np.sqrt((x * x).sum(axis=1))
     return np.concatenate([x * scale[:, None], np.zeros((len(x), 1))], axis=1) @ turn
 
@@ -71,22 +73,53 @@ def probe_order(q: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
     return np.argsort(half - q @ centres.T, axis=1, kind="stable")[:, :n]
 
 
-def probes_needed(sample: np.ndarray, longest: float, turn: np.ndarray, centres: np.ndarray, k: int,
-                  queries: int = 256) -> int:
-    """The fewest probed lists that find TARGET_RECALL of the true k nearest of the sample."""
-    x, q = lift(sample, longest, turn), lift_query(sample[:queries], longest, turn)
-    far = -(q @ x.T)
-    far[np.arange(len(q)), np.arange(len(q))] = np.inf
+def spread_seeds(q: np.ndarray, groups: int) -> np.ndarray:
+    """Rows of ``q`` (vectors of one length), each the farthest from the ones before it."""
+    pick, near = [0], q @ q[0]
+    while len(pick) < min(groups, len(q)):
+        i = int(np.argmin(near))
+        if i in pick:
+            break
+        pick.append(i)
+        near = np.maximum(near, q @ q[i])
+    return q[pick]
+
+
+def probes_needed(sample: np.ndarray, peak: float, longest: float, turn: np.ndarray, centres: np.ndarray, k: int,
+                  queries: int = 256, groups: int = 64, each: int = 8) -> tuple[np.ndarray, np.ndarray]:
+    """Seeds of direction groups, and the fewest probed lists with which a query of each group finds
+    TARGET_RECALL of the true k nearest of the sample.
+
+    No group gets fewer than the first ``queries`` rows need on the whole; a group that needs more, as directions that
+    few rows share may, gets what ``each`` of its own rows need.
+    """
+    x, q = lift(sample / peak, longest, turn), lift_query(sample, longest, turn)
     k = min(k, len(x) - 1)
     if k < 1:
-        return len(centres)
-    top = np.argpartition(far, k - 1, axis=1)[:, :k]
-    order = probe_order(q, centres, len(centres))
-    place = np.empty_like(order)
-    np.put_along_axis(place, order, np.broadcast_to(np.arange(len(centres)), order.shape), axis=1)
-    hits = place[np.arange(len(q))[:, None], nearest(x, centres)[top]]
-    found = np.cumsum(np.bincount(hits.ravel(), minlength=len(centres))) / hits.size
-    return int(np.searchsorted(found, TARGET_RECALL) + 1)
+        return q[:1], np.array([len(centres)])
+    seeds = spread_seeds(q, groups)
+    group = np.concatenate([np.argmax(q[i:i + 4096] @ seeds.T, axis=1) for i in range(0, len(q), 4096)])
+    by_group = np.argsort(group, kind="stable")
+    place_in = np.arange(len(q)) - np.searchsorted(group[by_group], group[by_group])
+    asked = np.unique(np.append(np.arange(min(queries, len(q))), by_group[place_in < each]))
+    filed, depth = nearest(x, centres), np.empty((len(asked), k), np.int64)
+    for lo in range(0, len(asked), 256):
+        own = asked[lo:lo + 256]
+        far = -(q[own] @ x.T)
+        far[np.arange(len(own)), own] = np.inf
+        top = np.argpartition(far, k - 1, axis=1)[:, :k]
+        order = probe_order(q[own], centres, len(centres))
+        place = np.empty_like(order)
+        np.put_along_axis(place, order, np.broadcast_to(np.arange(len(centres)), order.shape), axis=1)
+        depth[lo:lo + 256] = place[np.arange(len(own))[:, None], filed[top]]
+
+    def fewest(rows: np.ndarray) -> int:
+        found = np.cumsum(np.bincount(depth[rows].ravel(), minlength=len(centres))) / depth[rows].size
+        return int(np.searchsorted(found, TARGET_RECALL) + 1)
+
+    overall, groups_asked = fewest(asked < queries), group[asked]
+    return seeds, np.array([max(overall, fewest(groups_asked == g)) if (groups_asked == g).any() else overall
+                            for g in range(len(seeds))])
 
 
 def scan(x: np.ndarray, ids: np.ndarray, lists: np.ndarray, q: np.ndarray, probed: list[np.ndarray], own: np.ndarray,
@@ -164,23 +197,24 @@ def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def search(classes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """``classes``: cid, v (all vectors); ``queries``: cid.  Returns qcid, cid: the nearest k."""
     spark = classes.sparkSession
-    squared = F.aggregate("v", F.lit(0.0), lambda a, x: a + x * x)
-    stats = classes.agg(F.count(F.lit(1)).alias("n"), F.max(squared).alias("m")).first()
+    stats = classes.agg(F.count(F.lit(1)).alias("n"), F.max(F.array_max(F.transform("v", lambda x: F.abs(x)))).alias("peak")).first()
     empty = spark.createDataFrame([], "qcid long, cid long")
     if not stats["n"]:
         return empty
-    n, longest = stats["n"], float(stats["m"])
+    n, peak = stats["n"], float(stats["peak"])  # components are divided by the largest, so that no square overflows
+    squared = F.aggregate("v", F.lit(0.0), lambda a, x: a + (x / F.lit(peak)) * (x / F.lit(peak)))
+    longest = float(classes.agg(F.max(squared)).first()[0])
     last = classes.select("cid").orderBy("cid").limit(SAMPLE_ROWS).agg(F.max("cid")).first()[0]
     sample = np.array([r["v"] for r in sorted(classes.where(F.col("cid") <= last).collect(), key=lambda r: r["cid"])])
     turn = rotation(sample.shape[1] + 1)
     lists = max(1, min(MAX_LISTS, n // LIST_ROWS, len(sample)))
-    centres = k_means(lift(sample, longest, turn), lists)
-    probes = probes_needed(sample, longest, turn, centres, k)
+    centres = k_means(lift(sample / peak, longest, turn), lists)
+    seeds, probes = probes_needed(sample, peak, longest, turn, centres, k)
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x = lift(_matrix(b["v"]), longest, turn)
+                x = lift(_matrix(b["v"]) / peak, longest, turn)
                 yield pa.RecordBatch.from_arrays([b["cid"], pa.array(nearest(x, centres).astype(np.int32)), b["v"]], ["cid", "list", "v"])
 
     filed = cut_lineage(classes.select("cid", "v").mapInArrow(file, "cid long, list int, v array<double>"))
@@ -196,6 +230,8 @@ def search(classes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         if split[i] > 1:
             group, held = group + int(split[i]), 0
     parts = max(1, -(-queries.count() // GROUP_ROWS))
+    # vectors that a query meets at least: those of so many average lists, and k besides its own
+    held_by, enough = np.array([sizes.get(i, 0) for i in range(lists)]), np.minimum(n, np.maximum(k + 1, -(-n * probes // lists)))
     place = F.array(*[F.lit(int(x)) for x in first]), F.array(*[F.lit(int(x)) for x in split])
 
     at = (F.get(place[0], F.col("list")) + F.pmod(F.col("cid"), F.get(place[1], F.col("list")))).cast("long")
@@ -206,11 +242,13 @@ def search(classes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
         for b in batches:
             if not b.num_rows:
                 continue
-            order = probe_order(lift_query(_matrix(b["v"]), longest, turn), centres, probes)
+            q = lift_query(_matrix(b["v"]), longest, turn)
+            order, of = probe_order(q, centres, lists), np.argmax(q @ seeds.T, axis=1)
+            met = np.cumsum(held_by[order], axis=1)
             row, g, probed = [], [], []
             for i, lst in enumerate(order):
                 to: dict[int, list[int]] = {}
-                for one in lst:
+                for one in lst[:max(probes[of[i]], int(np.searchsorted(met[i], enough[of[i]])) + 1)]:
                     for s in range(int(split[one])):
                         to.setdefault(int(first[one]) + s, []).append(int(one))
                 for where, which in to.items():
@@ -232,7 +270,7 @@ def search(classes: DataFrame, queries: DataFrame, k: int) -> DataFrame:
             have, want = t.filter(pa.array(side == 0)), t.filter(pa.array(side == 1))
             if not have.num_rows or not want.num_rows:
                 continue
-            x, q = lift(_matrix(have["v"]), longest, turn), lift_query(_matrix(want["v"]), longest, turn)
+            x, q = lift(_matrix(have["v"]) / peak, longest, turn), lift_query(_matrix(want["v"]), longest, turn)
             own = want["cid"].to_numpy()
             probed = [np.array(p) for p in want["probed"].to_pylist()]
             i, found, dist = scan(x, have["cid"].to_numpy(), have["list"].to_numpy(), q, probed, own, k)
@@ -248,7 +286,9 @@ def neighbours(df: DataFrame, is_query, id_col: str, vec_col: str, k: int = 20)
 
     The k found neighbours of every usable row for which ``is_query`` holds, all other usable
     rows being candidates; fewer than k candidates give them all.  Score ties go to the smaller
-    id.  A repeated row counts once; rows that are not usable (see ``usable``) take no part.
+    id.  A repeated row counts once; rows that are not usable (see ``usable``) take no part, nor do other
+    columns; an empty table gives an empty result.  Components may be as large as doubles are; where an
+    inner product overflows, its score is infinite.
     """
     rows = cut_lineage(usable(df, id_col, vec_col).distinct().withColumn("cid", F.xxhash64("v")))
     smallest = W.partitionBy("cid").orderBy("id")

@@ -298,6 +298,35 @@ def test_components(spark):
     assert {got[x] for x in range(100, 141)} == {100}
 
 
+@pytest.mark.parametrize("seed", [0, 1])
+def test_ann_finds_all_neighbours_of_rare_directions(spark, seed):
+    rng = np.random.default_rng(seed)
+    big, small = rng.standard_normal((2, 16)) * 5, rng.standard_normal((4, 16)) * 5
+    x = np.concatenate([np.repeat(small, 6, axis=0), np.repeat(big, 750, axis=0)]) + rng.standard_normal((1524, 16)) * 0.05
+    ids = np.append(np.arange(24) * 20, 1000 + np.arange(1500) * 20 + 1)  # the rare ones ask
+    df = spark.createDataFrame([(int(i), v.tolist(), "x", 1.0) for i, v in zip(ids, x)], "vec_id long, embedding array<double>, cid string, score double")
+    got = collections.defaultdict(set)
+    for r in ann.neighbours(df.unionByName(df.limit(30)), lambda i: i % 20 == 0, "vec_id", "embedding", 20).collect():
+        got[r.query_id].add(r.vec_id)
+    assert len(got) == 24 and all(len(f) == 20 for f in got.values())
+    recall = []
+    for q in range(24):
+        s = x @ x[q]
+        s[q] = -np.inf
+        recall.append(len(got[q * 20] & set(ids[np.argsort(-s)[:20]].tolist())) / 20)
+    assert np.mean(recall) >= 0.9
+
+
+def test_ann_huge_and_tiny_components(spark):
+    rows = [(0, [1e200, 1e200]), (1, [1e200, 0.0]), (2, [1e200, 2e200]), (20, [1e-200, 0.0]), (40, [1e-100, 3e-100])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for r in sorted(ann.neighbours(df, lambda i: i % 20 == 0, "vec_id", "embedding", 20).collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append((r.vec_id, r.score))
+    assert {q: {i for i, _ in f} for q, f in got.items()} == {q: {0, 1, 2, 20, 40} - {q} for q in (0, 20, 40)}
+    assert [i for i, _ in got[40][:3]] == [2, 0, 1] and got[0][0] == (1, float("inf"))  # two overflow: the smaller id
+
+
 def test_quality(spark, sf_small, odd, nothing, docs):
     def brute(t):
         w = WORD.findall(t or "")

@@ -22,22 +22,29 @@ def document_sentences(documents: DataFrame, text_col: str = "text", keep=("doc_
 
 
 def sequence_sentences(lines: DataFrame, seq_cols: list[str], order_cols: list[str],
-                       word_col: str = "template", max_len: int = 1000) -> DataFrame:
+                       word_col: str = "template", max_len: int = 1000, window: int = C.W2V_WINDOW) -> DataFrame:
     """Sentences from separate line rows: templates per sequence key, sorted by ``order_cols``.
 
-    A sequence is cut into chunks of ``max_len`` consecutive lines (Word2Vec cuts longer
-    sentences at that length anyway), so no group grows with the data even when one
-    sequence key holds a large share of all lines.  Chunks come from each line's position
+    A sequence is cut into chunks of ``max_len`` consecutive lines, so no group grows with the
+    data even when one sequence key holds a large share of all lines.  ``after`` holds the
+    ``window`` lines that follow a chunk: they are context of its last lines and no words of
+    its own, so every pair of neighbours is met once.  Chunks come from each line's position
     in its sequence, computed with block-wise prefix sums.
     """
     from .prefix import ordered_position
 
+    if window > max_len:
+        raise ValueError(f"a window of {window} lines is longer than a chunk of {max_len}")
     pos = ordered_position(lines.select(*seq_cols, *order_cols, word_col), order_cols, seq_cols, "__pos")
     chunk = F.floor((F.col("__pos") - 1) / F.lit(max_len))
-    packed = F.struct(*[F.col(c) for c in order_cols], F.col(word_col).alias("__w"))
-    return (pos.groupBy(*seq_cols, chunk.alias("__chunk"))
-               .agg(F.sort_array(F.collect_list(packed)).alias("__s"))
-               .select(*seq_cols, "__chunk", F.transform("__s", lambda s: s["__w"]).alias("sentence")))
+    first = (chunk > 0) & ((F.col("__pos") - 1) % max_len < window)
+    own, before = F.struct(chunk.alias("c"), F.lit(0).alias("t")), F.struct((chunk - 1).alias("c"), F.lit(1).alias("t"))
+    placed = pos.withColumn("__at", F.explode(F.when(first, F.array(own, before)).otherwise(F.array(own))))
+    packed = F.struct(F.col("__at.t").alias("__t"), *[F.col(c) for c in order_cols], F.col(word_col).alias("__w"))
+    part = lambda t: F.transform(F.filter("__s", lambda s: s["__t"] == t), lambda s: s["__w"])
+    return (placed.groupBy(*seq_cols, F.col("__at.c").alias("__chunk"))
+                  .agg(F.sort_array(F.collect_list(packed)).alias("__s"))
+                  .select(*seq_cols, "__chunk", part(0).alias("sentence"), part(1).alias("after")))
 
 
 def cooccurrence_pairs(sentences: DataFrame, window: int = C.W2V_WINDOW,
@@ -45,11 +52,13 @@ def cooccurrence_pairs(sentences: DataFrame, window: int = C.W2V_WINDOW,
     """Every (word, following word within ``window`` positions) pair, with its offset.
 
     Computed per sentence array (narrow); identical to ``lead(word, k)`` for k = 1..window
-    over the line order.
+    over the line order.  The words of a column ``after``, if there is one, are context only.
     """
-    s = sentences.select(F.col(sentence_col).alias("__s"))
+    own = F.col(sentence_col)
+    after = F.coalesce(F.col("after"), F.array().cast("array<string>")) if "after" in sentences.columns else F.array().cast("array<string>")
+    s = sentences.select(F.concat(own, after).alias("__s"), F.size(own).alias("__n"))
     # each word takes only its own context along, so a row stays linear in the sentence's length
-    near = F.transform("__s", lambda w, i: F.struct(w.alias("word"), F.slice(F.col("__s"), i + 2, window).alias("ctx")))
+    near = F.transform(F.slice("__s", 1, F.col("__n")), lambda w, i: F.struct(w.alias("word"), F.slice(F.col("__s"), i + 2, window).alias("ctx")))
     return (s.select(F.explode(near).alias("g"))
              .select(F.col("g.word").alias("word"), F.posexplode("g.ctx").alias("o", "context"))
              .select("word", "context", (F.col("o") + 1).alias("offset")))
@@ -116,7 +125,8 @@ def cooccurrence_vectors(sentences: DataFrame, dim: int = C.W2V_VECTOR_LENGTH, w
     bits = [F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("word"), F.lit(str(i)))), 1, 5), 16, 10)
             .cast("long").alias(f"h{i}") for i in range(dim)]
     words = cut_lineage(words.select("word", F.md5("word").alias("key"), *bits))
-    counts = cooccurrence_counts(sentences.select(F.transform("sentence", lambda w: F.md5(w)).alias("sentence")), window)
+    parts = [c for c in ("sentence", "after") if c in sentences.columns]
+    counts = cooccurrence_counts(sentences.select(*[F.transform(c, lambda w: F.md5(w)).alias(c) for c in parts]), window)
     both = counts.select(F.explode(F.array(F.struct(F.col("word").alias("key"), F.col("context").alias("near")),
                                            F.struct(F.col("context").alias("key"), F.col("word").alias("near")))).alias("p"), "n")
     comps = words.select(F.col("key").alias("near"), *[f"h{i}" for i in range(dim)])

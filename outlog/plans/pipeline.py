@@ -58,7 +58,7 @@ class SomDetector:
     def _sentences(self, lines: DataFrame, sentences: DataFrame | None) -> DataFrame:
         if sentences is not None:
             return sentences
-        return enc.sequence_sentences(lines, ["source"], ["doc_id", "line_no"])
+        return enc.sequence_sentences(lines, ["source"], ["doc_id", "line_no"], window=self.cfg.window)
 
     def fit(self, lines: DataFrame, sentences: DataFrame | None = None,
             noise: DataFrame | None = None, noise_copies: int = 0) -> "SomDetector":
@@ -68,10 +68,11 @@ class SomDetector:
         train = with_noise(lines.select("template", "message"), noise, noise_copies)
         counts = cut_lineage(template_counts(train))
         if self.encoder in ("cooccurrence", "word2vec"):
-            sents = self._sentences(lines, sentences).select("sentence")
+            sents = self._sentences(lines, sentences)
+            sents = sents.select(*[c for c in ("sentence", "after") if c in sents.columns])
             if noise is not None and noise_copies > 0:
                 from ..operators.feedback import noise_sentences
-                sents = sents.unionByName(noise_sentences(noise, noise_copies).select("sentence"))
+                sents = sents.unionByName(noise_sentences(noise, noise_copies).select("sentence"), allowMissingColumns=True)
             if self.encoder == "word2vec":
                 _, vectors = enc.fit_word2vec(sents, cfg.vector_length, cfg.window, cfg.min_count, cfg.w2v_iter,
                                               cfg.w2v_seed, cfg.w2v_partitions, cfg.max_sentence_length)

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 from pyspark.sql import Window, functions as F
 
 from outlog.operators import encoder as enc
@@ -74,3 +75,17 @@ def test_sequence_sentences_are_chunked_in_order(spark):
     got = enc.sequence_sentences(lines, ["source"], ["doc_id", "line_no"], max_len=10).orderBy("source", "__chunk").collect()
     assert [len(r["sentence"]) for r in got] == [10, 10, 5, 3]
     assert got[1]["sentence"][0] == "w10" and got[3]["sentence"] == ["v0", "v1", "v2"]
+
+
+def test_neighbours_across_a_cut_are_counted_once(spark):
+    rows = [("s", i // 9, i, f"w{i % 6}") for i in range(47)] + [("t", 1, i, f"w{i % 4}") for i in range(20)] + [(None, 2, i, "w1") for i in range(3)]
+    lines = spark.createDataFrame(rows, "source string, doc_id long, line_no long, template string")
+    whole = enc.sequence_sentences(lines, ["source"], ["doc_id", "line_no"], window=4)
+    want = sorted(map(tuple, enc.cooccurrence_counts(whole, 4).collect()))
+    vectors = {r.word: r.vector for r in enc.cooccurrence_vectors(whole, 4, 4, 1).collect()}
+    for max_len in (4, 5, 10, 20):
+        cut = enc.sequence_sentences(lines, ["source"], ["doc_id", "line_no"], max_len=max_len, window=4)
+        assert sorted(map(tuple, enc.cooccurrence_counts(cut, 4).collect())) == want
+    assert {r.word: r.vector for r in enc.cooccurrence_vectors(cut, 4, 4, 1).collect()} == vectors
+    with pytest.raises(ValueError):
+        enc.sequence_sentences(lines, ["source"], ["doc_id", "line_no"], max_len=3, window=4)

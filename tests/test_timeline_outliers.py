@@ -53,6 +53,27 @@ def test_greedy_gap_brute_force(spark):
         assert sorted(r["id"] for r in timeline.greedy_gap(df, "ts", ["k"], gap, "id").collect()) == ref
 
 
+def test_greedy_gap_slices_do_not_change_the_walk(spark):
+    """Short and long slices, empty stretches, equal times, times before 1970 and one batch a row."""
+    rng = np.random.default_rng(11)
+    secs = np.concatenate([rng.integers(-500, 500, 120), rng.integers(40_000, 41_000, 150), [90_000, 90_000], np.arange(0, 3000, 10)])
+    rows = [(i, dt.datetime(1970, 1, 1) + dt.timedelta(seconds=int(s)), int(i % 2)) for i, s in enumerate(secs)]
+    df = spark.createDataFrame(rows, "id long, ts timestamp_ntz, k long").withColumn("ts", F.col("ts").cast("timestamp"))
+    pdf = pd.DataFrame(rows, columns=["id", "ts", "k"])
+    before = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    try:
+        for batch, gap, wide in ((10000, 30, 1), (10000, 30, 3), (7, 30, 64), (1, 200, 2), (10000, 5000, 64)):
+            spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(batch))
+            got = timeline.greedy_gap(df, "ts", ["k"], gap, "id", slice_gaps=wide)
+            assert sorted(r["id"] for r in got.collect()) == _greedy_ref(pdf, gap)
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", before)
+    assert timeline.greedy_gap(df.where("false"), "ts", ["k"], 30, "id").count() == 0
+    assert timeline.greedy_gap(df, "ts", ["k"], 0, "id").count() == len(rows)
+    untimed = df.withColumn("ts", F.when(F.col("id") > 3, F.col("ts")))
+    assert timeline.greedy_gap(untimed, "ts", ["k"], 30, "id").where("ts is null").count() == 0
+
+
 def test_frequency_and_flatline(spark):
     rows = [(1, T0), (2, T0 + dt.timedelta(seconds=30)), (3, T0 + dt.timedelta(seconds=100)),
             (4, T0 + dt.timedelta(minutes=20)), (5, T0 + dt.timedelta(hours=3))]

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .. import config as C
+from ..session import cut_lineage
 from .timeline import greedy_gap, trailing_count
 
 
@@ -45,12 +46,14 @@ def frequency_alert(events: DataFrame, ts_col: str, id_col: str, predicate: Colu
 
 def flatline_alert(events: DataFrame, ts_col: str, key_cols: list[str] | None = None,
                    predicate: Column | None = None, threshold: int = C.FLATLINE_THRESHOLD,
-                   timeframe_s: int = C.FLATLINE_TIMEFRAME_S, start=None, end=None) -> DataFrame:
+                   timeframe_s: int = C.FLATLINE_TIMEFRAME_S, start=None, end=None,
+                   realert_s: float | None = None) -> DataFrame:
     """Periods of ``timeframe`` in which a key saw fewer than ``threshold`` matching rows.
 
     The period grid runs from the first to the last period of the data (or ``start`` /
     ``end``) for every key; grid size is keys x periods, set by the time span, not by the
-    row count.  Counts per (key, period) are a partial-aggregated ``groupBy``.
+    row count.  Counts per (key, period) are a partial-aggregated ``groupBy``.  With ``realert_s`` only the
+    periods kept by greedy minimum-gap selection per key remain.
     """
     m = events.where(predicate) if predicate is not None else events
     m, keys = _keyed(m, key_cols)
@@ -66,6 +69,9 @@ def flatline_alert(events: DataFrame, ts_col: str, key_cols: list[str] | None =
                .withColumn("events", F.coalesce("events", F.lit(0)))
                .where(F.col("events") < threshold)
                .withColumn("period_start", F.timestamp_seconds("__p")).drop("__p"))
+    if realert_s:
+        named = cut_lineage(out.withColumn("__id", F.to_json(F.struct(*keys, "period_start"), {"ignoreNullFields": "false"})))
+        out = greedy_gap(named, "period_start", keys, realert_s, "__id").drop("__id")
     return out.drop("__all") if "__all" in out.columns else out
 
 

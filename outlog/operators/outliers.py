@@ -1,74 +1,157 @@
 """Exact k-nearest neighbours and the local outlier factor (LOF).
 
-All-pairs distances are unavoidable for exact kNN, but the pairs are never materialised as
-rows: points are hashed into blocks of at most ``block_rows``; every (query block, data
-block) pair is one task that computes its distance matrix with numpy and keeps only the
-``k`` best per query point.  Each point is shipped ``B`` times (once per block pair it
-takes part in), the output is ``n * B * k`` candidates, reduced to ``n * k``.  LOF is then
-three joins over the ``n * k`` neighbour table.
+Points are dealt to cells by their nearest pivot (a bounded sample of the points).  Every point is first
+compared with its own cell, which bounds its k-th distance; by the triangle inequality only the cells whose pivot distance
+less their radius lies within that bound can hold a nearer point, and it is sent to those alone.  Cells are split into
+blocks of about ``block_rows``; a pair of blocks is one task that computes its distances with numpy and keeps the
+``k`` best of each query, so pairs are never materialised as rows and no cell is gathered.  The result is exact for
+any pivots; where nothing can be ruled out (near-random vectors of many dimensions) the work stays quadratic.  LOF is
+then three joins over the ``n * k`` neighbour table.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.vectors import as_double_array
+from ..session import cut_lineage
 
 LOF_EPS = 1e-10
 LOF_OUTLIER_ABOVE = 1.5
+MAX_PIVOTS = 1024  # cells; beyond that many blocks, cells hold several (work only, never results)
+SLACK = 1e-9       # relative room for rounding in distance bounds
 
 
-def _block_knn(k: int, metric: str):
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x[:, None, :] - y[None, :, :]) ** 2).sum(axis=2))
+
+
+def _steps(n: int, row_bytes: int) -> Iterator[slice]:
+    """Slices of n rows whose temporary arrays stay within 16 MiB."""
+    step = max(1, (16 * 1024 * 1024) // max(1, row_bytes))
+    return (slice(a, a + step) for a in range(0, n, step))
+
+
+def _block_knn(k: int):
+    """The ``k`` nearest rows of a data block for each row of a query block, none beyond its bound."""
     def run(q: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        if q.empty or d.empty:
-            return pd.DataFrame({"id": [], "nbr": [], "dist": []})
-        Q = np.stack(q["v"].to_numpy()).astype(np.float64)
-        D = np.stack(d["v"].to_numpy()).astype(np.float64)
-        qid = q["id"].to_numpy()
-        did = d["id"].to_numpy()
-        order = np.argsort(did, kind="stable")          # ties resolve to the smaller id
-        D, did = D[order], did[order]
-        out_id, out_n, out_d = [], [], []
-        step = max(1, (16 * 1024 * 1024) // max(1, D.shape[0] * D.shape[1] * 8))
-        for a in range(0, len(Q), step):
-            x = Q[a:a + step]
-            if metric == "euclidean":
-                dist = np.sqrt(((x[:, None, :] - D[None, :, :]) ** 2).sum(axis=2))
-            else:
-                raise ValueError(f"unknown metric {metric!r}")
-            dist[qid[a:a + step, None] == did[None, :]] = np.inf
-            kk = min(k, D.shape[0])
-            for r in range(len(x)):
-                row = dist[r]
-                idx = np.lexsort((did, row))[:kk]          # by distance, then id
-                idx = idx[np.isfinite(row[idx])]
-                out_id.extend([qid[a + r]] * len(idx))
-                out_n.extend(did[idx].tolist())
-                out_d.extend(row[idx].tolist())
-        return pd.DataFrame({"id": out_id, "nbr": out_n, "dist": out_d})
+        parts = [(q["id"].to_numpy()[:0], d["id"].to_numpy()[:0], np.empty(0))]
+        if len(q) and len(d):
+            x, y = np.stack(q["v"].to_numpy()).astype(np.float64), np.stack(d["v"].to_numpy()).astype(np.float64)
+            qid, did, bound = q["id"].to_numpy(), d["id"].to_numpy(), q["bound"].to_numpy()
+            kk = min(k, len(y))
+            for at in _steps(len(x), y.nbytes):
+                dist = _distances(x[at], y)
+                dist[qid[at, None] == did[None, :]] = np.inf
+                far = np.minimum(np.partition(dist, kk - 1, axis=1)[:, kk - 1], bound[at])
+                row, col = np.nonzero((dist <= far[:, None]) & np.isfinite(dist))
+                order = np.lexsort((did[col], dist[row, col], row))          # by distance, then id
+                row, col = row[order], col[order]
+                first = np.searchsorted(row, np.arange(len(dist)))
+                best = np.arange(len(row)) - first[row] < kk
+                row, col = row[best], col[best]
+                parts.append((qid[at][row], did[col], dist[row, col]))
+        return pd.DataFrame({"id": np.concatenate([p[0] for p in parts]), "nbr": np.concatenate([p[1] for p in parts]),
+                             "dist": np.concatenate([p[2] for p in parts])})
+
+    return run
+
+
+def _to_cells(pivots: np.ndarray):
+    """Add each row's nearest pivot (ties: the first) and its distance."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in _steps(len(b), pivots.nbytes):
+                part = b.iloc[at]
+                dist = _distances(np.stack(part["v"].to_numpy()), pivots)
+                cell = dist.argmin(axis=1)
+                yield part.assign(cell=cell.astype(np.int32), r=dist[np.arange(len(part)), cell])
+
+    return run
+
+
+def _other_cells(pivots: np.ndarray, radius: np.ndarray, size: np.ndarray, enough: int, vectors: bool):
+    """A row for every other cell that may hold one of the ``k`` nearest, with the bound of the k-th distance.
+
+    The bound is the k-th distance in the own cell, or the least distance within which whole cells hold
+    ``enough`` points.
+    """
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for at in _steps(len(b), pivots.nbytes * 2):
+                part = b.iloc[at]
+                dist = _distances(np.stack(part["v"].to_numpy()), pivots)
+                reach = (dist + radius) * (1 + SLACK)
+                by = np.argsort(reach, axis=1)
+                held = np.cumsum(size[by], axis=1) >= enough
+                whole = np.where(held[:, -1], np.take_along_axis(reach, by, 1)[np.arange(len(part)), held.argmax(axis=1)], np.inf)
+                bound = np.fmin(part["kth"].to_numpy(dtype=np.float64), whole)
+                may = dist - radius - SLACK * (dist + radius) <= bound[:, None]
+                may[np.arange(len(part)), part["cell"].to_numpy()] = False
+                row, cell = np.nonzero(may & (size > 0))
+                out = part[["id", "v"] if vectors else ["id"]].iloc[row]
+                yield out.assign(bound=bound[row], cell=cell.astype(np.int32))
 
     return run
 
 
 def knn(points: DataFrame, id_col: str, vec_col: str, k: int, block_rows: int = 1024,
-        metric: str = "euclidean") -> DataFrame:
-    """``(id, nbr, dist, rank)``: the ``k`` nearest other points of every point (ties by id)."""
-    n = points.count()
-    nb = max(1, math.ceil(n / block_rows))
-    p = points.select(F.col(id_col).alias("id"), as_double_array(vec_col).alias("v"),
-                      F.pmod(F.xxhash64(F.col(id_col)), F.lit(nb)).alias("blk"))
-    blocks = F.sequence(F.lit(0), F.lit(nb - 1)).cast("array<bigint>")
-    q = p.select("id", "v", F.col("blk").alias("qb"), F.explode(blocks).alias("db"))
-    d = p.select("id", "v", F.explode(blocks).alias("qb"), F.col("blk").alias("db"))
-    id_type = points.schema[id_col].dataType.simpleString()
-    cand = (q.groupBy("qb", "db").cogroup(d.groupBy("qb", "db"))
-             .applyInPandas(_block_knn(k, metric), f"id {id_type}, nbr {id_type}, dist double"))
-    w = Window.partitionBy("id").orderBy("dist", "nbr")
-    return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        max_pivots: int = MAX_PIVOTS) -> DataFrame:
+    """``(id, nbr, dist, rank)``: the ``k`` nearest other points of every point (Euclidean, ties by id).
+
+    Exact.  Points with a null vector or a null or non-finite component take no part.  Repeated ids are
+    points of their own that are no neighbours of each other, and share one list.
+    """
+    v = as_double_array(vec_col)
+    finite = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    p = cut_lineage(points.select(F.col(id_col).alias("id"), v.alias("v")).where(finite))
+    id_type = p.schema["id"].dataType.simpleString()
+    pairs = f"id {id_type}, nbr {id_type}, dist double"
+    n_pivots = min(max_pivots, max(1, math.ceil(p.count() / block_rows)))
+    sample = [r["v"] for r in p.orderBy(F.xxhash64("id"), "id").limit(n_pivots).collect()]
+    if not sample:
+        return p.sparkSession.createDataFrame([], pairs + ", rank int")
+    copies = p.groupBy("id").count().agg(F.max("count")).first()[0]   # rows of one id are no neighbours
+    pivots = np.unique(np.array(sample, dtype=np.float64), axis=0)
+    dealt = cut_lineage(p.mapInPandas(_to_cells(pivots), f"id {id_type}, v array<double>, cell int, r double"))
+    radius, size = np.zeros(len(pivots)), np.zeros(len(pivots), dtype=np.int64)
+    for c, r, n in dealt.groupBy("cell").agg(F.max("r"), F.count(F.lit(1))).collect():      # a row per pivot
+        radius[c], size[c] = r, n
+
+    def parts_of(rows: DataFrame, counts: np.ndarray, out: str) -> DataFrame:
+        """Add the number of parts of about ``block_rows`` that the counts of the row's cell make."""
+        table = F.array(*[F.lit(int(math.ceil(c / block_rows))) for c in counts])
+        return rows.withColumn(out, F.get(table, F.col("cell")))
+
+    def compare(queries: DataFrame, counts: np.ndarray) -> DataFrame:
+        """Queries (id, v, bound, cell) against all blocks of their cell."""
+        block = lambda parts: F.pmod(F.xxhash64("id"), F.col(parts))
+        every = lambda parts: F.explode(F.sequence(F.lit(0), F.col(parts) - 1).cast("array<bigint>"))
+        q = parts_of(parts_of(queries, counts, "nq"), size, "nd").select("id", "v", "bound", "cell", block("nq").alias("qb"), every("nd").alias("db"))
+        d = parts_of(parts_of(dealt, counts, "nq"), size, "nd").where("nq > 0").select("id", "v", "cell", block("nd").alias("db"), every("nq").alias("qb"))
+        keys = ["cell", "qb", "db"]
+        return q.groupBy(*keys).cogroup(d.groupBy(*keys)).applyInPandas(_block_knn(k), pairs)
+
+    def nearest(cand: DataFrame) -> DataFrame:
+        w = Window.partitionBy("id").orderBy("dist", "nbr")
+        return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+
+    home = cut_lineage(nearest(compare(dealt.select("id", "v", F.lit(float("inf")).alias("bound"), "cell"), size)))
+    if len(pivots) == 1:
+        return home
+    kth = home.where(F.col("rank") == k).select("id", F.col("dist").alias("kth"))
+    bounded = cut_lineage(dealt.drop("r").join(kth, "id", "left"))
+    visits = np.zeros(len(pivots), dtype=np.int64)
+    visit = lambda vectors: _other_cells(pivots, radius, size, k + copies, vectors)
+    for c, n in bounded.mapInPandas(visit(False), f"id {id_type}, bound double, cell int").groupBy("cell").count().collect():
+        visits[c] = n
+    abroad = bounded.mapInPandas(visit(True), f"id {id_type}, v array<double>, bound double, cell int")
+    return nearest(home.drop("rank").unionByName(compare(abroad, visits)))
 
 
 def lof(points: DataFrame, id_col: str, vec_col: str, k: int = 20, block_rows: int = 1024) -> DataFrame:

@@ -111,7 +111,8 @@ def greedy_gap(df: DataFrame, ts_col: str, key_cols: list[str], gap_s: float, id
     walked = (times.join(starts, ["__k", "__s"]).repartition("__k", "__s").sortWithinPartitions("__k", "__s", "__t")
                    .select("__k", "__s", "__t", "__e", "__id"))
     kept = walked.mapInPandas(_walk_slices(gm), walked.select("__id").schema)
-    return df.join(cut_lineage(kept), df[id_col] == F.col("__id"), "left_semi")
+    kept = cut_lineage(kept)
+    return df.join(kept, df[id_col] == kept["__id"], "left_semi")
 
 
 def _slice_entries(times: DataFrame, gm: int, slice_gaps: int) -> DataFrame:

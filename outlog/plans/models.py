@@ -69,6 +69,21 @@ def q_infer_new_lines(spark, d):
     return p.select("doc_id", "turn", "line_no", _r(F.col("anomaly_score"), "anomaly_score"), "anomaly")
 
 
+def q_infer_retrain_small_map(spark, d):
+    """Fit on all sources but the last, infer that one's lines: unseen templates refit the map on both.
+
+    A 4 x 4 map and 2 epochs, every step of which the SQL repeats.
+    """
+    docs = read_table(spark, d, "documents")
+    last = docs.agg(F.max("source")).first()[0]
+    is_new = F.coalesce(F.col("source") == F.lit(last), F.lit(False))
+    old = docs.where(~is_new)
+    lines = document_lines(docs)
+    det = SomDetector(cfg=_small_map(2)).fit(lines.where(~is_new), sentences=enc.document_sentences(old))
+    p = det.infer(lines.where(is_new), ["doc_id", "line_no"], "b1", lines.where(~is_new), sentences=enc.document_sentences(docs))
+    return p.select("doc_id", "line_no", "predict_id", "bmu", _r(F.col("anomaly_score"), "anomaly_score"), "anomaly")
+
+
 def q_w2v_vectors(spark, d):
     _, _, vectors = _w2v(spark, d)
     return vectors

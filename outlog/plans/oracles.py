@@ -256,6 +256,11 @@ SELECT doc_id, line_no, sha256('v1:b0:' || CAST(doc_id AS VARCHAR) || ':' || CAS
        CAST(bmu AS INTEGER) AS bmu, round(dist / m, 6) AS anomaly_score,
        CAST(CASE WHEN dist / m > thr THEN 1 ELSE 0 END AS INTEGER) AS anomaly
 FROM sl, mx, thr"""
+    q["infer_retrain_small_map"] = _w(scored_lines(25, 2)) + """
+SELECT doc_id, line_no, sha256('v1.1:b1:' || CAST(doc_id AS VARCHAR) || ':' || CAST(line_no AS VARCHAR)) AS predict_id,
+       CAST(bmu AS INTEGER) AS bmu, round(dist / m, 6) AS anomaly_score,
+       CAST(CASE WHEN dist / m > thr THEN 1 ELSE 0 END AS INTEGER) AS anomaly
+FROM sl, mx, thr WHERE source = (SELECT max(source) FROM documents)"""
     q["flagship_small_map"] = _w(scored_lines(25, 5)) + """
 SELECT doc_id, line_no, source, message, template, CAST(bmu AS INTEGER) AS bmu, round(dist / m, 6) AS anomaly_score,
        CAST(CASE WHEN dist / m > thr THEN 1 ELSE 0 END AS INTEGER) AS anomaly
@@ -392,6 +397,10 @@ cnt AS (SELECT event_type, p, count(*) AS n FROM p GROUP BY 1, 2)
 SELECT g.event_type, make_timestamp(g.p * 1000000) AS period_start, CAST(coalesce(c.n, 0) AS BIGINT) AS events
 FROM grid g LEFT JOIN cnt c USING (event_type, p)
 WHERE coalesce(c.n, 0) < 1"""
+    q["flatline_realert"] = _greedy(f"""
+SELECT event_type, period_start AS ts, event_type || '@' || CAST(epoch(period_start) AS BIGINT) AS event_id, events
+FROM ({q["flatline_alert"].replace("3600", "900")}) f""", "event_type", 3600, ", c.events") \
+        .replace("SELECT s.event_type, s.event_id, s.ts", "SELECT s.event_type, s.ts AS period_start")
     q["realert_suppression"] = _greedy(
         "SELECT user_id, event_id, ts FROM events WHERE event_type = 'error'", "user_id", 86400)
 
@@ -442,10 +451,14 @@ pd AS (SELECT a.vec_id AS p, b.vec_id AS o, list_distance(a.v, b.v) AS dist FROM
 nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY p ORDER BY dist, o) AS rn FROM pd) t WHERE rn <= {k})"""
     q["knn"] = _w(pairs.format(k=5)) + """
 SELECT p AS vec_id, o AS neighbour, CAST(rn AS INTEGER) AS rank, round(dist, 6) AS dist FROM nn"""
-    q["lof"] = _w(pairs.format(k=20), """
+    q["knn_300"] = _w(pairs.format(k=300)) + """
+SELECT p AS vec_id, o AS neighbour, CAST(rn AS INTEGER) AS rank, round(dist, 6) AS dist FROM nn"""
+    lof_sql = ("""
 kd AS (SELECT p, max(dist) AS kd FROM nn GROUP BY p),
 lrd AS (SELECT nn.p, 1.0 / (avg(greatest(kd.kd, nn.dist)) + 1e-10) AS lrd FROM nn JOIN kd ON nn.o = kd.p GROUP BY nn.p),
 lf AS (SELECT nn.p, avg(l2.lrd) / any_value(l1.lrd) AS lof
-       FROM nn JOIN lrd l2 ON nn.o = l2.p JOIN lrd l1 ON nn.p = l1.p GROUP BY nn.p)""") + """
-SELECT p AS vec_id, round(lof, 6) AS lof, CAST(CASE WHEN lof > 1.5 THEN -1 ELSE 1 END AS INTEGER) AS label FROM lf"""
+       FROM nn JOIN lrd l2 ON nn.o = l2.p JOIN lrd l1 ON nn.p = l1.p GROUP BY nn.p)""", """
+SELECT p AS vec_id, round(lof, 6) AS lof, CAST(CASE WHEN lof > 1.5 THEN -1 ELSE 1 END AS INTEGER) AS label FROM lf""")
+    q["lof"] = _w(pairs.format(k=20), lof_sql[0]) + lof_sql[1]
+    q["lof_300"] = _w(pairs.format(k=300), lof_sql[0]) + lof_sql[1]
     return q

@@ -54,6 +54,12 @@ class SomDetector:
     vocab_size: int = 0
     noise: DataFrame | None = None
     noise_copies: int = 0
+    fits: int = 0
+
+    @property
+    def model_version(self) -> str:
+        """The configured version for the first fit, ``<version>.1``, ``.2``, ... for those after it."""
+        return self.cfg.model_version if self.fits <= 1 else f"{self.cfg.model_version}.{self.fits - 1}"
 
     def _sentences(self, lines: DataFrame, sentences: DataFrame | None) -> DataFrame:
         if sentences is not None:
@@ -94,6 +100,7 @@ class SomDetector:
         self.train_scored = cut_lineage(
             som.bmu_search(encoded, "vector", self.codebook, keep_vector=False).select("template", "n", "bmu", "dist"))
         self.stats = score_stats(self.train_scored, "dist", "n")
+        self.fits += 1
         return self
 
     def score_templates(self, lines: DataFrame) -> DataFrame:
@@ -119,15 +126,15 @@ class SomDetector:
     def predict(self, lines: DataFrame, id_cols: list[str], batch_id: str,
                 fp_messages: DataFrame | None = None, training: bool = False) -> DataFrame:
         return predictions(self.score(lines, training), self.stats, id_cols, batch_id, fp_messages,
-                           factor=self.cfg.threshold_factor, model_version=self.cfg.model_version,
+                           factor=self.cfg.threshold_factor, model_version=self.model_version,
                            elast_alert=self.cfg.elast_alert, namespace=self.cfg.namespace)
 
     def infer(self, lines: DataFrame, id_cols: list[str], batch_id: str, train_lines: DataFrame,
               fp_messages: DataFrame | None = None, sentences: DataFrame | None = None) -> DataFrame:
         """Score new lines; when they hold templates the encoder has never seen, refit the
         detector on the training lines plus the new ones first (``oov='retrain'``), with the
-        noise of the first fit.  ``sentences`` are those of both line sets, when the first fit
-        was given its own."""
+        noise of the first fit and under a model version of its own.  ``sentences`` are those of both
+        line sets, when the first fit was given its own."""
         unseen = enc.new_words(lines, self.vectors.select("word"))
         if not unseen.isEmpty():
             both = train_lines.unionByName(lines, allowMissingColumns=True)
@@ -138,7 +145,7 @@ class SomDetector:
         return self.stats.threshold(self.cfg.threshold_factor)
 
     def codebook_df(self, spark) -> DataFrame:
-        return self.codebook.to_df(spark, self.cfg.model_version)
+        return self.codebook.to_df(spark, self.model_version)
 
 
 def flagship(documents: DataFrame, top: int = 20, cfg: DetectorConfig | None = None) -> DataFrame:

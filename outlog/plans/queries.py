@@ -421,6 +421,13 @@ def q_flatline_alert(spark, d):
     return out.select("event_type", "period_start", "events")
 
 
+def q_flatline_realert(spark, d):
+    """Quiet quarters of an hour, alerted again an hour after the last alert of the type at the earliest."""
+    ev = events_df(spark, d)
+    out = alerts.flatline_alert(ev, "ts", ["event_type"], None, C.FLATLINE_THRESHOLD, 900, realert_s=C.FLATLINE_REALERT_S)
+    return out.select("event_type", "period_start", "events")
+
+
 def q_realert_suppression(spark, d):
     ev = events_df(spark, d).where(F.col("event_type") == "error")
     out = alerts.realert(ev, "ts", "event_id", ["user_id"], 86400)
@@ -464,5 +471,19 @@ def q_lof(spark, d):
     return out.select("vec_id", _r(F.col("lof"), "lof"), "label")
 
 
+def q_knn_300(spark, d):
+    """``knn`` with as many neighbours as the default local outlier factor asks for."""
+    from ..operators.outliers import knn
+    out = knn(emb_df(spark, d), "vec_id", "v", 300)
+    return out.select(F.col("id").alias("vec_id"), F.col("nbr").alias("neighbour"), "rank", _r(F.col("dist"), "dist"))
+
+
+def q_lof_300(spark, d):
+    """``lof`` over 300 neighbours."""
+    from ..operators.outliers import lof
+    out = lof(emb_df(spark, d), "vec_id", "v", 300)
+    return out.select("vec_id", _r(F.col("lof"), "lof"), "label")
+
+
 def registry() -> dict:
     return {name[2:]: fn for name, fn in globals().items() if name.startswith("q_") and callable(fn)}

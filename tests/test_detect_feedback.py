@@ -120,3 +120,5 @@ def test_infer_retrains_on_unseen_templates(spark):
     before = det.vocab_size
     p = det.infer(new, ["doc_id", "line_no"], "b", train)
     assert det.vocab_size == before + 1 and p.count() == 2
+    first = SomDetector(cfg=cfg, encoder="hash").fit(train).predict(new, ["doc_id", "line_no"], "b")
+    assert det.model_version == "v1.1" and not {r.predict_id for r in p.collect()} & {r.predict_id for r in first.collect()}

@@ -1,5 +1,6 @@
 import datetime as dt
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -117,6 +118,43 @@ def test_knn_and_lof_brute_force(spark):
     assert lof[60][1] == -1
 
 
+def test_knn_rules_cells_out_and_stays_exact(spark, monkeypatch):
+    """Clusters, a third of all points equal, k beyond a cell, odd vectors; few block pairs are compared."""
+    rng = np.random.default_rng(8)
+    X = np.concatenate([c + rng.normal(size=(40, 2)) for c in rng.normal(scale=300, size=(6, 2))] + [np.full((120, 2), 7.0)])
+    rows = [(i, x.tolist()) for i, x in enumerate(X)]
+    odd = [(1000, None), (1001, [float("nan"), 1.0]), (1002, [None, 1.0]), (1003, [float("inf"), 1.0])]
+    df = spark.createDataFrame(rows + odd, "id long, v array<double>")
+    D = np.sqrt(((X[:, None] - X[None]) ** 2).sum(-1))
+    np.fill_diagonal(D, np.inf)
+    order = np.argsort(D, axis=1, kind="stable")
+    seen = spark.sparkContext.accumulator(0)
+    inner = outliers._block_knn
+
+    def counted(k):
+        run = inner(k)
+
+        def wrapped(q, d):
+            seen.add(len(q))
+            return run(q, d)
+        return wrapped
+    monkeypatch.setattr(outliers, "_block_knn", counted)
+    for k in (3, 50):
+        seen.value = 0
+        got = {}
+        for r in outliers.knn(df, "id", "v", k, block_rows=16).collect():
+            got.setdefault(r["id"], {})[r["rank"]] = (r["nbr"], r["dist"])
+        assert sorted(got) == list(range(len(X)))
+        for i in got:
+            assert [got[i][j + 1][0] for j in range(k)] == order[i, :k].tolist()
+            assert np.allclose([got[i][j + 1][1] for j in range(k)], D[i, order[i, :k]])
+        if k == 3:
+            assert seen.value < len(X) * math.ceil(len(X) / 16) / 2     # queries x blocks without bounds
+    few = outliers.knn(df.where("id < 4"), "id", "v", 10).groupBy("id").count().collect()
+    assert sorted((r["id"], r["count"]) for r in few) == [(i, 3) for i in range(4)]
+    assert outliers.knn(df.where("id >= 1000"), "id", "v", 3).count() == 0
+
+
 def _unit(*parts):
     return int(hashlib.md5(":".join(str(p) for p in parts).encode()).hexdigest()[:8], 16) / 4294967296.0
 

@@ -1,8 +1,10 @@
 """Language of words and documents by a linear-chain conditional random field.
 
-Every word of a text is labelled: hashed affix, character n-gram and whole-word features score
-the word, learned transitions score neighbours, and forward-backward gives each word's
-posterior, so code-switched texts get one language per word.  A document's language is the one
+Every word of a text is labelled: hashed affix, character n-gram and whole-word features and the lexicons
+of the languages (words of ``LEXICON_ROWS`` fit rows or more) score the word, learned start weights and transitions
+score first words and neighbours, and forward-backward gives each word's
+posterior, so code-switched texts get one language per word.  Transitions learn switches from segments of two rows put
+end to end, a share ``SWITCHED`` of all segments.  A document's language is the one
 with the largest mean posterior over its words.  A run of more than ``PIECE`` letters (scripts
 without spaces, texts without separators) counts as several words: it is divided into consecutive
 pieces of about equal size that together hold every letter and every n-gram of the run.
@@ -17,8 +19,9 @@ from __future__ import annotations
 import re
 import zlib
 from array import array
+from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -37,6 +40,8 @@ FEATURES = 1 << 16
 SEGMENT = 24  # words of a training segment
 PIECE = 48  # letters of a run that is one word; longer runs are divided into pieces
 EPOCHS = 4
+LEXICON_ROWS = 3  # fit rows of a language that a word of its lexicon is in
+SWITCHED = 0.25  # segments that the fit also sees followed by a segment of another row
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 200_000
@@ -45,12 +50,16 @@ SLICE_CHARS = 3 << 19
 
 @dataclass(frozen=True)
 class Crf:
-    """Learned weights: (features x labels), transitions, start weights; a few MB at most."""
+    """Learned weights: (features x labels), transitions, start weights; a few MB at most.
+
+    ``lexicon`` gives the labels of the words in some lexicon; the bound on the fit's rows and letters bounds it.
+    """
 
     labels: list[str]
     emit: np.ndarray
     move: np.ndarray
     start: np.ndarray
+    lexicon: dict[str, list[str]] = field(default_factory=dict)
 
 
 def text_words(text: str | None) -> list[str]:
@@ -93,7 +102,8 @@ def word_features(word: str, before: str = "^", after: str = "$") -> list[int]:
 class _Words:
     """Numbers of words and pieces and their feature rows (flat ids, offsets), filled as they are met."""
 
-    def __init__(self):
+    def __init__(self, lexicon: dict[str, list[str]]):
+        self.lexicon = lexicon
         self.number: dict[str | tuple[str, str, str], int] = {}
         self.flat = array("i")
         self.ends = array("q")
@@ -108,6 +118,7 @@ class _Words:
             if n is None:
                 n = self.number[w] = len(self.number)
                 self.flat.extend(word_features(w) if isinstance(w, str) else word_features(*w))
+                self.flat.extend(zlib.crc32(f"l{x}".encode()) % FEATURES for x in self.lexicon.get(w, ()))
                 self.ends.append(len(self.flat))
             out[i] = n
         return out
@@ -161,6 +172,15 @@ def posteriors(score: np.ndarray, lengths: np.ndarray, move: np.ndarray, start:
     return alpha
 
 
+def lexicons(split: list[tuple[str, list[list[str]]]]) -> dict[str, list[str]]:
+    """The languages in whose rows (language, stretches of words) each word is often enough, in order."""
+    seen = Counter((w, l) for l, stretches in split for w in set().union(*stretches))
+    out: dict[str, list[str]] = {}
+    for w, l in sorted(x for x, n in seen.items() if n >= LEXICON_ROWS):
+        out.setdefault(w, []).append(l)
+    return out
+
+
 def _sample(some: DataFrame, row_id: Column, text: Column, lang: Column, sizes: dict[str, int], k: int,
             max_chars: int) -> list[Row]:
     """(hash, label, stretches of the text) of the ``k`` smallest hashes of every label."""
@@ -208,19 +228,23 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
     split = [(l, got if len(got) == 1 else [w[1:-1] or w for w in got]) for l, got in split]
     labels = sorted({l for l, got in split if any(got)})
     n_labels = max(1, len(labels))
-    words, ids, gold, lengths = _Words(), [], [], []
+    lexicon = lexicons(split)
+    words, ids, tags = _Words(lexicon), [], []
     for label, stretches in split:
         for got in map(words.look, stretches):
             for k in range(0, len(got), SEGMENT):
                 ids.append(got[k:k + SEGMENT])
-                gold.append(labels.index(label))
-                lengths.append(len(ids[-1]))
+                tags.append(np.full(len(ids[-1]), labels.index(label)))
     emit, move, start = np.zeros((FEATURES, n_labels)), np.zeros((n_labels, n_labels)), np.zeros(n_labels)
     if not ids or n_labels == 1:
-        return Crf(labels, emit, move, start)
+        return Crf(labels, emit, move, start, lexicon)
     flat, ends = np.array(words.flat), np.array(words.ends)
-    rng, lengths, gold = np.random.default_rng(seed), np.array(lengths), np.array(gold)
-    g_emit, g_move = np.full((FEATURES, n_labels), 1e-6), np.full((n_labels, n_labels), 1e-6)
+    rng = np.random.default_rng(seed)
+    for i, j in zip(rng.permutation(len(ids))[:int(SWITCHED * len(ids))], rng.permutation(len(ids))):
+        ids.append(np.concatenate([ids[i], ids[j]]))
+        tags.append(np.concatenate([tags[i], tags[j]]))
+    lengths = np.array([len(x) for x in ids])
+    g_emit, g_move, g_start = np.full((FEATURES, n_labels), 1e-6), np.full((n_labels, n_labels), 1e-6), np.full(n_labels, 1e-6)
     for _ in range(EPOCHS):
         order = rng.permutation(len(ids))
         for k in range(0, len(order), 256):
@@ -239,7 +263,7 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             post = alpha * beta
             post /= post.sum(axis=1, keepdims=True)
             target = np.zeros_like(post)
-            y = np.repeat(gold[pick], size)
+            y = np.concatenate([tags[i] for i in pick])
             target[np.arange(len(y)), y] = 1
             # gradient of the log-likelihood: observed minus expected
             per_word = np.zeros((len(uniq), n_labels))
@@ -260,8 +284,13 @@ def fit(labelled: DataFrame, id_col: str = "doc_id", text_col: str = "text", lan
             pair = (target[at].T @ target[at + 1] - both.sum(axis=0)) / len(pick)
             g_move += pair * pair
             move += 0.1 * pair / np.sqrt(g_move)
+            begin = np.cumsum(size) - size
+            first = (target[begin] - post[begin]).sum(axis=0) / len(pick)
+            g_start += first * first
+            start += 0.1 * first / np.sqrt(g_start)
     np.clip(move, -6, 6, out=move)
-    return Crf(labels, emit.astype(np.float32), move, start)
+    np.clip(start, -6, 6, out=start)
+    return Crf(labels, emit.astype(np.float32), move, start, lexicon)
 
 
 def _label(texts: list[str | None], crf: Crf, words: _Words, scores: list[np.ndarray]):
@@ -306,11 +335,11 @@ def predict(df: DataFrame, crf: Crf, text_col: str = "text", pred_col: str = "la
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Crf(**model.value)
-        words, scores = _Words(), []
+        words, scores = _Words(m.lexicon), []
         for whole in batches:
             for b in slices(whole, text_col, SLICE_CHARS):
                 if len(words.number) > CACHE_WORDS:
-                    words, scores = _Words(), []
+                    words, scores = _Words(m.lexicon), []
                 texts = b[text_col].to_pylist()
                 langs, values, tags = [UNKNOWN] * len(texts), [0.0] * len(texts), [[] for _ in texts]
                 sure = [0.0] * len(texts)

@@ -429,6 +429,25 @@ def test_language_id_learns_rare_languages_and_long_texts(spark):
     assert all(r.lang_pred == r.lang for r in out)
 
 
+def test_language_id_learns_starts_switches_and_lexicons(spark):
+    """Words whose letters tell nothing: only the lexicons and neighbours can; texts that switch twice."""
+    rng = np.random.default_rng(12)
+    vocab = {l: ["".join(rng.choice(list("abcd"), 6)) for _ in range(120)] for l in "xyz"}
+    text = lambda l, n: " ".join(rng.choice(vocab[l], n))
+    rows = [(100 * k + i, text(l, n), l) for k, (l, n) in enumerate((("x", 200), ("y", 40), ("z", 40))) for i in range(60)]
+    crf = langid.fit(spark.createDataFrame(rows, "doc_id long, text string, lang string"))
+    count = collections.Counter((w, l) for _, t, l in rows for w in set(t.split()))
+    assert crf.lexicon == {w: sorted(l for l in "xyz" if count[w, l] >= 3) for w in {w for (w, _), n in count.items() if n >= 3}}
+    assert abs(crf.start).min() > 0
+    emit = lambda label: crf.emit[zlib.crc32(f"l{label}".encode()) % langid.FEATURES]
+    assert all(emit(l).argmax() == i for i, l in enumerate("xyz"))
+    assert all(crf.move[i, i] > max(np.delete(crf.move[i], i)) for i in range(3)) and crf.move.min() > -6
+    new = [(i, " ".join([text("x", 12), text("y", 12), text("z", 12)]), None) for i in range(20)]
+    out = langid.predict(spark.createDataFrame(new, "doc_id long, text string, lang string"), crf, words_col="words").collect()
+    right = [a == b for r in out for a, b in zip(r.words, ["x"] * 12 + ["y"] * 12 + ["z"] * 12)]
+    assert np.mean(right) >= 0.97
+
+
 def test_forward_backward_against_enumeration():
     import itertools
     rng = np.random.default_rng(2)

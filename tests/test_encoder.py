@@ -89,3 +89,27 @@ def test_neighbours_across_a_cut_are_counted_once(spark):
     assert {r.word: r.vector for r in enc.cooccurrence_vectors(cut, 4, 4, 1).collect()} == vectors
     with pytest.raises(ValueError):
         enc.sequence_sentences(lines, ["source"], ["doc_id", "line_no"], max_len=3, window=4)
+
+
+def test_vectors_in_place_equal_the_vectors_by_pairs(spark, monkeypatch):
+    """Sums inside the sentences give the vectors that counted pairs give, and no pair is shuffled."""
+    rows = [(["a", "b", "a", "", "c", "b", "d", "a", "e"],), (["x"],), ([],), (None,), (["a", None, "b"],), ([None],), (["é", "b"] * 9,)]
+    sents = spark.createDataFrame(rows, "sentence array<string>")
+    monkeypatch.setattr(enc, "LINES_AT_ONCE", 4)
+    got = enc.cooccurrence_vectors(sents, dim=3, window=2)
+    want = enc.cooccurrence_vectors(sents.withColumn("after", F.lit(None).cast("array<string>")), dim=3, window=2)
+    as_dict = lambda df: {r["word"]: r["vector"] for r in df.collect()}
+    assert as_dict(got) == as_dict(want) and len(as_dict(got)) == 9
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1 and "Join" not in got._jdf.queryExecution().toString()
+
+
+def test_counts_and_vectors_of_one_written_join(spark):
+    """Templates without a vector are filled, words without a count stay in the vector table, null keys meet nothing."""
+    counts = spark.createDataFrame([("a", 3), ("new", 1), (None, 2)], "template string, n long")
+    vectors = spark.createDataFrame([("a", [1.0, 2.0]), ("far", [3.0, 4.0]), (None, [5.0, 6.0])], "word string, vector array<double>")
+    encoded, known = enc.encode_counts(counts, vectors, dim=2)
+    want = enc.encode(counts, vectors, "template", "vector", 2)
+    key = lambda r: str(r)
+    assert sorted(map(tuple, encoded.select("template", "n", "vector").collect()), key=key) == sorted(
+        map(tuple, want.select("template", "n", "vector").collect()), key=key)
+    assert sorted(map(tuple, known.collect()), key=key) == sorted(map(tuple, vectors.collect()), key=key)

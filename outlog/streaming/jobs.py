@@ -22,12 +22,12 @@ WATERMARK = "30 minutes"
 
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int | None = None) -> DataFrame:
-    """A file stream over one table of a folder (schema taken from the batch reader)."""
-    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
-    r = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
+    """A file stream over one table, a file or a folder of files (schema taken from the batch reader)."""
+    path = f"{sf_dir}/{table}.parquet"
+    r = spark.readStream.schema(spark.read.parquet(path).schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(sf_dir)
+    return r.parquet(path)
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append", partition_by: list[str] | None = None,

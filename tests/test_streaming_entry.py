@@ -106,3 +106,11 @@ def test_counter_rate_handles_resets(spark):
     s = spark.createDataFrame(rows, "k string, ts timestamp, v long")
     got = [r["rate"] for r in counter_rate(s, ["k"], "ts", "v").orderBy("ts").collect()]
     assert got == [None, 1.0, 1.0, 20 / 60]
+
+
+def test_a_table_that_is_a_folder_of_files_is_streamed(spark, tmp_path):
+    """Every file of the table's folder is read, and no file of another table."""
+    spark.range(10).repartition(3).write.parquet(str(tmp_path / "ev.parquet"))
+    spark.range(5).write.parquet(str(tmp_path / "other.parquet"))
+    out = jobs.run_to_table(jobs.table_stream(spark, str(tmp_path), "ev"), "folder")
+    assert sorted(r[0] for r in out.collect()) == list(range(10))

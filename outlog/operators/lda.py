@@ -21,6 +21,7 @@ from pyspark.sql import functions as F
 from ..session import cut_lineage
 
 ROUNDS, STILL = 60, 1e-4      # E-step rounds at most, and the mean change that ends them
+DOCS_AT_ONCE = 256            # documents of an Arrow batch that a task holds as Python objects at once
 
 
 @dataclass
@@ -72,6 +73,13 @@ def _numbers(n: list, lam: list, eta: float, k: int) -> tuple[np.ndarray, np.nda
     return np.array(n, float), np.array([[eta] * k if x is None else x for x in lam], float)
 
 
+def _few(batches):
+    """The rows of the batches, a few documents at a time."""
+    for b in batches:
+        for a in range(0, b.num_rows, DOCS_AT_ONCE):
+            yield b.slice(a, DOCS_AT_ONCE)
+
+
 def fit(counts: DataFrame, k: int, epochs: int = 4, batches: int = 2, alpha: float | None = None, eta: float | None = None,
         seed: int = 1, offset: float = 1.0, power: float = 0.7) -> Topics:
     """Topics of (doc, word, n).  Rows with a null or without a count are left out; no rows are refused."""
@@ -112,7 +120,7 @@ def _expected(docs: DataFrame, topics: Topics, k: int) -> DataFrame:
     base, alpha, eta = _digamma(topics.sums), topics.alpha, topics.eta
 
     def work(batches):
-        for b in batches:
+        for b in _few(batches):
             words, parts = [], []
             for w, n, lam in zip(b["word"].to_pylist(), b["n"].to_pylist(), b["lam"].to_pylist(), strict=True):
                 c, m = _numbers(n, lam, eta, k)
@@ -138,7 +146,7 @@ def score(counts: DataFrame, topics: Topics) -> DataFrame:
     kind = docs.schema["doc"].dataType.simpleString()
 
     def work(batches):
-        for b in batches:
+        for b in _few(batches):
             rows = []
             for n, lam in zip(b["n"].to_pylist(), b["lam"].to_pylist(), strict=True):
                 c, m = _numbers(n, lam, eta, k)

@@ -47,7 +47,7 @@ PIECE = 32
 HOT = 4096  # an anchor with more contexts sends its windows one by one
 LAST = (1 << 63) - 1  # order of rows without an id: after all others
 BLOCK_BYTES = 8 << 20
-SEGMENT = 2 << 20  # bytes worked on at once; longer texts are cut with overlap
+SEGMENT = 512 << 10  # bytes worked on at once; longer texts are cut with overlap
 WINDOWS_AT_ONCE = 1 << 20
 RANGE = "block long, row int, begin long, finish long"
 

@@ -11,7 +11,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from outlog.llm import exact, queries, runs, trie
+from outlog.llm import exact, queries, runs, suffix, trie
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -270,3 +270,15 @@ def test_batches_do_not_change_runs():
     batch = pa.record_batch([pa.array(range(5)), pa.array([t or "" for t in texts])], ["id", "text"])
     whole = runs.judge(batch, True, True).to_pylist()
     assert whole == [x for i in range(5) for x in runs.judge(batch.slice(i, 1), True, True).to_pylist()]
+
+
+def test_anchors_of_a_block_are_found_in_little_memory():
+    """A block's texts are worked on in segments whose temporary arrays are a fraction of an executor's memory."""
+    import tracemalloc
+
+    text = np.random.default_rng(1).integers(97, 123, 4 << 20).astype(np.uint8).tobytes()
+    tracemalloc.start()
+    suffix.block_anchors([text])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 64 << 20

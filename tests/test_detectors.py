@@ -3,8 +3,10 @@
 import collections
 import itertools
 import math
+import os
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -195,3 +197,20 @@ def test_topics_recover_planted_groups_and_held_out_perplexity_falls(spark):
     assert sorted(got) == [1, 2] and got[1] < got[2]
     with pytest.raises(ValueError):
         lda.fit(counts.where("false"), 3)
+
+
+def test_a_turn_leaves_no_parameters_of_the_turns_before(spark, monkeypatch):
+    """Of all turns' folders only the last one's stays, and the pairs by turn are gone."""
+    made = []
+    path = sgns.scratch_path
+    monkeypatch.setattr("outlog.session.scratch_path", lambda s, name: made.append(path(s, name)) or made[-1])
+    monkeypatch.setattr(sgns, "scratch_path", lambda s, name: made.append(path(s, name)) or made[-1])
+    rows, _, loss = sgns.train(topic_pairs(spark), dim=2, epochs=2, block_keys=7)
+    assert rows.count() and loss.count() == 2 and len(made) > 6
+    assert sum(os.path.isdir(p) for p in made) == 2     # the counted pairs and the last parameters
+
+
+def test_topics_hold_few_documents_as_objects(monkeypatch):
+    monkeypatch.setattr(lda, "DOCS_AT_ONCE", 3)
+    b = pa.record_batch([pa.array(range(8))], ["doc"])
+    assert [x["doc"].to_pylist() for x in lda._few([b, b.slice(0, 0)])] == [[0, 1, 2], [3, 4, 5], [6, 7]]

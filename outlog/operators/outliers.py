@@ -5,7 +5,8 @@ compared with its own cell, which bounds its k-th distance; by the triangle ineq
 less their radius lies within that bound can hold a nearer point, and it is sent to those alone.  Cells are split into
 blocks of about ``block_rows``; a pair of blocks is one task that computes its distances with numpy and keeps the
 ``k`` best of each query, so pairs are never materialised as rows and no cell is gathered.  The result is exact for
-any pivots; where nothing can be ruled out (near-random vectors of many dimensions) the work stays quadratic.  LOF is
+any pivots.  Other cells are met in rounds of 1, 2, 4, ... cells, each with the bound of those before, and only the
+``k`` best of a round are kept; where nothing can be ruled out (near-random vectors of many dimensions) the work stays quadratic.  LOF is
 then three joins over the ``n * k`` neighbour table.
 """
 
@@ -19,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
 from ..functions.vectors import as_double_array
-from ..session import cut_lineage
+from ..session import cut_lineage, cut_over, drop_path, shuffles_dropped
 
 LOF_EPS = 1e-10
 LOF_OUTLIER_ABOVE = 1.5
@@ -45,17 +46,22 @@ def _block_knn(k: int):
             x, y = np.stack(q["v"].to_numpy()).astype(np.float64), np.stack(d["v"].to_numpy()).astype(np.float64)
             qid, did, bound = q["id"].to_numpy(), d["id"].to_numpy(), q["bound"].to_numpy()
             kk = min(k, len(y))
-            for at in _steps(len(x), y.nbytes):
-                dist = _distances(x[at], y)
-                dist[qid[at, None] == did[None, :]] = np.inf
-                far = np.minimum(np.partition(dist, kk - 1, axis=1)[:, kk - 1], bound[at])
-                row, col = np.nonzero((dist <= far[:, None]) & np.isfinite(dist))
-                order = np.lexsort((did[col], dist[row, col], row))          # by distance, then id
-                row, col = row[order], col[order]
-                first = np.searchsorted(row, np.arange(len(dist)))
-                best = np.arange(len(row)) - first[row] < kk
-                row, col = row[best], col[best]
-                parts.append((qid[at][row], did[col], dist[row, col]))
+            yy = (y * y).sum(axis=1)
+            for at in _steps(len(x), 32 * len(y)):
+                # squares by one matrix product find the rows whose distances are then taken exactly
+                xs, xx = x[at], (x[at] * x[at]).sum(axis=1)
+                near = xx[:, None] + yy - 2 * (xs @ y.T)
+                room = 16 * x.shape[1] * np.finfo(float).eps * (np.sqrt(xx) + np.sqrt(yy.max())) ** 2
+                near[qid[at, None] == did[None, :]] = np.inf
+                far = np.minimum(np.partition(near, kk - 1, axis=1)[:, kk - 1] + room, bound[at] ** 2 * (1 + SLACK) + room) + room
+                far[np.isnan(far)] = np.inf                                  # squares beyond a double's range
+                row, col = np.nonzero(~(near > far[:, None]) & (qid[at, None] != did[None, :]))
+                dist = np.sqrt(((xs[row] - y[col]) ** 2).sum(axis=1))
+                order = np.lexsort((did[col], dist, row))                    # by distance, then id
+                row, col, dist = row[order], col[order], dist[order]
+                keep = (dist <= bound[at][row]) & np.isfinite(dist)
+                keep &= np.arange(len(row)) - np.searchsorted(row, np.arange(len(xs)))[row] < kk
+                parts.append((qid[at][row[keep]], did[col[keep]], dist[keep]))
         return pd.DataFrame({"id": np.concatenate([p[0] for p in parts]), "nbr": np.concatenate([p[1] for p in parts]),
                              "dist": np.concatenate([p[2] for p in parts])})
 
@@ -75,8 +81,9 @@ def _to_cells(pivots: np.ndarray):
     return run
 
 
-def _other_cells(pivots: np.ndarray, radius: np.ndarray, size: np.ndarray, enough: int, vectors: bool):
-    """A row for every other cell that may hold one of the ``k`` nearest, with the bound of the k-th distance.
+def _other_cells(pivots: np.ndarray, radius: np.ndarray, size: np.ndarray, enough: int, first: int, end: int, vectors: bool):
+    """A row for every cell ``first`` to ``end`` places after the own one (in a circle) that may hold one of the ``k``
+    nearest, with the bound of the k-th distance.
 
     The bound is the k-th distance in the own cell, or the least distance within which whole cells hold
     ``enough`` points.
@@ -92,7 +99,8 @@ def _other_cells(pivots: np.ndarray, radius: np.ndarray, size: np.ndarray, enoug
                 whole = np.where(held[:, -1], np.take_along_axis(reach, by, 1)[np.arange(len(part)), held.argmax(axis=1)], np.inf)
                 bound = np.fmin(part["kth"].to_numpy(dtype=np.float64), whole)
                 may = dist - radius - SLACK * (dist + radius) <= bound[:, None]
-                may[np.arange(len(part)), part["cell"].to_numpy()] = False
+                after = (np.arange(len(pivots)) - part["cell"].to_numpy()[:, None]) % len(pivots)
+                may &= (after >= first) & (after < end)
                 row, cell = np.nonzero(may & (size > 0))
                 out = part[["id", "v"] if vectors else ["id"]].iloc[row]
                 yield out.assign(bound=bound[row], cell=cell.astype(np.int32))
@@ -141,17 +149,23 @@ def knn(points: DataFrame, id_col: str, vec_col: str, k: int, block_rows: int =
         w = Window.partitionBy("id").orderBy("dist", "nbr")
         return cand.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
-    home = cut_lineage(nearest(compare(dealt.select("id", "v", F.lit(float("inf")).alias("bound"), "cell"), size)))
-    if len(pivots) == 1:
-        return home
-    kth = home.where(F.col("rank") == k).select("id", F.col("dist").alias("kth"))
-    bounded = cut_lineage(dealt.drop("r").join(kth, "id", "left"))
-    visits = np.zeros(len(pivots), dtype=np.int64)
-    visit = lambda vectors: _other_cells(pivots, radius, size, k + copies, vectors)
-    for c, n in bounded.mapInPandas(visit(False), f"id {id_type}, bound double, cell int").groupBy("cell").count().collect():
-        visits[c] = n
-    abroad = bounded.mapInPandas(visit(True), f"id {id_type}, v array<double>, bound double, cell int")
-    return nearest(home.drop("rank").unionByName(compare(abroad, visits)))
+    best, held = cut_over(nearest(compare(dealt.select("id", "v", F.lit(float("inf")).alias("bound"), "cell"), size)), None)
+    # every round meets twice the cells of the round before, so what it finds within the bound stays near k a point
+    first = 1
+    while first < len(pivots):
+        kth = best.where(F.col("rank") == k).select("id", F.col("dist").alias("kth"))
+        with shuffles_dropped(p.sparkSession):
+            bounded, folder = cut_over(dealt.drop("r").join(kth, "id", "left"), None)
+            visit = lambda vectors: _other_cells(pivots, radius, size, k + copies, first, 2 * first, vectors)  # noqa: B023, E731
+            visits = np.zeros(len(pivots), dtype=np.int64)
+            for c, n in bounded.mapInPandas(visit(False), f"id {id_type}, bound double, cell int").groupBy("cell").count().collect():
+                visits[c] = n
+            abroad = bounded.mapInPandas(visit(True), f"id {id_type}, v array<double>, bound double, cell int")
+            if visits.any():
+                best, held = cut_over(nearest(best.drop("rank").unionByName(compare(abroad, visits))), held)
+            drop_path(p.sparkSession, folder)
+        first *= 2
+    return best
 
 
 def lof(points: DataFrame, id_col: str, vec_col: str, k: int = 20, block_rows: int = 1024) -> DataFrame:

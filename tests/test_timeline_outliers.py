@@ -193,3 +193,20 @@ def test_spread_of_close_distances_does_not_cancel(spark):
     d = [1e8, 1e8 + 1, 1e8 + 2]
     st = score_stats(spark.createDataFrame([(x,) for x in d], "dist double"))
     assert abs(st.std * max(d) - (2 / 3) ** 0.5) < 1e-6
+
+
+def test_knn_in_rounds_far_from_the_origin(spark, monkeypatch):
+    """Rounds of cells give the exact neighbours where squares cancel, and keep the last round's alone."""
+    import os
+
+    from outlog import session
+    made, path = [], session.scratch_path
+    monkeypatch.setattr(session, "scratch_path", lambda s, name: made.append(path(s, name)) or made[-1])
+    x = np.round(np.random.default_rng(3).normal(size=(150, 3)), 2) + 1e6
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
+    got = {(r["id"], r["rank"]): (r["nbr"], r["dist"]) for r in outliers.knn(df, "id", "v", 4, block_rows=16).collect()}
+    d = np.sqrt(((x[:, None] - x[None]) ** 2).sum(-1))
+    for i in range(150):
+        near = sorted((d[i, j], j) for j in range(150) if j != i)[:4]
+        assert [got[i, r + 1] for r in range(4)] == [(j, v) for v, j in near]
+    assert sum(os.path.isdir(p) for p in made) == 3     # points, points by cell, neighbours

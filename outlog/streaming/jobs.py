@@ -23,11 +23,12 @@ WATERMARK = "30 minutes"
 
 def table_stream(spark: SparkSession, sf_dir: str, table: str, max_files: int | None = None) -> DataFrame:
     """A file stream over one table, a file or a folder of files (schema taken from the batch reader)."""
-    path = f"{sf_dir}/{table}.parquet"
-    r = spark.readStream.schema(spark.read.parquet(path).schema)
+    schema = spark.read.parquet(f"{sf_dir}/{table}.parquet").schema
+    r = spark.readStream.schema(schema)
     if max_files:
         r = r.option("maxFilesPerTrigger", max_files)
-    return r.parquet(path)
+    # a pattern of this one name: a plain path may only be a folder, a pattern meets a file or a folder
+    return r.parquet(f"{sf_dir}/{table}.parque[t]")
 
 
 def run_to_table(stream: DataFrame, name: str, mode: str = "append", partition_by: list[str] | None = None,

@@ -111,6 +111,10 @@ def test_counter_rate_handles_resets(spark):
 def test_a_table_that_is_a_folder_of_files_is_streamed(spark, tmp_path):
     """Every file of the table's folder is read, and no file of another table."""
     spark.range(10).repartition(3).write.parquet(str(tmp_path / "ev.parquet"))
-    spark.range(5).write.parquet(str(tmp_path / "other.parquet"))
+    spark.range(5).coalesce(1).write.parquet(str(tmp_path / "other.parquet"))
     out = jobs.run_to_table(jobs.table_stream(spark, str(tmp_path), "ev"), "folder")
     assert sorted(r[0] for r in out.collect()) == list(range(10))
+    one = tmp_path / "one"
+    one.mkdir()
+    next((tmp_path / "other.parquet").glob("part-*.parquet")).rename(one / "ev.parquet")
+    assert jobs.run_to_table(jobs.table_stream(spark, str(one), "ev"), "file").count() == 5

@@ -143,3 +143,18 @@ def test_moments_do_not_cancel_and_merge_in_groups(spark, monkeypatch):
     df = spark.createDataFrame([(r.tolist(),) for r in x], "v array<double>").repartition(11)
     mean, cov = som.weighted_moments(df, "v")
     assert np.allclose(mean - 1e8, (x - 1e8).mean(0)) and np.allclose(cov, np.cov((x - 1e8).T, bias=True), rtol=1e-6, atol=1e-6)
+
+
+def test_nearest_nodes_are_exact_in_float32_and_few_are_compared():
+    rng = np.random.default_rng(5)
+    for scale, offset, n in ((1, 0, 300), (1e-3, 1e3, 300), (1e-20, 0, 50), (1e20, 0, 50), (1, 1e9, 50)):
+        W = offset + scale * rng.normal(size=(40, 7))
+        W[11] = W[3]
+        X = offset + scale * rng.normal(size=(n, 7))
+        X[:5], X[5] = W[[3, 11, 3, 0, 39]], (W[1] + W[2]) / 2
+        d2 = ((X[:, None, :] - W[None, :, :]) ** 2).sum(axis=2)
+        bmu, dist = som._bmu_block(X, W, "euclidean", 64)
+        assert (bmu == d2.argmin(axis=1)).all() and (dist == np.sqrt(d2.min(axis=1))).all()
+    W, X = rng.normal(size=(576, 25)), rng.normal(size=(200, 25))
+    row, _ = som._near_nodes(W)(X)
+    assert (np.unique(row) == np.arange(200)).all() and len(row) < 220

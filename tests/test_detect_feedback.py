@@ -122,3 +122,25 @@ def test_infer_retrains_on_unseen_templates(spark):
     assert det.vocab_size == before + 1 and p.count() == 2
     first = SomDetector(cfg=cfg, encoder="hash").fit(train).predict(new, ["doc_id", "line_no"], "b")
     assert det.model_version == "v1.1" and not {r.predict_id for r in p.collect()} & {r.predict_id for r in first.collect()}
+
+
+def test_scores_meet_lines_without_templates_or_messages_being_moved(spark):
+    from outlog.operators import encoder as enc
+    from outlog.sources.logs import document_lines
+    docs = spark.createDataFrame([(1, "s", "alpha 1\nbeta\n\nalpha 2\n77"), (2, "t", "gamma\nbeta 3\n8"), (3, "t", ""), (4, "t", None)],
+                                 "doc_id long, source string, text string")
+    lines, sentences = document_lines(docs), enc.document_sentences(docs)
+    cfg = DetectorConfig(map_rows=2, map_cols=2, epochs=2, som_init="frequent", vector_length=4, threshold_factor=0.0)
+    fp = spark.createDataFrame([("gamma",), ("beta",), ("gamma",)], "message string")
+    dets = [SomDetector(cfg=cfg).fit(lines, sentences, whole=w) for w in (False, True)]
+    preds = [d.predict(lines, ["doc_id", "line_no"], "b", fp, training=True) for d in dets]
+    rows = [sorted(map(tuple, p.collect())) for p in preds]
+    assert rows[0] == rows[1] and len(rows[0]) == lines.count() and preds[0].columns == preds[1].columns
+    assert {r[3] for r in map(tuple, preds[1].where("suppressed = 1").select("doc_id", "line_no", "template", "message").collect())} <= {"gamma", "beta"}
+    assert preds[1].where("suppressed = 1").count() > 0
+    counts = {r.word: r.n for r in enc.counted_vectors(sentences, 4).collect()}
+    assert counts == {"alpha": 2, "beta": 2, "gamma": 1, "": 2}
+    plan = preds[1].select("doc_id", "anomaly")._jdf.queryExecution().optimizedPlan().toString()
+    join = plan[plan.index("Join LeftOuter, (__key"):]
+    moved = join.splitlines()[1]
+    assert "message" not in moved.split("[", 1)[1].split(" AS ")[0] and "template" not in moved.split("[", 1)[1].split(" AS ")[0]

@@ -169,6 +169,23 @@ def test_tfidf_neighbours_are_exact(spark, monkeypatch, rare, chunk):
     assert tfidf.nearest(nothing, 4).count() == 0
 
 
+def test_tfidf_neighbours_write_no_pairs_of_rows(spark, monkeypatch):
+    """Equal rows and a word of every row: no table written on the way is longer than the postings."""
+    sizes, cut = [], tfidf.cut_lineage
+
+    def noted(df):
+        out = cut(df)
+        sizes.append(out.count())
+        return out
+
+    monkeypatch.setattr(tfidf, "cut_lineage", noted)
+    docs = {i: ["the", "same"] if i % 2 else ["the", f"w{i % 20}"] for i in range(300)}
+    index = tfidf.postings(spark.createDataFrame([(i, w) for i, ws in docs.items() for w in ws], "id long, term string"), "id", "term")
+    got = tfidf.nearest(index, 4).collect()
+    assert sorted((r.query_id, r.rank, r.id, r.similarity) for r in got) == brute_neighbours(docs, 4)
+    assert max(sizes) <= 2 * len(docs)
+
+
 # ---- topics ---------------------------------------------------------------------------------------------
 
 def test_digamma():

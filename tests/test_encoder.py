@@ -1,4 +1,7 @@
+import collections
+
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import Window, functions as F
 
@@ -113,3 +116,19 @@ def test_counts_and_vectors_of_one_written_join(spark):
     assert sorted(map(tuple, encoded.select("template", "n", "vector").collect()), key=key) == sorted(
         map(tuple, want.select("template", "n", "vector").collect()), key=key)
     assert sorted(map(tuple, known.collect()), key=key) == sorted(map(tuple, vectors.collect()), key=key)
+
+
+def test_pair_counts_travel_once_per_word(spark, monkeypatch):
+    """Frequent words dealt out, few lines at once, nulls, empty and one-word sentences: as by every pair; rows shuffled are words, not pairs."""
+    sents = [[f"w{(i * j) % 23}" if j % 3 else "hot" for j in range(i % 40)] for i in range(60)] + [None, [], ["hot"], ["x", None, "y"]]
+    df = spark.createDataFrame([(i, s) for i, s in enumerate(sents)], "doc_id long, sentence array<string>")
+    want = collections.Counter((s[i], s[j]) for s in sents if s for i in range(len(s)) for j in range(i + 1, min(len(s), i + 5)))
+    for lines in (1, 64, 1 << 16):
+        monkeypatch.setattr(enc, "LINES_AT_ONCE", lines)
+        got = enc.cooccurrence_counts(df, 4).collect()
+        assert {(r.word, r.context): r.n for r in got} == want and len(got) == len(want)
+    flat = pa.array([s for s in sents if s])
+    rows = enc._pair_counts(flat, flat.value_lengths().to_numpy(), 4, {"hot"}).to_pylist()
+    grouped = collections.Counter(r["word"] for r in rows)
+    assert 1 < grouped.pop("hot") <= enc.HOT_PARTS and set(grouped.values()) == {1}
+    assert {(r["word"], c): n for r in rows for c, n in zip(r["contexts"], r["counts"])} == want

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import PCA, StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
@@ -14,19 +16,32 @@ def _vec(df: DataFrame, vec_col: str) -> DataFrame:
     return df.withColumn("features", array_to_vector(F.col(vec_col).cast("array<double>")))
 
 
+FITS_AT_ONCE = 4     # fits side by side; each keeps its own copy of the vectors in Spark's cache
+
+
+def _fits(df: DataFrame, vec_col: str, tried: list[tuple[int, int]], measure: str, max_iter: int) -> list[tuple]:
+    """(model, training cost) of every (k, seed), several at a time: the short jobs of one fit fill the gaps of another.
+
+    The table is not cached here: KMeans then keeps the vectors with their norms for its iterations itself.
+    """
+    from pyspark import inheritable_thread_target
+
+    data = _vec(df, vec_col).select("features")
+
+    def fit(k: int, seed: int) -> tuple:
+        m = KMeans(k=k, seed=seed, maxIter=max_iter, distanceMeasure=measure, initMode="k-means||",
+                   featuresCol="features").fit(data)
+        return m, m.summary.trainingCost
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        running = [pool.submit(inheritable_thread_target(df.sparkSession)(fit), k, seed) for k, seed in tried]
+        return [r.result() for r in running]
+
+
 def fit_kmeans(df: DataFrame, vec_col: str, k: int, seeds=(1,), measure: str = "euclidean",
                max_iter: int = 300):
     """Best of several k-means++ (k-means||) restarts by training cost."""
-    data = _vec(df, vec_col).select("features").cache()
-    best = None
-    for s in seeds:
-        m = KMeans(k=k, seed=s, maxIter=max_iter, distanceMeasure=measure, initMode="k-means||",
-                   featuresCol="features").fit(data)
-        cost = m.summary.trainingCost
-        if best is None or cost < best[1]:
-            best = (m, cost)
-    data.unpersist()
-    return best
+    return min(_fits(df, vec_col, [(k, s) for s in seeds], measure, max_iter), key=lambda f: f[1])
 
 
 def kmeans_assign(df: DataFrame, vec_col: str, k: int, seeds=(1,), measure: str = "euclidean") -> DataFrame:
@@ -40,15 +55,14 @@ def cluster_sizes(assigned: DataFrame) -> DataFrame:
 
 def elbow(df: DataFrame, vec_col: str, ks=range(1, 10), seeds=(1,)) -> DataFrame:
     """Within-cluster sum of squares for each k (k = 1 is the total scatter)."""
-    rows = []
-    for k in ks:
-        if k == 1:
-            mean, cov = weighted_moments(df, vec_col)
-            n = df.count()
-            rows.append((1, float(cov.trace() * n)))
-        else:
-            rows.append((k, float(fit_kmeans(df, vec_col, k, seeds)[1])))
-    return df.sparkSession.createDataFrame(rows, "k int, cost double")
+    tried = [(k, s) for k in ks if k > 1 for s in seeds]
+    costs: dict[int, float] = {}
+    for (k, _), (_, cost) in zip(tried, _fits(df, vec_col, tried, "euclidean", 300), strict=True):
+        costs[k] = min(cost, costs.get(k, cost))
+    if 1 in ks:
+        _, cov = weighted_moments(df, vec_col)
+        costs[1] = cov.trace() * df.count()
+    return df.sparkSession.createDataFrame([(k, float(costs[k])) for k in ks], "k int, cost double")
 
 
 def pca_fit(df: DataFrame, vec_col: str, k: int = 2, standardise: bool = True):

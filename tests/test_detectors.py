@@ -4,13 +4,14 @@ import collections
 import itertools
 import math
 import os
+import threading
 
 import numpy as np
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from outlog.operators import invariants, lda, sgns, subspace, tfidf
+from outlog.operators import cluster, invariants, lda, sgns, subspace, tfidf
 
 
 def topic_pairs(spark):
@@ -186,6 +187,26 @@ def test_tfidf_neighbours_write_no_pairs_of_rows(spark, monkeypatch):
     assert max(sizes) <= 2 * len(docs)
 
 
+def test_elbow_fits_run_side_by_side(spark, monkeypatch):
+    """At least two fits are under way at once, and costs are those of fits one by one."""
+    rng = np.random.default_rng(3)
+    df = spark.createDataFrame([(rng.normal(size=3).tolist(),) for _ in range(200)], "v array<double>").repartition(3).cache()
+    alone = {k: cluster.fit_kmeans(df, "v", k)[1] for k in (2, 3, 4)}
+    fit, met = cluster.KMeans.fit, threading.Barrier(2)
+
+    def noted(self, data):
+        if self.getK() < 4:
+            met.wait(60)
+        return fit(self, data)
+
+    monkeypatch.setattr(cluster.KMeans, "fit", noted)
+    got = {r.k: r.cost for r in cluster.elbow(df, "v", range(1, 5)).collect()}
+    assert sorted(got) == [1, 2, 3, 4] and all(np.isclose(got[k], alone[k], rtol=1e-9) for k in alone)
+    x = np.array([r.v for r in df.collect()])
+    assert np.isclose(got[1], ((x - x.mean(axis=0)) ** 2).sum())
+    df.unpersist()
+
+
 # ---- topics ---------------------------------------------------------------------------------------------
 
 def test_digamma():

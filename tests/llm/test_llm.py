@@ -494,6 +494,66 @@ def test_lm_scores(spark, sf_small, odd, nothing, docs):
     assert lm.score(nothing, F.lit(True)).count() == 0
 
 
+def test_lm_score_learns_from_training_rows(spark):
+    """The score against EM and the discounted counts taken word by word; held-out rows come near ``base_score``."""
+    rng = np.random.default_rng(3)
+    known, seen = ["the", "ntion", "heble", "eathwh", "日本", "日本語", "é|", "rerea"], ["".join(rng.choice(["th", "eng", "wh", "on", "日"], 3)) for _ in range(60)]
+    texts = [" ".join(rng.choice([*known * 8, *seen], 40)) + "\n" + "".join(rng.choice(["th", "eng", "on"], 4)) for _ in range(60)]
+    texts += [None, " \n", "Æ😀" * 40 + " x" * 3, "wh" * 4000]
+    df = spark.createDataFrame([(i, t, i % 10 != 0) for i, t in enumerate(texts)], "doc_id long, text string, train boolean")
+    toks = {i: WORD.findall(lower(t)) if t else [] for i, t in enumerate(texts)}
+    count = collections.Counter(w for i, ws in toks.items() if i % 10 for w in ws)
+    ends = sum(i % 10 != 0 for i in toks)
+    n, v = sum(count.values()) + ends, len(count) + 1
+    pieces, logs, byte_logs, _ = lm.load_pieces()
+    number = {p: k for k, p in enumerate(pieces)}
+    first = np.append(np.exp(logs), 256 * math.exp(byte_logs[0]))
+    first /= first.sum()
+
+    def sums(w, p):
+        """log of the word's marginal, and how often it uses each piece (the last: bytes)."""
+        s = "▁" + w
+        into = [[(i, number[s[i:j]], 1) for i in range(max(0, j - 16), j) if s[i:j] in number] for j in range(len(s) + 1)]
+        for j, c in enumerate(s, 1):
+            if c not in number:
+                into[j].append((j - 1, len(pieces), len(c.encode())))
+        weight = lambda k, m: (math.log(p[-1] / 256) * m if k == len(pieces) else math.log(p[k]))
+        a, b = [0.0] + [-math.inf] * len(s), [-math.inf] * len(s) + [0.0]
+        for j in range(1, len(s) + 1):
+            a[j] = np.logaddexp.reduce([a[i] + weight(k, m) for i, k, m in into[j]])
+        for j in range(len(s), 0, -1):
+            for i, k, m in into[j]:
+                b[i] = np.logaddexp(b[i], b[j] + weight(k, m))
+        return a[-1], [(k, m * math.exp(a[i] + weight(k, m) + b[j] - a[-1])) for j in range(1, len(s) + 1) for i, k, m in into[j]]
+
+    p = first
+    for _ in range(lm.ROUNDS):
+        uses = first * len(first)
+        for w in count:
+            for k, x in sums(w, p)[1]:
+                uses[k] += x
+        p = uses / uses.sum()
+    once, twice = (sum(c == k for c in count.values()) for k in (1, 2))
+    d = (once + 1) / (once + 2 * twice + 2)
+    memo = {}
+
+    def of(w):
+        if w not in memo:
+            spelt = sums(w, p)[0] + math.log(d * v / n)
+            memo[w] = np.logaddexp(math.log((count[w] - d) / n), spelt) if count[w] else spelt
+        return memo[w]
+
+    rows = lm.score(df, F.col("train")).collect()
+    assert len(rows) == len(texts)
+    for r in rows:
+        want = (sum(of(w) for w in toks[r.doc_id]) + math.log((ends - d) / n)) / math.log(10)
+        assert math.isclose(r.score, want, rel_tol=1e-9), r.doc_id
+    held = [r for r in rows if not r.train and r.doc_id < 60]
+    assert held and all(math.isfinite(r.score) and r.score > 1.2 * r.base_score for r in held)
+    untrained = {r.doc_id: r.score for r in lm.score(df, F.lit(False)).collect()}
+    assert all(map(math.isfinite, untrained.values()))
+
+
 def test_suffix_dedup(spark, sf_small, odd, nothing, docs, monkeypatch):
     truth = cut_truth({k: r.text for k, r in docs.items()})
     got = {r.doc_id: tuple(r[1:]) for r in queries.op10_suffix_dedup(spark, sf_small).collect()}

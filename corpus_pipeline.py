@@ -85,7 +85,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Ids of every text beside the columns of documents, and the text they decode to."""
     drop_finished_shuffles(spark)
-    return bpe.decode(bpe.encode(docs))
+    return bpe.encode_decode(docs)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [

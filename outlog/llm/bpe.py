@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import unicodedata
+from collections.abc import Callable, Iterator
 from itertools import chain
 
 import numpy as np
@@ -20,7 +21,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
-from .common import bounded_batches, slices, spread
+from .common import bounded_batches, gives_back, slices, spread
 
 TOKENIZER = "word_bpe_49k.json"
 # Fixed values of the vocabulary file's normalizer and pre-tokenizer.
@@ -217,15 +218,7 @@ def load(spark: SparkSession, path: str | None = None):
         return spark.sparkContext.broadcast(f.read())
 
 
-def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:
-    """Add ``ids_col`` (array<int>): the ids of every whole text, no special tokens added.
-
-    Null and empty texts get an empty array; the strings of special tokens in a text give their
-    ids.  Other columns pass through; one named ``ids_col`` is replaced.
-    """
-    spec = load(df.sparkSession, path)
-    df = df.drop(ids_col) if ids_col in df.columns else df
-
+def _encoding(spec, text_col: str, ids_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         enc = _Encoder(Bpe(spec.value))
         for whole in batches:
@@ -234,18 +227,10 @@ def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: st
                 ids = pa.ListArray.from_arrays(pa.array(offsets.astype(np.int32)), pa.array(flat))
                 yield pa.RecordBatch.from_arrays([*b.columns, ids], [*b.schema.names, ids_col])
 
-    return bounded_batches(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]))
+    return run
 
 
-def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str | None = None) -> DataFrame:
-    """Add ``out_col``: the tokens of the ids joined by single spaces (special tokens included).
-
-    The vocabulary has no decoder of its own, so end-of-word marks stay.  Empty or null ids give
-    the empty text; an id outside the vocabulary gives no token.
-    """
-    spec = load(df.sparkSession, path)
-    df = df.drop(out_col) if out_col in df.columns else df
-
+def _decoding(spec, ids_col: str, out_col: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         tokens = np.array([*Bpe(spec.value).tokens, None], object)
         for whole in batches:
@@ -262,4 +247,38 @@ def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path:
                 out = pa.array(texts, pa.string())
                 yield pa.RecordBatch.from_arrays([*b.columns, out], [*b.schema.names, out_col])
 
-    return bounded_batches(df).mapInArrow(run, T.StructType([*df.schema.fields, T.StructField(out_col, T.StringType())]))
+    return run
+
+
+def encode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", path: str | None = None) -> DataFrame:
+    """Add ``ids_col`` (array<int>): the ids of every whole text, no special tokens added.
+
+    Null and empty texts get an empty array; the strings of special tokens in a text give their
+    ids.  Other columns pass through; one named ``ids_col`` is replaced.
+    """
+    spec = load(df.sparkSession, path)
+    df = df.drop(ids_col) if ids_col in df.columns else df
+    fields = [*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType()))]
+    return bounded_batches(df).mapInArrow(gives_back(_encoding(spec, text_col, ids_col)), T.StructType(fields))
+
+
+def decode(df: DataFrame, ids_col: str = "ids", out_col: str = "decoded", path: str | None = None) -> DataFrame:
+    """Add ``out_col``: the tokens of the ids joined by single spaces (special tokens included).
+
+    The vocabulary has no decoder of its own, so end-of-word marks stay.  Empty or null ids give
+    the empty text; an id outside the vocabulary gives no token.
+    """
+    spec = load(df.sparkSession, path)
+    df = df.drop(out_col) if out_col in df.columns else df
+    fields = [*df.schema.fields, T.StructField(out_col, T.StringType())]
+    return bounded_batches(df).mapInArrow(gives_back(_decoding(spec, ids_col, out_col)), T.StructType(fields))
+
+
+def encode_decode(df: DataFrame, text_col: str = "text", ids_col: str = "ids", out_col: str = "decoded",
+                  path: str | None = None) -> DataFrame:
+    """``decode`` of ``encode`` in one pass, so a task has one Python worker and not one for each."""
+    spec = load(df.sparkSession, path)
+    df = df.drop(*[c for c in (ids_col, out_col) if c in df.columns])
+    there, back = _encoding(spec, text_col, ids_col), _decoding(spec, ids_col, out_col)
+    fields = [*df.schema.fields, T.StructField(ids_col, T.ArrayType(T.IntegerType())), T.StructField(out_col, T.StringType())]
+    return bounded_batches(df).mapInArrow(gives_back(lambda batches: back(there(batches))), T.StructType(fields))

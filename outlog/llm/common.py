@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -72,6 +75,24 @@ def join_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str,
         .unionByName(rest)
 
 
+def gives_back(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, a pass of ``mapInArrow``, whose freed memory goes back to the system when a task ends.
+
+    Spark keeps Python workers for later tasks, and a worker keeps what its allocators have freed: the tables of
+    one step would stand beside those of the next, and beside a JVM that needs them.
+    """
+    @functools.wraps(run)
+    def passes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            with contextlib.suppress(OSError, AttributeError):  # other C libraries have no malloc_trim
+                ctypes.CDLL(None).malloc_trim(0)
+
+    return passes
+
+
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 
 

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import broadcast_if_small
-from .common import bounded_batches, slices
+from .common import bounded_batches, gives_back, slices
 
 TRAIN_DOCS = 1500  # labelled rows the fit reads, shared evenly by the languages
 LABEL_DOCS = 50  # rows a language has in the fit at least, as far as there are any
@@ -45,7 +45,7 @@ SWITCHED = 0.25  # segments that the fit also sees followed by a segment of anot
 UNKNOWN = "und"
 _LETTERS = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 200_000
-SLICE_CHARS = 3 << 19
+SLICE_CHARS = 1 << 20
 
 
 @dataclass(frozen=True)
@@ -333,6 +333,7 @@ def predict(df: DataFrame, crf: Crf, text_col: str = "text", pred_col: str = "la
     if sure_col:
         fields.append(T.StructField(sure_col, T.DoubleType()))
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = Crf(**model.value)
         words, scores = _Words(m.lexicon), []

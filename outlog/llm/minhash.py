@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import bounded_batches, contiguous_groups, slices, tasks
+from .common import bounded_batches, contiguous_groups, gives_back, slices, tasks
 
 N_HASHES, BAND_ROWS = 128, 4
 SEED = 20240229
@@ -99,6 +99,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
     """Per row: ``id``, ``n`` (set size), ``key`` (digest of the set, null if empty), ``sig`` (16 bits
     of each minimum) and ``bag`` (16 bits of each shingle's hash)."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         a, b = _universal()
         known = _WordHash()
@@ -124,6 +125,7 @@ def signatures(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFra
 def band_rows(sigs: DataFrame) -> DataFrame:
     """``bucket`` (hash of a band's minima, the band's number in its low bits) and ``id``."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = N_HASHES // BAND_ROWS
         for b in batches:
@@ -154,6 +156,7 @@ def agreeing(pairs: DataFrame, sigs: DataFrame, percent: int) -> DataFrame:
     both = (pairs.join(sigs.select(F.col("id").alias("u"), F.col("sig").alias("a")), "u")
             .join(sigs.select(F.col("id").alias("v"), F.col("sig").alias("b")), "v"))
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
@@ -196,6 +199,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
 def packed_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id and compressed whole text of the rows whose id is wanted, written out."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         for whole in batches:
@@ -214,6 +218,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, width: int, percent: int) -> Dat
     right = texts.select(F.col("id").alias("v"), F.col("body").alias("b"))
     full = pairs.join(left, "u").join(right, "v")
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack, known = zstandard.ZstdDecompressor(), OrderedDict()
 
@@ -266,6 +271,7 @@ def likely_pairs(members: DataFrame, sigs: DataFrame, partners: int, percent: in
     keys = ["bucket", "i", "j"]
     tiles = lefts.unionByName(rights).repartition(tasks(members), *keys).sortWithinPartitions(*keys, "side", "id")
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = np.zeros(1 << 16, bool)
         for t in contiguous_groups(batches, keys):

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, Window as W
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from .common import hex_prefix, null_key, shuffle_key, word_spans, words
+from .common import gives_back, hex_prefix, null_key, shuffle_key, word_spans, words
 
 WEIGHTS = (5, 2, 1)  # by code point of the source, null last, repeating
 MAX_EPOCHS = 3  # a target stops at this many times its source's size
@@ -167,6 +167,7 @@ def slots(spark, mix: Mix) -> DataFrame:
     first = np.cumsum(mix.counts, axis=0) - mix.counts  # slots of the source in earlier shards
     n_blocks, seed = np.array(mix.blocks, np.int64), mix.seed
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             i = b["id"].to_numpy()
@@ -247,6 +248,7 @@ def mixed_rows(rows: DataFrame, placed: DataFrame, mix: Mix, text_col: str = "te
                 runs.append([s["lo"], s["hi"]])
         return "\n".join(text[at[lo][0]:at[hi - 1][1]] for lo, hi in runs)
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for k in range(0, whole.num_rows, 256):

@@ -40,7 +40,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..session import cut_lineage, scratch_path
-from .common import contiguous_groups, slices, spread, tasks, whole_runs
+from .common import contiguous_groups, gives_back, slices, spread, tasks, whole_runs
 
 WIDTH = 100
 PIECE = 32
@@ -222,6 +222,7 @@ def hold(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     rows = df.select(F.coalesce(F.col(id_col).cast("long"), F.lit(LAST)).alias("id"), F.col(text_col).alias("text"),
                      F.struct(*rest).alias("extra"))
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         z = zstandard.ZstdCompressor(level=3)
         block, row, held = TaskContext.get().partitionId() << 24, 0, 0
@@ -266,6 +267,7 @@ def _firsts(h, c, ids, lo) -> tuple[np.ndarray, np.ndarray]:
 def block_contexts(held: DataFrame, width: int) -> DataFrame:
     """block, h, c, id, at: the first occurrence of every distinct (anchor, context) of a block."""
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for t in contiguous_groups(batches, ["block"]):
             row, h, c, lo, _ = block_anchors(_texts(t), width)
@@ -383,6 +385,7 @@ def compared(opened: DataFrame, width: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(place[r, 0] if len(r) else r), pa.array((place[r, 1] if len(r) else r).astype(np.int32)), pa.array(a), pa.array(z)],
                                           ["block", "row", "begin", "finish"])
 
+    @gives_back
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for t in whole_runs(batches, "key"):

@@ -494,6 +494,32 @@ def test_lm_scores(spark, sf_small, odd, nothing, docs):
     assert lm.score(nothing, F.lit(True)).count() == 0
 
 
+def test_pipeline_workers(spark, odd):
+    """The last stage has one Python worker a task; a pass gives its memory back at its end, ended early or not."""
+    import corpus_pipeline as cp
+
+    both = cp.encode(spark, odd, "")
+    assert both._jdf.queryExecution().analyzed().toString().count("MapInArrow") == 1
+    assert sorted(map(repr, both.collect())) == sorted(map(repr, bpe.decode(bpe.encode(odd)).collect()))
+    ended = []
+
+    def twice(batches):
+        kept = pa.array(np.arange(1 << 20))
+        try:
+            for b in batches:
+                yield b
+                yield b
+        finally:
+            ended.append(len(kept))
+
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2])], ["x"])
+    assert [b.num_rows for b in common.gives_back(twice)(iter([batch, batch]))] == [2] * 4
+    some = common.gives_back(twice)(iter([batch]))
+    next(some)
+    some.close()
+    assert ended == [1 << 20] * 2
+
+
 def test_lm_score_learns_from_training_rows(spark):
     """The score against EM and the discounted counts taken word by word; held-out rows come near ``base_score``."""
     rng = np.random.default_rng(3)

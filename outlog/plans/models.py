@@ -13,6 +13,7 @@ from .pipeline import SomDetector, flagship
 from .queries import R, emb_df
 
 SEEDS = (1, 2, 3)
+ELBOW_SEEDS = tuple(range(1, 11))      # the restarts of every point of the curve, as by default there
 
 
 def _r(c, name):
@@ -122,7 +123,7 @@ def q_kmeans_centre_distances(spark, d):
 
 
 def q_elbow(spark, d):
-    return cluster.elbow(emb_df(spark, d), "v", range(1, 10), seeds=(1,))
+    return cluster.elbow(emb_df(spark, d), "v", range(1, 10), seeds=ELBOW_SEEDS)
 
 
 def q_pca_variance(spark, d):

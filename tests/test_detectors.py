@@ -12,6 +12,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from outlog.operators import cluster, invariants, lda, sgns, subspace, tfidf
+from outlog.plans import models
 
 
 def topic_pairs(spark):
@@ -207,6 +208,14 @@ def test_elbow_fits_run_side_by_side(spark, monkeypatch):
     df.unpersist()
 
 
+def test_every_point_of_the_elbow_is_the_best_of_ten_restarts(spark, sf_small, monkeypatch):
+    tried = []
+    monkeypatch.setattr(cluster, "_fits", lambda df, v, ks, *a: tried.extend(ks) or [(None, 100.0 * k - s) for k, s in ks])
+    costs = {r.k: r.cost for r in models.q_elbow(spark, sf_small).collect()}
+    assert sorted(tried) == [(k, s) for k in range(2, 10) for s in range(1, 11)]
+    assert sorted(costs) == list(range(1, 10)) and all(costs[k] == 100.0 * k - 10 for k in range(2, 10))
+
+
 # ---- topics ---------------------------------------------------------------------------------------------
 
 def test_digamma():

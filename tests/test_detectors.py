@@ -62,6 +62,51 @@ def test_every_pair_is_trained_once_an_epoch(spark, monkeypatch):
     assert abs(loss.first().loss - math.log(2)) < 1e-12
 
 
+def test_draws_follow_the_pairs_of_a_cell():
+    """Rows without a pair in a cell draw only as often as they expect negatives there."""
+    taken = []
+
+    class Rng:
+        def __init__(self):
+            self.rng = np.random.default_rng(1)
+
+        def __getattr__(self, name):
+            return getattr(self.rng, name)
+
+        def permutation(self, n):
+            taken.append(n)
+            return self.rng.permutation(n)
+
+    rows, cols, n = np.arange(10), np.arange(10), np.ones(10)
+    args = np.zeros((1000, 4)), np.zeros(1000), np.zeros((20, 4)), np.zeros(20), np.ones(20), 0.01, np.ones(1000)
+    sgns.train_cell(*args, rows, cols, n, 5, 0.1, Rng())
+    assert 60 <= sum(taken) < 300
+
+
+def test_a_cell_is_trained_in_parts(monkeypatch):
+    """Cells of many pairs draw part by part; every pair is met once."""
+    monkeypatch.setattr(sgns, "PAIRS_AT_ONCE", 7)
+    rows = np.arange(50) % 10
+    loss = sgns.train_cell(np.zeros((10, 2)), np.zeros(10), np.zeros((5, 2)), np.zeros(5), np.ones(5), 1.0, np.full(10, 5.0), rows,
+                           np.arange(50) % 5, np.ones(50), 2, 0.0, np.random.default_rng(1))
+    assert np.isclose(loss, 150 * math.log(2))
+
+
+def test_parameters_lie_packed_between_turns(spark, monkeypatch):
+    made = []
+    cut = sgns.cut_over
+
+    def noted(df, old):
+        out = cut(df, old)
+        if "vec" in df.columns:
+            made.append(out[0].count())
+        return out
+
+    monkeypatch.setattr(sgns, "cut_over", noted)
+    sgns.train(topic_pairs(spark), dim=2, epochs=1, block_keys=12)     # 32 rows and 20 columns in three blocks
+    assert len(made) == 4 and made[0] == 6 and made[1:] == [9, 9, 9]
+
+
 def test_embeddings_of_odd_pairs(spark):
     df = spark.createDataFrame([(None, "x", 1), ("w:a", None, 1), ("w:a", "x", 1), ("w:a", "x", 2)], "row string, col string, n long")
     rows, cols, _ = sgns.train(df, dim=2, epochs=1)

@@ -58,6 +58,42 @@ def test_word2vec_is_deterministic_and_finds_neighbours(spark):
     assert set(top) == {"beta", "gamma"}
 
 
+def test_word2vec_keeps_its_vocabulary_off_the_driver(spark, monkeypatch):
+    """Spark's Word2Vec, which holds it there, is not used; words without neighbours have vectors, too; rare words are left out."""
+    def refused(*a, **k):
+        raise AssertionError("vocabulary on the driver")
+
+    monkeypatch.setattr("pyspark.ml.feature.Word2Vec.__init__", refused)
+    rows = [(["a", "b", "a", "b"],), (["alone"],), (None,), ([],), (["a", "rare", "b"],), (["alone"],)]
+    s = spark.createDataFrame(rows, "sentence array<string>")
+    model, v = enc.fit_word2vec(s, vector_length=3, window=2, min_count=2, max_iter=2, partitions=3)
+    got = {r.word: r.vector for r in v.collect()}
+    assert sorted(got) == ["a", "alone", "b"] and all(len(x) == 3 and all(np.isfinite(x)) and any(x) for x in got.values())
+    assert model.loss.count() == 2 and sorted(r.word for r in model.contexts.collect()) == ["a", "b"]
+    with pytest.raises(ValueError):
+        enc.fit_word2vec(s.where("sentence is null"))
+
+
+def test_codes_sort_as_the_words_and_sentences_keep_their_order(spark):
+    words = ["", "b", "a", "Z", "aa", "ab", "zz", "B"] + [f"w{i}" for i in range(100)]
+    codes = enc.word_codes(spark.createDataFrame([(w,) for w in words], "word string").repartition(5))
+    got = {r.word: r.code for r in codes.collect()}
+    assert sorted(words) == sorted(words, key=got.get) and len(set(got.values())) == 108 and {len(c) for c in got.values()} == {7}
+    rows = [(["b", "a", "b", None, "nobody"],), (None,), ([],), (words,), (words,)]
+    coded = enc.coded_sentences(spark.createDataFrame(rows, "sentence array<string>"), codes)
+    assert sorted(r.sentence for r in coded.collect()) == sorted([[got[w] for w in s] for s in (["b", "a", "b"], words, words)])
+
+
+@pytest.mark.parametrize("at_once", [1, 1000])
+def test_pair_similarity_in_rounds(spark, monkeypatch, at_once):
+    monkeypatch.setattr(enc, "ROUND_PAIRS", at_once)
+    vec = {"a": [1.0, 0.0], "b": [1.0, 1.0], "c": [0.0, 0.0]}
+    pairs = [("a", "b", 1), ("a", "b", 2), ("b", "b", 1), ("a", "c", 1), ("a", "gone", 1), (None, "a", 1)] + [("b", "a", 1)] * 5
+    r = enc.pair_similarity(spark.createDataFrame(pairs, "word string, context string, offset int"),
+                            spark.createDataFrame(list(vec.items()), "word string, vector array<double>")).first()
+    assert r.pairs == 9 and np.isclose(r.mean_pair_similarity, (7 * 0.5 ** 0.5 + 1) / 8)
+
+
 def test_similar_words_brute_force(spark):
     rng = np.random.default_rng(1)
     X = rng.normal(size=(40, 6))

@@ -233,6 +233,23 @@ def test_tfidf_neighbours_write_no_pairs_of_rows(spark, monkeypatch):
     assert max(sizes) <= 2 * len(docs)
 
 
+@pytest.mark.parametrize("chunk", [20, 9])
+def test_tfidf_blocks_meet_in_rounds(spark, monkeypatch, chunk):
+    """An even and an odd number of blocks, one distance a round: exact, and no round moves a row more than twice."""
+    monkeypatch.setattr(tfidf, "CHUNK", chunk)
+    monkeypatch.setattr(tfidf, "ROUND_POSTINGS", 1)
+    rng = np.random.default_rng(8)
+    docs = {i: [f"t{x}" for x in rng.zipf(1.4, rng.integers(1, 12)).clip(max=60).tolist()] for i in range(77)}
+    made, cut = [], tfidf.cut_over
+    monkeypatch.setattr(tfidf, "cut_over", lambda df, old: made.append(cut(df, old)) or made[-1])
+    index = tfidf.postings(spark.createDataFrame([(i, w) for i, ws in docs.items() for w in ws], "id long, term string"), "id", "term")
+    got = tfidf.nearest(index, 3)
+    assert sorted((r.query_id, r.rank, r.id, r.similarity) for r in got.collect()) == brute_neighbours(docs, 3)
+    blocks = max(tfidf.LEAST_BLOCKS, -(-77 // chunk))
+    assert len(made) == 2 + blocks // 2 + 1        # counts, terms, the best after every round
+    assert [os.path.isdir(path.removeprefix("file:")) for _, path in made] == [False] * (len(made) - 1) + [True]
+
+
 def test_elbow_fits_run_side_by_side(spark, monkeypatch):
     """At least two fits are under way at once, and costs are those of fits one by one."""
     rng = np.random.default_rng(3)

@@ -210,3 +210,23 @@ def test_knn_in_rounds_far_from_the_origin(spark, monkeypatch):
         near = sorted((d[i, j], j) for j in range(150) if j != i)[:4]
         assert [got[i, r + 1] for r in range(4)] == [(j, v) for v, j in near]
     assert sum(os.path.isdir(p) for p in made) == 3     # points, points by cell, neighbours
+
+
+def test_knn_moves_points_once_a_group_and_meets_shards_in_rounds(spark, monkeypatch):
+    """Small groups and shards: exact, a round moves each packed block once for each of a shard's groups, repeated ids share a list."""
+    monkeypatch.setattr(outliers, "GROUPS", 6)
+    monkeypatch.setattr(outliers, "SHARD_BYTES", 2 * 8 * 4 * 20)
+    monkeypatch.setattr(outliers, "BLOCK_ROWS", 1)
+    monkeypatch.setattr(outliers, "HELD", 1)
+    rounds, cut = [], outliers.cut_over
+    monkeypatch.setattr(outliers, "cut_over", lambda df, old, **o: rounds.append(old) or cut(df, old, **o))
+    x = np.random.default_rng(6).normal(size=(118, 4))
+    x[40:60] = x[40]
+    rows = [(i, v.tolist()) for i, v in enumerate(x)] + [(5, x[6].tolist()), (5, x[5].tolist())]
+    df = spark.createDataFrame(rows, "id long, v array<double>")
+    got = {(r["id"], r["rank"]): (r["nbr"], r["dist"]) for r in outliers.knn(df, "id", "v", 7, block_rows=8).collect()}
+    assert len(rounds) == 2 + 3 and len(got) == 118 * 7
+    for i in range(118):
+        near = sorted((float(np.sqrt(((np.array(a) - np.array(b)) ** 2).sum())), j) for k, a in rows if k == i for j, b in rows if j != i)[:7]
+        assert [got[i, r + 1][0] for r in range(7)] == [j for _, j in near]
+        assert np.allclose([got[i, r + 1][1] for r in range(7)], [d for d, _ in near], rtol=0, atol=1e-12)
